@@ -265,10 +265,14 @@ def feature_names(fitted: list[FittedBlock], like: DataFrame) -> DataFrame:
 
 
 def build_features(speeches: DataFrame, train: DataFrame, switches: list[str]) -> tuple[DataFrame, list[FittedBlock]]:
-    """Long features of every speech, fitted on ``train`` (``speech_id, y``)."""
+    """Long features of every speech, fitted on ``train`` (``speech_id, y``).
+
+    The counts of a block are written once: fitting and applying read them up to
+    three times, and a column store holds the repeated grams compactly.
+    """
     fitted, parts = [], []
     for block in blocks_of(switches):
-        counts = block_counts(speeches, block)
+        counts = staged(block_counts(speeches, block))
         fit = fit_block(block, counts.join(train.select("speech_id"), "speech_id", "left_semi"), train)
         fitted.append(fit)
         parts.append(apply_block(fit, counts))

@@ -67,7 +67,7 @@ def fit_predict(learner: str, point: dict, train: DataFrame, test: DataFrame, ma
     if learner == "lr":
         model = LogisticRegression(
             regParam=1.0 / (point["C"] * total(labels)), elasticNetParam=0.0, standardization=False, maxIter=max_iter,
-            **_COLUMNS,
+            tol=1e-4, **_COLUMNS,
         ).fit(rows)
         scored = model.transform(test)
     elif learner == "rf":
@@ -92,7 +92,7 @@ def _pairwise_svm(rows: DataFrame, test: DataFrame, labels: list[str], c: float,
         pair = pair.withColumn("_label", (F.col("_label") == float(i)).cast("double"))
         name = f"_vote_{i}_{j}"
         model = LinearSVC(
-            regParam=1.0 / (c * total([labels[i], labels[j]])), maxIter=max_iter, standardization=False,
+            regParam=1.0 / (c * total([labels[i], labels[j]])), maxIter=max_iter, tol=1e-3, standardization=False,
             predictionCol=name, rawPredictionCol=f"{name}_raw", **_COLUMNS,
         ).fit(pair)
         scored = model.transform(scored).drop(f"{name}_raw")

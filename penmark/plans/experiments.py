@@ -61,7 +61,7 @@ def optimise(
     learner: str,
     score: str,
     grid: list[dict] | None = None,
-    parallelism: int = 2,
+    parallelism: int = N_FOLDS,
 ) -> Best:
     """Grid search on the training side, then one fit on all of it and the test predictions.
 

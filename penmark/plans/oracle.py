@@ -106,8 +106,8 @@ def _pieces() -> dict[str, str]:
               FROM words JOIN tagged_words USING (w) GROUP BY speech_id) p USING (speech_id)""",
         "stress_words": f"""SELECT w, {stress} AS s FROM (
               SELECT w, len(nuc) AS n,
-                CASE WHEN len(list_filter(nuc, x -> regexp_matches(x, '[áéíóú]'))) > 0
-                       THEN list_position(list_transform(nuc, x -> regexp_matches(x, '[áéíóú]')), true)
+                CASE WHEN len(list_filter(nuc, lambda x: regexp_matches(x, '[áéíóú]'))) > 0
+                       THEN list_position(list_transform(nuc, lambda x: regexp_matches(x, '[áéíóú]')), true)
                      WHEN regexp_matches(w, '[aeiouáéíóúüns]$') THEN greatest(len(nuc) - 1, 1)
                      ELSE len(nuc) END AS k
               FROM (SELECT w, regexp_extract_all(w, '{_NUCLEUS}') AS nuc FROM vocab))""",
@@ -277,7 +277,7 @@ def _style(by: str) -> str:
 def _simpson(low: str, high: str, f) -> str:
     x = f"({low} + i * ({high} - {low}) / 1000.0)"
     weight = "CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
-    return f"(list_sum(list_transform(range(0, 1001), i -> {weight} * {f(x)})) * ({high} - {low}) / 3000.0)"
+    return f"(list_sum(list_transform(range(0, 1001), lambda i: {weight} * {f(x)})) * ({high} - {low}) / 3000.0)"
 
 
 def _f_tail(stat: str, d1: str, d2: str) -> str:
@@ -344,7 +344,7 @@ _R = lambda expr, name, places=6: f"round({expr}, {places}) AS {name}"
 def _bodies() -> dict[str, str]:
     style_cols = ", ".join(_R(c, c) for c in ("ati", "cni", "asi", "pos_minus_neg", "pos_plus_neg"))
     ids = "speech_id, speaker, party, wing"
-    p_exact = """least(1.0, 2 * list_sum(list_transform(range(0, CAST(least(yn, ny) AS BIGINT) + 1), i ->
+    p_exact = """least(1.0, 2 * list_sum(list_transform(range(0, CAST(least(yn, ny) AS BIGINT) + 1), lambda i: 
         exp(lgamma(yn + ny + 1) - lgamma(i + 1) - lgamma(yn + ny - i + 1) - (yn + ny) * ln(2)))))"""
     cells = """SELECT a.run, a.task_label, a.method AS baseline, b.method,
         count(*) FILTER (WHERE a.y_true = a.y_pred AND b.y_true = b.y_pred) AS yy,
@@ -391,7 +391,7 @@ def _bodies() -> dict[str, str]:
             FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (
               SELECT conv_id, string_agg(clean, ' ' ORDER BY turn) AS text, string_agg(tags, ' ' ORDER BY turn) AS pos_tags FROM (
                 SELECT conv_id, turn, lower(replace(replace(translate(line, 'äïö', 'aio'), '¿', '¿ '), '¡', '¡ ')) AS clean,
-                  array_to_string(list_transform(regexp_extract_all(lower(line), '{_WORD}'), w -> {_UPOS}), ' ') AS tags
+                  array_to_string(list_transform(regexp_extract_all(lower(line), '{_WORD}'), lambda w: {_UPOS}), ' ') AS tags
                 FROM (SELECT conv_id, turn, regexp_replace(text, '\s+', ' ', 'g') AS line FROM conversations)
                 WHERE NOT (line = upper(line) AND line <> lower(line)))
               GROUP BY conv_id) t USING (conv_id)""",
