@@ -73,32 +73,43 @@ def common_prefix(x: Column | str, y: Column | str) -> Column:
     return F.array_max(sizes)
 
 
-def stress(word: Column, unstressed: Iterable[str] = ()) -> Column:
-    """Stress pattern of one lowercased Spanish word, one sign per syllable.
+def _stress_pattern(n: Column, k: Column) -> Column:
+    return F.concat(F.repeat(F.lit("-"), k - 1), F.lit("+"), F.repeat(F.lit("-"), n - k))
+
+
+def stress_words(words: Column | str, unstressed: Iterable[str] = ()) -> Column:
+    """Stress patterns of an array of lowercased Spanish words, one sign per syllable.
 
     A written accent marks the stressed nucleus; otherwise it is the last but one
     after a final vowel, ``n`` or ``s``, else the last. One-syllable function
-    words (``unstressed``) carry no stress.
+    words (``unstressed``) carry no stress. The nuclei of a word are counted in a
+    step of their own, so that the later steps do not count them again.
     """
-    n = F.regexp_count(word, F.lit(NUCLEUS))
-    accented = F.regexp_count(F.regexp_extract(word, f"^.*?{ACCENT}", 0), F.lit(NUCLEUS))
-    k = (
-        F.when(word.rlike(ACCENT), accented)
-        .when(word.rlike("[aeiouáéíóúüns]$"), F.greatest(n - 1, F.lit(1)))
-        .otherwise(n)
-    )
-    pattern = F.concat(F.repeat(F.lit("-"), k - 1), F.lit("+"), F.repeat(F.lit("-"), n - k))
     weak = sorted(unstressed)
-    out = F.when(n == 0, F.lit(""))
-    if weak:
-        out = out.when((n == 1) & word.isin(weak), F.lit("-"))
-    return out.otherwise(pattern)
+    counted = F.transform(
+        _col(words), lambda w: F.struct(w.alias("w"), F.regexp_count(w, F.lit(NUCLEUS)).alias("n"))
+    )
+
+    def position(w: Column, n: Column) -> Column:
+        accented = F.regexp_count(F.regexp_extract(w, f"^.*?{ACCENT}", 0), F.lit(NUCLEUS))
+        return (
+            F.when(w.rlike(ACCENT), accented)
+            .when(w.rlike("[aeiouáéíóúüns]$"), F.greatest(n - 1, F.lit(1)))
+            .otherwise(n)
+        )
+
+    def pattern(s: Column) -> Column:
+        w, n = s["w"], s["n"]
+        out = F.when(n == 0, F.lit("")).when(n == 1, F.when(w.isin(weak), F.lit("-")).otherwise(F.lit("+")))
+        placed = F.transform(F.array(position(w, n)), lambda k: _stress_pattern(n, k))
+        return out.otherwise(placed[0])
+
+    return F.transform(counted, pattern)
 
 
 def stress_text(words: Column | str, unstressed: Iterable[str] = ()) -> Column:
     """Concatenated stress patterns of a token array."""
-    weak = sorted(unstressed)
-    return F.array_join(F.transform(_col(words), lambda w: stress(w, weak)), "")
+    return F.array_join(stress_words(words, unstressed), "")
 
 
 def first_name(name: Column | str) -> Column:

@@ -255,7 +255,7 @@ def char_ngram_df(spark, sf):
 
 
 def _tfidf(speeches: DataFrame, block: str) -> DataFrame:
-    counts = x.block_counts(speeches, block)
+    counts = staged(x.block_counts(speeches, block))
     n_docs = speeches.agg(F.count(F.lit(1))).scalar()
     return x.tfidf(counts, x.document_frequencies(counts), n_docs)
 
@@ -276,7 +276,7 @@ def _train_side(speeches: DataFrame) -> DataFrame:
 def tfidf_test_side(spark, sf):
     rows = _tagged(spark, sf)
     side = staged(_train_side(sample.speeches(spark, sf)))
-    counts = x.block_counts(rows, "pos_tags")
+    counts = staged(x.block_counts(rows, "pos_tags"))
     train = counts.join(side.where("side = 'train'").select("speech_id"), "speech_id", "left_semi")
     n_train = side.where("side = 'train'").agg(F.count(F.lit(1))).scalar()
     test = counts.join(side.where("side = 'test'").select("speech_id"), "speech_id", "left_semi")
