@@ -44,6 +44,11 @@ def n_words(text: Column | str) -> Column:
     return F.regexp_count(_col(text), F.lit(r"\S+"))
 
 
+def more_words_than(text: Column | str, n: int) -> Column:
+    """True for texts of more than n words; the match ends at word n + 1."""
+    return _col(text).rlike(rf"^\s*+(?:\S++\s++){{{n}}}\S")
+
+
 def sentences(text: Column | str) -> Column:
     """Trimmed, non-empty sentences; empty for a missing text."""
     parts = F.transform(F.split(_col(text), SENTENCE_END), lambda s: F.trim(s))

@@ -53,7 +53,7 @@ def party_min_rows(speeches: DataFrame, at_least: int = 300) -> DataFrame:
 
 
 def min_words(speeches: DataFrame, more_than: int = 50) -> DataFrame:
-    return speeches.where(tx.n_words("text") > more_than)
+    return speeches.where(tx.more_words_than("text", more_than))
 
 
 def with_text(speeches: DataFrame) -> DataFrame:

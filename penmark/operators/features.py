@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from penmark.functions import text as tx
 from penmark.operators.ranks import sorted_numbers
-from penmark.session import by_speech, small_side, staged
+from penmark.session import by_speech, small_side, staged, staged_together
 from penmark.sources.words import function_word_list
 
 
@@ -264,6 +264,11 @@ def feature_names(fitted: list[FittedBlock], like: DataFrame) -> DataFrame:
     return out
 
 
+def staged_counts(speeches: DataFrame, switches: list[str]) -> dict[str, DataFrame]:
+    """Per-speech counts of every block, written once for all fits that read them."""
+    return staged_together({b: block_counts(speeches, b) for b in blocks_of(switches)})
+
+
 def build_features(speeches: DataFrame, train: DataFrame, switches: list[str]) -> tuple[DataFrame, list[FittedBlock]]:
     """Long features of every speech, fitted on ``train`` (``speech_id, y``).
 
@@ -271,8 +276,7 @@ def build_features(speeches: DataFrame, train: DataFrame, switches: list[str]) -
     three times, and a column store holds the repeated grams compactly.
     """
     fitted, parts = [], []
-    for block in blocks_of(switches):
-        counts = staged(block_counts(speeches, block))
+    for block, counts in staged_counts(speeches, switches).items():
         fit = fit_block(block, counts.join(train.select("speech_id"), "speech_id", "left_semi"), train)
         fitted.append(fit)
         parts.append(apply_block(fit, counts))

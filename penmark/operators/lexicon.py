@@ -106,7 +106,12 @@ def encode(speech_tokens: DataFrame, lexicon: Lexicon) -> DataFrame:
     """
     words = by_speech(speech_tokens).select("speech_id", F.posexplode_outer("tokens").alias("pos", "word"))
     words = words.where(F.col("word").isNotNull())
-    coded = match_words(words, lexicon)
-    codes = F.struct("pos", *[F.coalesce(m, F.lit(NO_CODE)).alias(m) for m in MACROS])
-    rows = coded.groupBy("speech_id").agg(F.array_sort(F.collect_list(codes)).alias("c"))
-    return rows.select("speech_id", *[F.col(f"c.{m}").alias(m) for m in MACROS])
+    # A token without a match carries a null, not five codes.
+    hit = F.struct(*[F.col(m) for m in MACROS])
+    coded = match_words(words, lexicon, {"hit": hit})
+    rows = coded.groupBy("speech_id").agg(F.array_sort(F.collect_list(F.struct("pos", "hit"))).alias("c"))
+
+    def codes(macro: str) -> Column:
+        return F.transform("c", lambda t: F.coalesce(t["hit"][macro], F.lit(NO_CODE)))
+
+    return rows.select("speech_id", *[codes(m).alias(m) for m in MACROS])

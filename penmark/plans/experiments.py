@@ -35,11 +35,6 @@ class Best(NamedTuple):
     n_features: int
 
 
-def stored_counts(encoded: DataFrame, switches: list[str]) -> dict[str, DataFrame]:
-    """Per-speech counts of every block, written once for all folds, labels and grid points."""
-    return {b: staged(x.block_counts(encoded, b)) for b in x.blocks_of(switches)}
-
-
 def fitted_vectors(counts: dict[str, DataFrame], fit_rows: DataFrame, rows: DataFrame) -> tuple[DataFrame, int]:
     """Vectors of ``rows`` (``speech_id, y, ...``) from blocks fitted on ``fit_rows`` only."""
     fit_on = fit_rows.select("speech_id", "y")
@@ -155,7 +150,7 @@ def run_experiment(
     if task not in TASKS:
         raise ValueError(f"task must be one of {TASKS}")
     run, method = f"{task}_{learner}_{focus}", method_name(switches)
-    counts = counts or stored_counts(encoded, switches)
+    counts = counts or x.staged_counts(encoded, switches)
     counts = {b: counts[b] for b in x.blocks_of(switches)}
     rows = split_rows(encoded, focus, train_rows)
     if task == "MC":
@@ -186,7 +181,7 @@ def party_status_experiment(
 ) -> Experiment:
     """Verify one author within each party status, all other speakers kept."""
     run, method = f"AV_{learner}_name_partystatus", method_name(switches)
-    counts = counts or stored_counts(encoded, switches)
+    counts = counts or x.staged_counts(encoded, switches)
     counts = {b: counts[b] for b in x.blocks_of(switches)}
     statuses = sp.distinct_labels(c.with_label(encoded, "party_status"))
     parts, chosen = [], {}
@@ -222,7 +217,7 @@ def run_series(
     todo = [s for s in sets if method_name(s) in open_methods]
     if not todo:
         return
-    counts = stored_counts(encoded, sorted({s for one in todo for s in one}))
+    counts = x.staged_counts(encoded, sorted({s for one in todo for s in one}))
     for switches in todo:
         if verify:
             out = party_status_experiment(encoded, learner, switches, author, counts=counts, **options)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -62,6 +63,12 @@ def staged(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
+def staged_together(frames: dict[str, DataFrame], parallelism: int = 4) -> dict[str, DataFrame]:
+    """Write several independent tables at once, so that one's last tasks overlap the next."""
+    with ThreadPool(parallelism) as pool:
+        return dict(zip(frames, pool.map(staged, frames.values())))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     folder = _shared_folder(spark)

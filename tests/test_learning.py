@@ -19,7 +19,7 @@ def points(spark):
         y = "abc"[i % 3]
         centre = {"a": (0.0, 0.0), "b": (4.0, 0.0), "c": (0.0, 4.0)}[y]
         rows.append((i, y, Vectors.sparse(2, [0, 1], list(rng.normal(centre, 0.6)))))
-    df = spark.createDataFrame(rows, ["speech_id", "y", "features"])
+    df = spark.createDataFrame(rows, ["speech_id", "y", "features"]).coalesce(1).cache()
     return df.where("speech_id < 90"), df.where("speech_id >= 90")
 
 
@@ -121,7 +121,7 @@ def test_binary_and_party_status_experiments(encoded):
     out = ex.run_experiment(encoded, "BC", "name", "svm", ["liwc_feels", "pos_tags"], train_rows=20, grid=grid)
     got = {r["label"]: r["value"] for r in out.results.collect()}
     assert set(got) == {"Ana", "Bea", "Ciro"} and got["Bea"] > 0.8
-    counts = ex.stored_counts(encoded, ["pos_tags"])
+    counts = x.staged_counts(encoded, ["pos_tags"])
     status = ex.party_status_experiment(encoded, "lr", ["pos_tags"], "Bea", train_rows=10, grid=grid, counts=counts)
     rows = {r["label"]: r for r in status.results.collect()}
     assert set(rows) == {"Coalition", "Opposition"} and rows["Coalition"]["run"] == "AV_lr_name_partystatus"
