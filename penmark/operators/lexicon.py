@@ -24,15 +24,19 @@ NO_CODE = "w"
 
 # A dictionary of more entries than this is joined without a broadcast hint.
 BROADCAST_ENTRIES = 200_000
+# Up to this many entries the dictionary fits into an expression as a constant.
+CONSTANT_ENTRIES = 50_000
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Built lexicon rows with the two facts the matching plan depends on."""
+    """Built lexicon rows with the facts the matching plans depend on."""
 
     rows: DataFrame  # entry, is_prefix, stem, gram, obj, cog, feels, cdi
     n_entries: int
     stem_lengths: tuple[int, ...]
+    constant: str | None = None  # entries as JSON maps in hash order, when few enough
+    slots: int = 0
 
 
 def build_lexicon(categories: DataFrame, words: DataFrame) -> DataFrame:
@@ -65,11 +69,38 @@ def build_lexicon(categories: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def prepare_lexicon(rows: DataFrame) -> Lexicon:
-    """Write the lexicon once and read off its size and stem lengths."""
+    """Write the lexicon once; read off its size, stem lengths and constant form."""
     rows = staged(rows)
     stems = rows.where("is_prefix").groupBy(F.length("stem").alias("n")).count()
     lengths = tuple(sorted(r["n"] for r in stems.collect()))
-    return Lexicon(rows, rows.count(), lengths)
+    n_entries = rows.count()
+    if n_entries > CONSTANT_ENTRIES:
+        return Lexicon(rows, n_entries, lengths)
+    slots = max(1, n_entries)
+    item = F.struct(F.col("entry").alias("key"), F.struct(*MACROS).alias("value"))
+    maps = rows.groupBy(_slot("entry", slots).alias("slot")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(item))).alias("json")
+    )
+    by_slot = {r["slot"]: r["json"] for r in maps.collect()}
+    constant = "[" + ",".join(by_slot.get(i, "{}") for i in range(slots)) + "]"
+    return Lexicon(rows, n_entries, lengths, constant, slots)
+
+
+def _slot(key: Column | str, slots: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+
+
+def word_codes(word: Column, lexicon: Lexicon) -> Column:
+    """Struct of the five codes of one word, null without a match.
+
+    The dictionary is a folded constant: an array of small maps in which the hash
+    of a key finds its map. Exact entry first, then stems from the longest.
+    """
+    kind = "array<map<string,struct<" + ",".join(f"{m}:string" for m in MACROS) + ">>>"
+    table = F.from_json(F.lit(lexicon.constant), F.lit(kind))
+    find = lambda key: F.try_element_at(F.get(table, _slot(key, lexicon.slots)), key)
+    stems = [F.concat(F.substring(word, 1, n), F.lit("*")) for n in sorted(lexicon.stem_lengths, reverse=True)]
+    return F.coalesce(find(word), *[find(s) for s in stems])
 
 
 def match_words(
@@ -99,19 +130,35 @@ def match_words(
 
 
 def encode(speech_tokens: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``speech_id, tokens`` to one code array per macro-category, a code per token.
+    """Replace ``tokens`` by one code array per macro-category, a code per token.
+
+    A dictionary of usual size is looked up inside each row: no explode, no join
+    and no shuffle. A larger one goes through ``encode_by_join``.
+    """
+    if lexicon.constant is None:
+        return encode_by_join(speech_tokens, lexicon)
+    others = [c for c in speech_tokens.columns if c != "tokens"]
+    hits = F.transform("tokens", lambda w: word_codes(w, lexicon))
+    rows = speech_tokens.select(*others, hits.alias("_hits"))
+    return rows.select(*others, *[_codes(f"_hits.{m}").alias(m) for m in MACROS])
+
+
+def _codes(found: str) -> Column:
+    codes = F.transform(found, lambda c: F.coalesce(c, F.lit(NO_CODE)))
+    return F.coalesce(codes, F.array().cast("array<string>"))
+
+
+def encode_by_join(speech_tokens: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``encode`` for a dictionary of any size, through the word lookup join.
 
     The token arrays are moved once, partitioned by speech; explode, lookups and
     ordered collect then stay in their partition.
     """
-    words = by_speech(speech_tokens).select("speech_id", F.posexplode_outer("tokens").alias("pos", "word"))
-    words = words.where(F.col("word").isNotNull())
+    words = by_speech(speech_tokens.select("speech_id", "tokens"))
+    words = words.select("speech_id", F.posexplode_outer("tokens").alias("pos", "word"))
     # A token without a match carries a null, not five codes.
-    hit = F.struct(*[F.col(m) for m in MACROS])
-    coded = match_words(words, lexicon, {"hit": hit})
-    rows = coded.groupBy("speech_id").agg(F.array_sort(F.collect_list(F.struct("pos", "hit"))).alias("c"))
-
-    def codes(macro: str) -> Column:
-        return F.transform("c", lambda t: F.coalesce(t["hit"][macro], F.lit(NO_CODE)))
-
-    return rows.select("speech_id", *[codes(m).alias(m) for m in MACROS])
+    coded = match_words(words, lexicon, {"hit": F.struct(*MACROS)})
+    cell = F.when(F.col("pos").isNotNull(), F.struct("pos", "hit"))
+    rows = coded.groupBy("speech_id").agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    codes = rows.select("speech_id", *[_codes(f"c.hit.{m}").alias(m) for m in MACROS])
+    return speech_tokens.drop("tokens").join(codes, "speech_id")

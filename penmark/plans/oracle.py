@@ -402,9 +402,10 @@ def _bodies() -> dict[str, str]:
         "word_length_curve": f"SELECT speech_id, i, {_R('v', 'value')} FROM word_curve",
         "sentence_length_curve": f"SELECT speech_id, i, {_R('v', 'value')} FROM sent_curve",
         "lexicon_match": "SELECT w AS word, entry, gram, obj, cog, feels, cdi FROM vocab LEFT JOIN coded USING (w)",
-        "lexicon_encode": "SELECT speech_id, " + ", ".join(
-            f"string_agg(coalesce({m}, 'w'), ' ' ORDER BY pos) AS {m}" for m in MACROS
-        ) + " FROM words LEFT JOIN coded USING (w) GROUP BY speech_id",
+        "lexicon_encode": "SELECT t.speech_id, " + ", ".join(f"coalesce({m}, '') AS {m}" for m in MACROS)
+        + " FROM toks t LEFT JOIN (SELECT speech_id, "
+        + ", ".join(f"string_agg(coalesce({m}, 'w'), ' ' ORDER BY pos) AS {m}" for m in MACROS)
+        + " FROM words LEFT JOIN coded USING (w) GROUP BY speech_id) p USING (speech_id)",
         "pos_text": "SELECT speech_id, pos_tags FROM tagged",
         "stress_encode": "SELECT speech_id, stress FROM stressed",
         "word_ngram_df": "SELECT gram, df FROM pos_df",

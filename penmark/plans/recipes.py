@@ -47,11 +47,9 @@ def unstressed_words() -> list[str]:
 def encoded(speeches: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Speeches (with ``pos_tags``) plus ``stress`` and the five code arrays.
 
-    Callers store the result: every feature block and index reads it again.
+    All of it is computed inside each row. Callers store the result: every
+    feature block and index reads it again.
     """
-    tokens = speeches.select("speech_id", tx.tokens("text").alias("tokens"))
-    codes = encode(tokens, lexicon)
-    rows = speeches.withColumn("stress", tx.stress_text(tx.tokens("text"), unstressed_words()))
-    out = rows.join(codes, "speech_id", "left")
-    empty = F.array().cast("array<string>")
-    return out.select(*rows.columns, *[F.coalesce(m, empty).alias(m) for m in ("gram", "obj", "cog", "feels", "cdi")])
+    rows = speeches.withColumn("tokens", tx.tokens("text"))
+    rows = rows.withColumn("stress", tx.stress_text("tokens", unstressed_words()))
+    return encode(rows, lexicon)

@@ -58,7 +58,16 @@ def test_encoding_keeps_token_order(spark, lexicon):
     df = spark.createDataFrame([(1, ["yo", "pensamos", "el", "otro"]), (2, [])], "speech_id long, tokens array<string>")
     got = {r["speech_id"]: r for r in lx.encode(df, lexicon).collect()}
     assert got[1]["gram"] == ["Yo", "Yo", "w", "w"] and got[1]["cdi"] == ["PronPer", "PronPer", "ArticuloPronPer", "w"]
-    assert 2 not in got
+    assert got[2]["gram"] == []
+
+
+def test_both_encodings_agree(spark, lexicon):
+    rows = [(1, "A", ["pensar", "pensamos", "pens", "pena", "yo", "yosoy", "otro", "p", "no"] * 30), (2, "B", []), (3, "C", None)]
+    df = spark.createDataFrame(rows, "speech_id long, speaker string, tokens array<string>")
+    in_rows, joined = lx.encode(df, lexicon), lx.encode_by_join(df, lexicon)
+    assert in_rows.columns == joined.columns and sorted(in_rows.collect()) == sorted(joined.collect())
+    plan = in_rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
 
 
 def test_indices_from_text_and_from_codes_agree(spark, lexicon):
