@@ -140,16 +140,15 @@ def longest_ngrams(units: Column | str, high: int, glue: str) -> Column:
 
 
 def gram_prefixes(gram: Column | str, low: int, high: int, glue: str) -> Column:
-    """The prefixes of ``low..high`` units of one n-gram."""
+    """The prefixes of ``low..high`` units of one n-gram; null where it is shorter."""
     gram = _col(gram)
     if glue:
         size = F.length(gram) - F.length(F.replace(gram, F.lit(glue), F.lit(""))) + 1
-        prefix = lambda n: F.array_join(F.slice(F.split(gram, glue), F.lit(1), n), glue)
+        prefix = lambda n: F.substring_index(gram, glue, n)
     else:
         size = F.length(gram)
-        prefix = lambda n: F.substr(gram, F.lit(1), n)
-    wanted = F.filter(F.lit(list(range(low, high + 1))), lambda n: n <= size)
-    return F.transform(wanted, prefix)
+        prefix = lambda n: F.substring(gram, 1, n)
+    return F.array(*[F.when(size >= n, prefix(n)) for n in range(low, high + 1)])
 
 
 def characters(text: Column | str) -> Column:

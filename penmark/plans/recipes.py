@@ -50,6 +50,6 @@ def encoded(speeches: DataFrame, lexicon: Lexicon) -> DataFrame:
     All of it is computed inside each row. Callers store the result: every
     feature block and index reads it again.
     """
-    rows = speeches.withColumn("tokens", tx.tokens("text"))
+    rows = speeches if "tokens" in speeches.columns else speeches.withColumn("tokens", tx.tokens("text"))
     rows = rows.withColumn("stress", tx.stress_text("tokens", unstressed_words()))
     return encode(rows, lexicon)
