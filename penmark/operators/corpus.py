@@ -90,7 +90,7 @@ def top_speakers_per_wing(speeches: DataFrame, top: int = 5) -> DataFrame:
     """The speakers with most rows in each wing; ties go to the earlier name."""
     counts = speaker_counts(speeches.where(F.col("wing").isNotNull() & F.col("speaker").isNotNull()), ["wing", "speaker"])
     order = Window.partitionBy("wing").orderBy(F.desc("n"), "speaker")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return counts.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
 
 
 def top_speakers(speeches: DataFrame, top: int = 20) -> DataFrame:

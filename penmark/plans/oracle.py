@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import glob
 import math
-import os
-import zipfile
 
 from penmark.operators.corpus import WING_SCHEMES
 from penmark.operators.lexicon import MACROS
 from penmark.plans.feature_sets import method_name, series
 from penmark.sources.sample import LEXICON_WORDS, PARTIES
+from penmark.sources.words import function_word_list
 
 
 def _text(value: str) -> str:
@@ -21,16 +19,6 @@ def _list(values) -> str:
     return ", ".join(_text(v) for v in values)
 
 
-def spanish_words() -> list[str]:
-    """The Spanish function words from the list that ships inside Spark's jars."""
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as jar:
-        name = next(n for n in jar.namelist() if n.endswith("stopwords/spanish.txt"))
-        return [w for w in jar.read(name).decode("utf8").split("\n") if w]
-
-
 # ---- shared parts ----------------------------------------------------------
 
 _PARTY = "CASE k % 7 " + " ".join(f"WHEN {i} THEN {_text(p)}" for i, p in enumerate(PARTIES)) + " END"
@@ -78,7 +66,7 @@ def _lexicon_ctes() -> dict[str, str]:
 
 
 def _pieces() -> dict[str, str]:
-    weak = _list(spanish_words())
+    weak = _list(function_word_list("es"))
     stress = f"""CASE WHEN n = 0 THEN '' WHEN n = 1 AND w IN ({weak}) THEN '-'
         ELSE repeat('-', k - 1) || '+' || repeat('-', n - k) END"""
     return {
