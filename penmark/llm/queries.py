@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from penmark.llm import packing, wavelet
+from penmark.llm import decontaminate, minmax, packing, wavelet
 from penmark.llm.common import table
 
 
+def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.packed_documents(table(spark, sf_dir, "documents"), path, "word", end_id=1)
@@ -20,8 +28,33 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_minmax_near_dedup": op3_minmax_near_dedup,
+    "op7_positional_index": op7_positional_index,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_wavelet_shards": op9_wavelet_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# Words of documents and items; hits as distinct word positions, windows joined by their text.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t FROM benchmark),
+bw AS (SELECT item_id, w, array_to_string(t[i + 1 : i + w], ' ') AS g FROM
+        (SELECT item_id, t, least(len(t), 13) AS w, unnest(range(len(t) - least(len(t), 13) + 1)) AS i FROM b WHERE len(t) > 0)),
+ws AS (SELECT DISTINCT w FROM bw),
+dw AS (SELECT doc_id, w, i, array_to_string(t[i + 1 : i + w], ' ') AS g FROM
+        (SELECT doc_id, t, w, unnest(range(len(t) - w + 1)) AS i FROM d, ws WHERE len(t) >= w)),
+m AS (SELECT DISTINCT doc_id, item_id, dw.w, i FROM dw JOIN bw ON dw.w = bw.w AND dw.g = bw.g),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + w)) AS p FROM m) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM
+        (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY 1)
+SELECT d.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(t) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_positional_index": OP7_SQL,
+}
