@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from penmark.llm import decontaminate, minmax, packing, wavelet
+from penmark.llm import decontaminate, lines, minmax, packing, wavelet
 from penmark.llm.common import table
 
 
+def op2_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_lines", "n_exact", "n_near", F.length("text").cast("long").alias("kept_chars"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -28,6 +36,7 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_segment_line_dedup": op2_segment_line_dedup,
     "op3_minmax_near_dedup": op3_minmax_near_dedup,
     "op7_positional_index": op7_positional_index,
     "op8_best_fit_packing": op8_best_fit_packing,
