@@ -72,6 +72,8 @@ _BASE = 0x9E3779B97F4A7C15
 _STEP = 1 << 20
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
+NOT_ALNUM = np.arange(256) < 128
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -95,9 +97,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-def _chunk_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of each run of non-space bytes."""
-    word = ~_SPACES[data]
+def _chunk_words(data: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each run of bytes that are not gaps."""
+    word = ~gaps[data]
     edge = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.zeros(len(data) + 1, U64)
@@ -106,10 +108,10 @@ def _chunk_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(h ^ ((end - start).astype(U64) << U64(40))), start, end
 
 
-def word_hashes(text: str | None, fold: bool = True, spans: bool = False):
+def word_hashes(text: str | None, fold: bool = True, spans: bool = False, gaps: np.ndarray = _SPACES):
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a whole text, in order.
 
-    ``fold`` lower-cases A-Z first. With ``spans``, also the byte range of each word and
+    ``gaps`` marks other bytes that part words; ``fold`` lower-cases A-Z first. With ``spans``, also the byte range of each word and
     the bytes themselves. Long texts go through pieces cut between words; a word longer
     than a piece is hashed alone.
     """
@@ -121,11 +123,11 @@ def word_hashes(text: str | None, fold: bool = True, spans: bool = False):
     while at < len(data):
         stop = min(at + _STEP, len(data))
         if stop < len(data):
-            gap = np.flatnonzero(_SPACES[data[at:stop]])
+            gap = np.flatnonzero(gaps[data[at:stop]])
             if len(gap):
                 stop = at + int(gap[-1]) + 1
             else:  # one word fills the piece: find its end and fold its parts together
-                rest = np.flatnonzero(_SPACES[data[at:]])
+                rest = np.flatnonzero(gaps[data[at:]])
                 stop = at + int(rest[0]) if len(rest) else len(data)
                 h = U64(stop - at)
                 for i in range(at, stop, _STEP):
@@ -136,7 +138,7 @@ def word_hashes(text: str | None, fold: bool = True, spans: bool = False):
                 ends.append(np.array([stop]))
                 at = stop
                 continue
-        h, s, e = _chunk_words(data[at:stop])
+        h, s, e = _chunk_words(data[at:stop], gaps)
         hashes.append(h)
         starts.append(s + at)
         ends.append(e + at)

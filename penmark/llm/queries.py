@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from penmark.llm import decontaminate, lines, minmax, packing, wavelet
+from penmark.llm import decontaminate, lines, minmax, packing, toxicity, wavelet
 from penmark.llm.common import table
 
 
@@ -35,12 +35,22 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.stored_documents(table(spark, sf_dir, "documents"), path, "byte", end_id=2)
 
 
+def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op2_segment_line_dedup": op2_segment_line_dedup,
     "op3_minmax_near_dedup": op3_minmax_near_dedup,
     "op7_positional_index": op7_positional_index,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_wavelet_shards": op9_wavelet_shards,
+    "op10_noisy_or_toxicity": op10_noisy_or_toxicity,
 }
 
 # Words of documents and items; hits as distinct word positions, windows joined by their text.
