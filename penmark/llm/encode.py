@@ -60,7 +60,7 @@ class Encoder:
     ranges goes to the library as it is.
     """
 
-    def __init__(self, path: str, kind: str, keep: int = 400_000):
+    def __init__(self, path: str, kind: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -85,57 +85,60 @@ class Encoder:
     def _library_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and how many each word has.
+    def _store(self, places: np.ndarray, ids, counts: np.ndarray) -> None:
+        """Keep the ids of the words numbered ``places``, one word's ids after another's."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.count[places] = counts
+        self.first[places] = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
 
-        Words that the library would cut apart again are encoded as one text: with a blank
-        between them, with their own leading blanks, or with a line feed between them.
-        """
-        found: dict[str, list[int]] = {}
-        if self.kind == "word":
-            groups, apart = [(" ", words)], []
+    def _store_apart(self, places: np.ndarray, words: list[str]) -> None:
+        each = self._library_ids(words)
+        counts = np.fromiter(map(len, each), np.int64, len(each))
+        self._store(places, np.fromiter(chain.from_iterable(each), np.uint32, int(counts.sum())), counts)
+
+    def _store_joined(self, places: np.ndarray, words: list[str], glue: str) -> None:
+        """Encode many words as one text that the library cuts into just these words."""
+        ids = np.array(self._library_ids([glue.join(words)])[0], np.uint32)
+        at = self.marks[glue][ids]
+        if glue == "\n":  # the mark is the line feed between two words
+            counts = np.diff(np.concatenate(([-1], np.flatnonzero(at), [len(ids)]))) - 1
+            ids = ids[~at]
+        elif glue:  # on a word's last id
+            counts = np.diff(np.concatenate(([-1], np.flatnonzero(at))))
+        else:  # on its first id
+            counts = np.diff(np.concatenate((np.flatnonzero(at), [len(ids)])))
+        if len(counts) == len(words):
+            self._store(places, ids, counts)
         else:
-            spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
-            bare = [w for w in words if w.isalpha()]
-            apart = [w for w in words if not w.isalpha() and not (w[0] == " " and w[1:].isalpha())]
-            groups = [("", spaced), ("\n", bare)]
-        found.update(zip(apart, self._library_ids(apart)))
-        for glue, group in groups:
-            for i in range(0, len(group), 256):
-                part = group[i : i + 256]
-                ids = self._library_ids([glue.join(part)])[0]
-                at = np.flatnonzero(self.marks[glue][ids])
-                if glue == " ":  # the mark is on a word's last id
-                    starts, ends = np.concatenate(([0], at[:-1] + 1)), at + 1
-                elif glue == "":  # on its first id
-                    starts, ends = at, np.concatenate((at[1:], [len(ids)]))
-                else:  # on the line feed between two words
-                    starts, ends = np.concatenate(([0], at + 1)), np.concatenate((at, [len(ids)]))
-                if len(starts) == len(part):
-                    found.update(zip(part, (ids[a:b] for a, b in zip(starts.tolist(), ends.tolist()))))
-                else:
-                    found.update(zip(part, self._library_ids(part)))
-        each = [found[w] for w in words]
-        count = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter(chain.from_iterable(each), np.uint32, int(count.sum())), count
+            self._store_apart(places, words)
 
     def _learn(self) -> None:
+        """Encode the new words. A word of letters, alone or after a blank, can be joined with others."""
         new = self.numbers.new
         if not new:
             return
-        ids, count = self._encode_words(new)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.numbers.new = []
         while self.words + len(new) > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        here = slice(self.words, self.words + len(new))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.count[here] = count
-        self.first[here] = self.used + np.cumsum(count) - count
+        if self.kind == "word":
+            kinds = np.zeros(len(new), np.int8)
+        else:
+            kinds = np.array([1 if w.isalpha() else 0 if w[0] == " " and w[1:].isalpha() else 2 for w in new], np.int8)
+        for kind, glue in enumerate([" " if self.kind == "word" else "", "\n", None]):
+            mine = np.flatnonzero(kinds == kind)
+            step = 1024 if glue is None else 256
+            for i in range(0, len(mine), step):
+                part = mine[i : i + step]
+                words = [new[k] for k in part.tolist()]
+                if glue is None:
+                    self._store_apart(self.words + part, words)
+                else:
+                    self._store_joined(self.words + part, words, glue)
         self.words += len(new)
-        self.used += len(ids)
-        self.numbers.new = []
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text; null is empty."""

@@ -112,13 +112,14 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All ids in document order, from the lowest plane up."""
-        values = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
             raw = np.frombuffer(self.file.read(self._plane(k), self.width), np.uint8)
             ones = np.unpackbits(raw)[: self.n].view(bool)
             above = np.empty_like(values)
             above[~ones] = values[: self.zeros[k]]
-            above[ones] = values[self.zeros[k] :] | np.uint32(1 << (self.bits - 1 - k))
+            above[ones] = values[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
             values = above
         return values
 
@@ -212,8 +213,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     [pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    # A row stands for a whole file, so the rows are dealt one by one.
-    files = shards.repartition(F.col("path"))
+    # A row stands for a whole file, so the files are dealt out one by one.
+    files = shards.repartition(max(1, shards.count()))
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
