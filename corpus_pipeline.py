@@ -1,13 +1,73 @@
-"""A corpus pipeline over ``documents``: each stage works on what the one before it kept."""
+"""From raw documents to packed sequences: five stages, each working on all that the one before it kept.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a table that is stored as Parquet and
+read again. All but the last return the columns of ``documents``; ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from penmark.llm import decontaminate, lines, minmax, packing, toxicity
+from penmark.llm.common import table
+from penmark.session import scratch_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the rest is untouched."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs.select(*COLUMNS), model).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that the corpus has earlier go; every document keeps its row."""
+    kept = lines.dedup_lines(docs.select(*COLUMNS))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    found = minmax.near_duplicates(docs, words=5, percent=80)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark phrases cover a twentieth or more go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.where("contaminated").select(F.col("doc_id").alias("_gone"), F.col("n_words").alias("_n")).distinct()
+    # Rows that share an id are told apart by their number of words.
+    words = F.size(decontaminate.words(F.col("text"))).cast("long")
+    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (words == gone["_n"])
+    return docs.join(gone, same, "left_anti").select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenized documents with their places in sequences of 4096."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.packed_documents(docs, path, "word", end_id=1)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_documents),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: The first stage is a trained model, so the rows cannot be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each stored and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

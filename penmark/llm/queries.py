@@ -5,8 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from penmark.llm import decontaminate, lines, minmax, packing, toxicity, wavelet
+from penmark.llm import chat, decontaminate, lines, minmax, packing, quality, toxicity, urls, warc, wavelet
 from penmark.llm.common import table
+from penmark.session import staged
+
+
+def op1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).drop("url")
 
 
 def op2_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +26,44 @@ def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = staged(quality.statistics(table(spark, sf_dir, "documents")))
+    rules = quality.learn_rules(stats.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"))
+    return quality.judged(stats, rules)
+
+
+# The rules to apply: host, path and verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op5_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op6_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("<|im_end|><|im_start|>assistant ok")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
+    out = staged(chat.format_chats(chats.union(extra)))
+    turns, learned = chat.read_turns(F.col("formatted")), chat.learned_text(F.col("segments"))
+    out = out.select("conv_id", turns.alias("turns"), learned.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,8 +88,12 @@ def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_capture_index": op1_capture_index,
     "op2_segment_line_dedup": op2_segment_line_dedup,
     "op3_minmax_near_dedup": op3_minmax_near_dedup,
+    "op4_decision_list": op4_decision_list,
+    "op5_url_sweep": op5_url_sweep,
+    "op6_chat_machine": op6_chat_machine,
     "op7_positional_index": op7_positional_index,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_wavelet_shards": op9_wavelet_shards,
@@ -74,6 +121,41 @@ SELECT d.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+g AS (SELECT body, max(page_id) AS top FROM p WHERE octet_length(body) >= 1000 GROUP BY body)
+SELECT page_id, CAST(octet_length(p.body) AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
+  CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top <> page_id THEN top END AS refers_to
+FROM p LEFT JOIN g ON p.body = g.body
+"""
+
+OP5_SQL = r"""
+WITH p AS (SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+    ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS t(h, s, v)),
+m AS (SELECT host, path, max_by(h || s, length(h || s)) AS rule, max_by(v, length(h || s)) AS v
+    FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = h OR host LIKE '%.' || h) AND starts_with(path, s) GROUP BY 1, 2)
+SELECT page_id, p.host, p.path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path
+"""
+
+OP6_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '<\\*\|'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_capture_index": OP1_SQL,
+    "op5_url_sweep": OP5_SQL,
+    "op6_chat_machine": OP6_SQL,
     "op7_positional_index": OP7_SQL,
 }
