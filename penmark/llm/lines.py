@@ -36,7 +36,7 @@ def _instances(docs: DataFrame, min_chars: int) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.where(F.length(F.trim("line")) >= min_chars)
     place = F.struct("doc_id", "th", "pos").alias("at")
-    return rows.select(place, "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    return rows.select(place, "line", F.length("line").alias("size"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
 
 
 def _part(a: Column, b: Column, n: Column, t: Column | int) -> Column:
@@ -49,21 +49,42 @@ def _open(parts: Column) -> Column:
     return F.filter(parts, lambda p: F.greatest(p["b"] - p["a"], p["n"]) > p["t"])
 
 
-def _segment_keys(line: Column, edits: int) -> Column:
-    """Keys of a line as an array of ``{key, own, shift, parts}``; ``own`` keys are also stored."""
-    size, out = F.length(line), []
+def _shapes(edits: int) -> list[tuple[int, int, int]]:
+    """``(shorter, i, shift)``: how much shorter the other line is, the segment, and how far it may have moved."""
+    out = []
     for shorter in range(edits + 1):
-        n = size - shorter
         for i in range(1, edits + 2):
-            start, stop = F.floor(n * (i - 1) / (edits + 1)).cast("int"), F.floor(n * i / (edits + 1)).cast("int")
             rest = edits + 1 - i
-            for shift in range(max(1 - i, shorter - rest), min(i - 1, shorter + rest) + 1):
-                text = F.substring(line, start + shift + 1, stop - start)
-                key = F.xxhash64(n, F.lit(i), text)
-                parts = F.array(_part(F.lit(0), start + shift, start, i - 1), _part(stop + shift, size, n - stop, rest))
-                own = F.lit(shorter == 0 and shift == 0)
-                out.append(F.struct(key.alias("key"), own.alias("own"), F.lit(shift).alias("shift"), _open(parts).alias("parts")))
-    return F.array(*out)
+            out += [(shorter, i, shift) for shift in range(max(1 - i, shorter - rest), min(i - 1, shorter + rest) + 1)]
+    return out
+
+
+def _cut(n: Column, i: Column | int, edits: int) -> tuple[Column, Column]:
+    """First and last character of segment ``i`` of ``n`` characters."""
+    return F.floor(n * (i - 1) / (edits + 1)).cast("int"), F.floor(n * i / (edits + 1)).cast("int")
+
+
+def _segment_keys(instances: DataFrame, columns: list[str], edits: int) -> DataFrame:
+    """``columns`` of each line with its keys ``{key, own, shape}``; ``own`` keys are also stored."""
+    made = []
+    for k, (shorter, i, shift) in enumerate(_shapes(edits)):
+        n = F.col("size") - shorter
+        start, stop = _cut(n, i, edits)
+        key = F.xxhash64(n, F.lit(i), F.substring("line", start + shift + 1, stop - start))
+        made.append(F.struct(key.alias("key"), F.lit(shorter == 0 and shift == 0).alias("own"), F.lit(k).alias("shape")))
+    # The array is a column of its own, so that what its keys share is computed once.
+    keyed = instances.select(*columns, F.array(*made).alias("made"))
+    return keyed.select(*columns, F.explode("made").alias("k")).select(*columns, "k.*")
+
+
+def _segment_parts(edits: int) -> Column:
+    """The rest of a line beside the segment of its key, by ``size`` and ``shape``."""
+    pick = lambda j: F.element_at(F.lit([s[j] for s in _shapes(edits)]), F.col("shape") + 1)
+    shorter, i, shift = pick(0), pick(1), pick(2)
+    n = F.col("size") - shorter
+    start, stop = _cut(n, i, edits)
+    left = _part(F.lit(0), start + shift, start, i - 1)
+    return _open(F.array(left, _part(stop + shift, F.col("size"), n - stop, F.lit(edits + 1) - i)))
 
 
 def _grown_keys(edits: int) -> Column:
@@ -104,16 +125,16 @@ def within(a: Column, b: Column, edits: int) -> Column:
     mask = (1 << width) - 1
     names = [f"r{e}" for e in range(edits + 1)]
     begin = F.struct(*[F.lit(((1 << (e + 1)) - 1) << edits).cast("long").alias(name) for e, name in enumerate(names)])
-    left, right = F.split(a, ""), F.split(b, "")
-    # An empty string splits into one empty part.
     n, m = F.length(a), F.length(b)
+    left, right = F.split(a, ""), F.split(b, "")
+    # Beside each character of b, the characters of a on the band's diagonals.
+    shifted = [F.concat(F.array_repeat(F.lit(""), edits - d), left) if d < edits else F.slice(left, d - edits + 1, n + 1) for d in range(width)]
+    beside = F.arrays_zip(*[F.slice(x, 1, m).alias(f"c{k}") for k, x in enumerate([right, *shifted])])
 
-    def step(words: Column, j: Column) -> Column:
-        c = F.get(right, j)
+    def step(words: Column, at: Column) -> Column:
         match = F.lit(0).cast("long")
         for d in range(width):
-            at = j + (d - edits)
-            hit = F.when((at >= 0) & (at < n) & (F.get(left, at) == c), F.lit(1 << d)).otherwise(F.lit(0))
+            hit = F.when(at["c0"] == at[f"c{d + 1}"], F.lit(1 << d)).otherwise(F.lit(0))
             match = match.bitwiseOR(hit.cast("long"))
         new = [words[names[0]].bitwiseAND(match)]
         for e in range(1, edits + 1):
@@ -123,13 +144,11 @@ def within(a: Column, b: Column, edits: int) -> Column:
         return F.struct(*[w.alias(name) for w, name in zip(new, names)])
 
     def last(words: Column) -> Column:
-        bits = reduce(lambda x, y: x | y, [
+        return reduce(lambda x, y: x | y, [
             (n - m == F.lit(d - edits)) & (words[names[-1]].bitwiseAND(F.lit(1 << d).cast("long")) != 0) for d in range(width)
         ])
-        return bits
 
-    steps = F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, begin, step, last)
+    return F.aggregate(beside, begin, step, last)
 
 
 def _alive(rows: DataFrame) -> DataFrame:
@@ -164,12 +183,11 @@ def _with_leaders(rows: DataFrame) -> DataFrame:
 
 def near_lines(instances: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """``h, g, near``: for lines with an edited twin, the place of its earliest one."""
-    keyed = instances.select("h", F.explode(F.transform(_segment_keys(F.col("line"), edits), lambda k: F.struct(k["key"], k["own"]))).alias("k"))
-    alive = staged(_alive(keyed.select("h", "k.*")))
-    rows = instances.select(*_SIDE, F.explode(_segment_keys(F.col("line"), edits)).alias("k")).select(*_SIDE, "k.*")
-    rows = rows.join(alive, "key").groupBy("key", "h", "g", "shift").agg(
-        F.any_value("line").alias("line"), F.min("at").alias("at"), F.max("own").alias("own"), F.any_value("parts").alias("parts")
+    alive = staged(_alive(_segment_keys(instances, ["h"], edits)))
+    rows = _segment_keys(instances, [*_SIDE, "size"], edits).join(alive, "key").groupBy("key", "h", "g", "shape").agg(
+        F.any_value("line").alias("line"), F.min("at").alias("at"), F.any_value("size").alias("size"), F.max("own").alias("own")
     )
+    rows = rows.withColumn("parts", _segment_parts(edits))
     rows, pairs = staged(rows), []
     while not rows.isEmpty():
         sizes = rows.groupBy("key").agg((F.sum(F.col("own").cast("long")) * F.count(F.lit(1))).alias("pairs"))
