@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-INTERVALS = 1000
+INTERVALS = 2000
 
 
 def _simpson(low: Column, high: Column, f) -> Column:
@@ -24,17 +24,22 @@ def f_tail(stat: Column, d1: Column, d2: Column) -> Column:
     """Upper tail of the F distribution.
 
     With v = atan(sqrt(d1 F / d2)) the tail is the share of the integral of
-    cos(v)^(d2-1) sin(v)^(d1-1) beyond v. The range is cut where the integrand
-    has vanished, so large degrees of freedom keep the same number of nodes.
+    cos(v)^(d2-1) sin(v)^(d1-1) beyond v. The integrand is taken relative to its
+    maximum, and the nodes lie within some widths of it, so any degrees of freedom do.
     """
     d1, d2 = d1.cast("double"), d2.cast("double")
-    end = F.least(F.lit(math.pi / 2), (F.sqrt(d1) + 12) / F.sqrt(d2))
-    start = F.atan(F.sqrt(d1 * stat / d2))
-    body = lambda v: F.pow(F.greatest(F.cos(v), F.lit(0.0)), d2 - 1) * F.pow(F.sin(v), d1 - 1)
-    share = _simpson(start, end, body) / _simpson(F.lit(0.0), end, body)
+    power = lambda x, d: F.when(d == 1, 0.0).otherwise((d - 1) * F.log(F.greatest(x, F.lit(1e-300))))
+    log_body = lambda v: power(F.cos(v), d2) + power(F.sin(v), d1)
+    peak = F.when(d1 == 1, 0.0).when(d2 == 1, math.pi / 2).otherwise(F.atan(F.sqrt((d1 - 1) / (d2 - 1))))
+    width = 9 / F.sqrt(F.greatest(d1 + d2 - 2, F.lit(1.0)))
+    low, high = F.greatest(F.lit(0.0), peak - width), F.least(F.lit(math.pi / 2), peak + width)
+    top = log_body(peak)
+    start = F.greatest(F.atan(F.sqrt(d1 * stat / d2)), low)
+    body = lambda v: F.exp(log_body(v) - top)
+    share = _simpson(start, high, body) / _simpson(low, high, body)
     return (
         F.when(stat.isNull() | (d2 <= 0) | (d1 <= 0), None)
-        .when(start >= end, 0.0)
+        .when(start >= high, 0.0)
         .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)))
     )
 
@@ -92,20 +97,12 @@ def normal_quantile(p: Column) -> Column:
     return F.when(F.abs(q) <= 0.425, centre).otherwise(F.signum(q) * side)
 
 
-def mcnemar_exact(yn: Column, ny: Column, exact_up_to: int = 100_000) -> Column:
-    """Two-sided p of McNemar's test.
+def mcnemar_exact(yn: Column, ny: Column) -> Column:
+    """Two-sided exact binomial p of McNemar's test, for any number of pairs.
 
-    Exact binomial sum up to ``exact_up_to`` discordant pairs, beyond that the
-    normal form with continuity correction.
+    The binomial tail at one half, P(X <= m) of n, is the F tail at (n - m) / (m + 1)
+    with 2 (m + 1) and 2 (n - m) degrees of freedom.
     """
     n, m = yn + ny, F.least(yn, ny)
-    start = F.struct((-n * math.log(2)).cast("double").alias("ln"), F.exp(-n * math.log(2)).cast("double").alias("sum"))
-
-    def add(acc, i):
-        ln = acc["ln"] + F.log((n - i + 1) / i)
-        return F.struct(ln.alias("ln"), (acc["sum"] + F.exp(ln)).alias("sum"))
-
-    terms = F.when(m >= 1, F.sequence(F.lit(1).cast("bigint"), m)).otherwise(F.array().cast("array<bigint>"))
-    exact = F.least(F.lit(1.0), 2 * F.aggregate(terms, start, add)["sum"])
-    z = (F.abs(yn - ny) - 1) / F.sqrt(n)
-    return F.when(n <= exact_up_to, exact).otherwise(F.least(F.lit(1.0), 2 * normal_tail(z)))
+    tail = f_tail((n - m) / (m + 1), 2 * (m + 1), 2 * (n - m))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))

@@ -56,9 +56,9 @@ def sentences(text: Column | str) -> Column:
 
 
 def all_uppercase(text: Column | str) -> Column:
-    """True for a text with cased characters, all of them uppercase."""
+    """True for a text with an uppercase letter and no lowercase or titlecase one; ``ª`` and ``º`` are lowercase."""
     t = _col(text)
-    return (t == F.upper(t)) & (t != F.lower(t))
+    return t.rlike(r"\p{IsUppercase}") & ~t.rlike(r"[\p{IsLowercase}\p{Lt}]")
 
 
 def occurrences(text: Column | str, pattern: str) -> Column:
@@ -69,13 +69,10 @@ def occurrences(text: Column | str, pattern: str) -> Column:
 
 
 def common_prefix(x: Column | str, y: Column | str) -> Column:
-    """Length of the longest common prefix of two strings."""
-    x, y = _col(x), _col(y)
-    shortest = F.least(F.length(x), F.length(y))
-    sizes = F.filter(
-        F.sequence(F.lit(0), shortest), lambda n: F.substr(x, F.lit(1), n) == F.substr(y, F.lit(1), n)
-    )
-    return F.array_max(sizes)
+    """Length of the longest common prefix of two strings, in one pass over their characters."""
+    same = F.zip_with(F.split(_col(x), ""), F.split(_col(y), ""), lambda a, b: (a == b) & (a != ""))
+    first = F.array_position(F.transform(same, lambda s: F.coalesce(s, F.lit(False))), F.lit(False))
+    return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
 
 def _stress_pattern(n: Column, k: Column) -> Column:

@@ -47,9 +47,7 @@ def binary_labels(speeches: DataFrame, labels: list[str]) -> DataFrame:
     )
 
 
-def distinct_labels(speeches: DataFrame, most: int = 10_000) -> list[str]:
-    """Label values in alphabetic order; refuses a label set that is no class list."""
-    rows = speeches.where(F.col("y").isNotNull()).select("y").distinct().orderBy("y").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} labels")
+def distinct_labels(speeches: DataFrame) -> list[str]:
+    """Label values in alphabetic order; one model is trained for each, so they are few."""
+    rows = speeches.where(F.col("y").isNotNull()).select("y").distinct().orderBy("y").collect()
     return [r["y"] for r in rows]

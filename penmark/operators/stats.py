@@ -8,6 +8,8 @@ most 1,001 distinct values per group, however many speakers it has.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from penmark.functions.tails import f_tail, normal_quantile, normal_tail, t_tail
@@ -162,7 +164,7 @@ def _poly(x: Column, *coefficients: float) -> Column:
 
 
 def shapiro(values: DataFrame, keys: list[str], value: str = "resid", row_id: str = "speaker") -> DataFrame:
-    """Shapiro-Wilk W and p (Royston's 1995 approximation), n of 4 or more.
+    """Shapiro-Wilk W and p (Royston's 1995 approximation; exact for n = 3).
 
     Order statistics come from the distributed sort; W needs only sums over
     them and the two values at each end.
@@ -193,8 +195,9 @@ def shapiro(values: DataFrame, keys: list[str], value: str = "resid", row_id: st
     phi1 = (mm - 2 * m1 * m1) / (1 - 2 * a1 * a1)
     big = a1 * (F.col("y1") - F.col("x1")) + a2 * (F.col("y2") - F.col("x2")) + F.coalesce("inner2", F.lit(0.0)) / F.sqrt(phi2)
     small = a1 * (F.col("y1") - F.col("x1")) + F.coalesce("inner1", F.lit(0.0)) / F.sqrt(phi1)
-    b = F.when(n > 5, big).otherwise(small)
-    out = sums.select(*keys, "n", F.when(n >= 4, F.try_divide(b * b, F.col("ss"))).alias("w"))
+    three = (F.col("y1") - F.col("x1")) / math.sqrt(2)
+    b = F.when(n > 5, big).when(n > 3, small).otherwise(three)
+    out = sums.select(*keys, "n", F.when(n >= 3, F.try_divide(b * b, F.col("ss"))).alias("w"))
     ln_n = F.log(n.cast("double"))
     few = n <= 11
     nd = n.cast("double")
@@ -208,4 +211,5 @@ def shapiro(values: DataFrame, keys: list[str], value: str = "resid", row_id: st
     )
     rest = F.log(1 - F.col("w"))
     z = (F.when(few, -F.log(_poly(nd, 0.459, -2.273) - rest)).otherwise(rest) - mu) / sigma
-    return out.withColumn("p", F.when(F.col("w") < 1, normal_tail(z)))
+    of_three = F.greatest(F.lit(0.0), 6 / math.pi * (F.asin(F.sqrt("w")) - math.asin(math.sqrt(0.75))))
+    return out.withColumn("p", F.when(n == 3, of_three).when(F.col("w") < 1, normal_tail(z)))

@@ -44,6 +44,14 @@ _UPOS = """CASE
   WHEN regexp_matches(w, '(able|ble|al|if|ivo|iva|lich|ly|oso|eux)$') THEN 'ADJ'
   WHEN length(w) = 1 THEN 'X' ELSE 'NOUN' END"""
 
+# Lowercase letters outside category Ll, as ª and º.
+_OTHER_LOWER = "ªºʰ-ʸˀˁˠ-ˤᴬ-ᵪᵸᶛ-ᶿⁱⁿₐ-ₜⅰ-ⅿⓐ-ⓩⱼⱽ"
+
+
+def _all_upper(x: str) -> str:
+    return rf"(regexp_matches({x}, '\p{{Lu}}') AND NOT regexp_matches({x}, '[\p{{Ll}}\p{{Lt}}{_OTHER_LOWER}]'))"
+
+
 _NUCLEUS = "[iuü]?[aeoáéó][iuü]?|[iuü]+|[íú]"
 
 
@@ -204,10 +212,10 @@ def _pieces() -> dict[str, str]:
         "aov": _anova("grouped", "f1"),
         "style": _style("speaker"),
         "style_texts": _style("speech_id"),
-        "utter": """SELECT regexp_extract(sent_id, '^(.*?\\.u[0-9]*)', 1) AS utterance_id, turn, clean, text FROM (
+        "utter": rf"""SELECT regexp_extract(sent_id, '^(.*?\.u[0-9]*)', 1) AS utterance_id, turn, clean, text FROM (
               SELECT 'C' || conv_id || '.u' || conv_id || '.s' || turn AS sent_id, turn, text,
                 lower(replace(replace(translate(text, 'äïö', 'aio'), '¿', '¿ '), '¡', '¡ ')) AS clean FROM conversations)
-              WHERE NOT (text = upper(text) AND text <> lower(text))""",
+              WHERE NOT {_all_upper('text')}""",
     }
 
 
@@ -350,7 +358,7 @@ def _bodies() -> dict[str, str]:
         "drop_chair": "SELECT speech_id, role FROM nochair",
         "party_min_rows": "SELECT speech_id, party FROM bigparty",
         "min_words": r"SELECT speech_id, len(regexp_extract_all(text, '\S+')) AS n_words FROM speeches WHERE len(regexp_extract_all(text, '\S+')) > 50",
-        "uppercase_sentences": "SELECT doc_id AS speech_id FROM documents WHERE text = upper(text) AND text <> lower(text)",
+        "uppercase_sentences": "SELECT doc_id AS speech_id FROM documents WHERE " + _all_upper("text"),
         "wing_assign": f"""SELECT speech_id, {_wing('four')} AS wing_four, {_wing('six')} AS wing_six, {_wing('two')} AS wing_two,
             {_ENGLISH.format(w='(' + _wing('four') + ')')} AS wing_en FROM speeches""",
         "top_speakers_per_wing": "SELECT * FROM top_four",
@@ -381,7 +389,7 @@ def _bodies() -> dict[str, str]:
                 SELECT conv_id, turn, lower(replace(replace(translate(line, 'äïö', 'aio'), '¿', '¿ '), '¡', '¡ ')) AS clean,
                   array_to_string(list_transform(regexp_extract_all(lower(line), '{_WORD}'), lambda w: {_UPOS}), ' ') AS tags
                 FROM (SELECT conv_id, turn, regexp_replace(text, '\s+', ' ', 'g') AS line FROM conversations)
-                WHERE NOT (line = upper(line) AND line <> lower(line)))
+                WHERE NOT {_all_upper('line')})
               GROUP BY conv_id) t USING (conv_id)""",
         "lexicon_from_file": """SELECT entry, gram, cdi, feels, count(*) AS n_words FROM words JOIN coded USING (w) GROUP BY ALL""",
         "token_stats": r"""SELECT t.speech_id, len(tokens) AS n_tokens, coalesce(len(regexp_extract_all(text, '\S+')), 0) AS n_words,
@@ -478,6 +486,6 @@ def _bodies() -> dict[str, str]:
               FROM grouped GROUP BY ALL) USING (method, grp) GROUP BY method, grp, q1, med, q3""",
         "todo_methods": f"""SELECT set_no, method FROM (VALUES {sets}) AS t(set_no, method) WHERE method NOT IN (
             SELECT CASE method WHEN 'LENGTH' THEN 'BaseFeatures' WHEN 'RULE' THEN 'ALL' ELSE 'ALL - POS' END FROM f1b)""",
-        "results_csv": "SELECT method, label, value FROM (SELECT method, task_label AS label, round(f1, 3) AS value FROM f1b)",
+        "results_csv": "SELECT method, 'C=' || length(method) AS params, CAST(length(method) AS INTEGER) AS n_features, label, value FROM (SELECT method, task_label AS label, round(f1, 3) AS value FROM f1b)",
         "predictions_store": "SELECT task_label, method, count(*) AS n, count(*) FILTER (WHERE y_true = y_pred) AS n_correct FROM preds GROUP BY ALL",
     }

@@ -502,6 +502,7 @@ def results_csv(spark, sf):
     """Wide ``;`` CSV of the scores, written and read back as long rows."""
     scores = m.f1_binary(sample.predictions(spark, sf))
     wide = scores.groupBy(F.col("method").alias("Method")).pivot("task_label", ["quality", "toxic"]).agg(F.round(F.max("f1"), 3))
+    wide = wide.select("Method", F.concat(F.lit("C="), F.length("Method")).alias("Best_params"), F.length("Method").alias("Tot_features"), "quality", "toxic")
     path = scratch_path(spark, "results")
     files.write_results_csv(wide, path)
     return files.read_results_csv(spark, path)

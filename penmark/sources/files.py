@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from penmark.functions import text as tx
@@ -25,12 +28,16 @@ def read_metadata(spark: SparkSession, folder: str, suffix: str = "*.tsv") -> Da
     The header of each file decides the column order, so files that order or
     omit columns differently are read apart and joined by name.
     """
-    lines = spark.read.text(folder, pathGlobFilter=suffix).withColumn("file", F.col("_metadata.file_path"))
+    lines = spark.read.text(folder, pathGlobFilter=suffix).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
     names = [f.name for f in METADATA_SCHEMA]
-    is_header = F.array_contains(F.split("value", "\t"), "ID")
+    # Only the first line of a file is its header; the reader's own file index names every file too.
+    firsts = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("value"))
     headers = [
-        (r["value"].split("\t"), sorted(r["files"]))
-        for r in lines.where(is_header).groupBy("value").agg(F.collect_set("file").alias("files")).collect()
+        (r["value"].removeprefix("\ufeff").split("\t"), sorted(r["files"]))
+        for r in firsts.groupBy("value").agg(F.collect_set("file").alias("files")).orderBy("value").collect()
     ]
     frames = []
     for columns, files in headers:
@@ -48,17 +55,29 @@ def read_metadata(spark: SparkSession, folder: str, suffix: str = "*.tsv") -> Da
 
 
 def read_conllu(spark: SparkSession, folder: str, suffix: str = "*.conllu") -> DataFrame:
-    """One row per sentence block of every ``.conllu`` file.
+    """One row per sentence block of every ``.conllu`` file, with either kind of line end.
 
     ``file, block, line`` order the sentences as they stand in the files, also
-    when a large file is read in several splits.
+    when a large file is read in several splits. A block with tokens but without
+    ``sent_id`` ends the read with an error.
     """
-    blocks = spark.read.text(folder, lineSep="\n\n", pathGlobFilter=suffix).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        F.col("value"),
-    )
+    lines = spark.read.text(folder, lineSep="\n", pathGlobFilter=suffix)
+    ended = lines.where(F.col("value").endswith("\r")).select(F.col("_metadata.file_path").alias("file"))
+    # File names only; the reader's file index holds them on the driver as well.
+    local = lambda f: re.sub("^file:/+", "/", f)
+    returns = {local(r["file"]) for r in ended.distinct().collect()}
+    plain = [f for f in lines.inputFiles() if local(f) not in returns]
+    parts = []
+    for files, gap in ((plain, "\n\n"), (sorted(returns), "\r\n\r\n")):
+        if files:
+            parts.append(spark.read.text(files, lineSep=gap).select(
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("line"),
+                F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n")).alias("value"),
+            ))
+    empty = spark.createDataFrame([], "file string, block long, line long, value string")
+    blocks = reduce(lambda x, y: x.unionByName(y), parts) if parts else empty
     rows = F.filter(F.split("value", "\n"), lambda s: (s != "") & ~s.startswith("#"))
     fields = F.transform(rows, lambda s: F.split(s, "\t"))
     token = lambda f: F.struct(
@@ -68,6 +87,8 @@ def read_conllu(spark: SparkSession, folder: str, suffix: str = "*.conllu") -> D
         F.get(f, F.lit(3)).alias("upos"),
     )
     sent_id = F.regexp_extract("value", r"(?m)^#\s*sent_id\s*=\s*(.*?)\s*$", 1)
+    lost = (sent_id == "") & (F.size(rows) > 0)
+    sent_id = F.when(lost, F.raise_error(F.concat(F.lit("a sentence without sent_id in "), "file"))).otherwise(sent_id)
     return (
         blocks.select(
             "file", "block", "line",
@@ -153,19 +174,32 @@ def write_results_csv(results: DataFrame, path: str) -> None:
 
 
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``;`` CSV of results to long rows ``method, label, value``."""
+    """``;`` CSV of results to long rows ``method, params, n_features, label, value``.
+
+    ``Best_params`` and ``Tot_features`` are null where the file has no such column.
+    """
     wide = spark.read.csv(path, sep=";", header=True)
     method = wide.columns[0]
-    metrics = [c for c in wide.columns[1:] if c not in ("Best_params", "Tot_features")]
+    extra = {"Best_params": ("params", "string"), "Tot_features": ("n_features", "int")}
+    metrics = [c for c in wide.columns[1:] if c not in extra]
+    about = [
+        (F.col(c) if c in wide.columns else F.lit(None)).cast(kind).alias(name) for c, (name, kind) in extra.items()
+    ]
     return (
-        wide.select(F.col(method).alias("method"), *[F.col(f"`{c}`").cast("double").alias(c) for c in metrics])
-        .unpivot(["method"], metrics, "label", "value")
+        wide.select(F.col(method).alias("method"), *about, *[F.col(f"`{c}`").cast("double").alias(c) for c in metrics])
+        .unpivot(["method", "params", "n_features"], metrics, "label", "value")
     )
 
 
 def append_results(results: DataFrame, path: str) -> None:
-    """Append long result rows ``run, method, label, metric, value, params, n_features``."""
-    results.write.mode("append").partitionBy("run").parquet(path)
+    """Store long result rows ``run, method, label, metric, value, params, n_features``."""
+    _store(results, path)
+
+
+def _store(rows: DataFrame, path: str) -> None:
+    """Replace the rows of each ``(run, method)`` at hand, so that a repeated write changes nothing."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run", "method").parquet(path)
 
 
 def read_long(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -179,9 +213,8 @@ def read_long(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def append_predictions(predictions: DataFrame, path: str) -> None:
-    """Append long rows ``run, task_label, method, speech_id, y_true, y_pred``."""
-    rows = predictions.withColumn("speech_id", F.col("speech_id").cast("string"))
-    rows.write.mode("append").partitionBy("run").parquet(path)
+    """Store long rows ``run, task_label, method, speech_id, y_true, y_pred``."""
+    _store(predictions.withColumn("speech_id", F.col("speech_id").cast("string")), path)
 
 
 def todo_methods(feature_sets: DataFrame, results: DataFrame, run: str) -> DataFrame:

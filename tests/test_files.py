@@ -106,3 +106,42 @@ def test_results_csv_round_trip(spark, tmp_path):
     files.write_results_csv(wide, str(tmp_path / "r"))
     got = {(r["method"], r["label"]): r["value"] for r in files.read_results_csv(spark, str(tmp_path / "r")).collect()}
     assert got == {("ALL", "Macro_F1"): 0.5, ("ALL", "micro_F1"): 0.25}
+
+
+def test_metadata_cell_that_looks_like_a_header(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("ID\tSpeaker_name\nx1\tID\nx2\tana\n", encoding="utf-8")
+    (tmp_path / "b.tsv").write_text("Speaker_name\tID\nbea\tID\n", encoding="utf-8")
+    rows = {(r["ID"], r["Speaker_name"]) for r in files.read_metadata(spark, str(tmp_path)).collect()}
+    assert rows == {("x1", "ID"), ("x2", "ana"), ("ID", "bea")}
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_conllu_line_ends(spark, tmp_path, end):
+    block = "# sent_id = P1.u1.s{0}\n# text = Hola {0}.\n1\tHola\thola\tINTJ\t_\t_\t_\t_\t_\t_\n\n"
+    text = "".join(block.format(i) for i in (1, 2, 3)).replace("\n", end)
+    (tmp_path / "a.conllu").write_bytes(text.encode())
+    got = files.read_conllu(spark, str(tmp_path)).orderBy("sent_id").collect()
+    assert [(r["sent_id"], r["text"], r["tokens"][0]["upos"]) for r in got] == [(f"P1.u1.s{i}", f"Hola {i}.", "INTJ") for i in (1, 2, 3)]
+
+
+def test_conllu_sentence_without_id_is_an_error(spark, tmp_path):
+    (tmp_path / "a.conllu").write_text("# text = Hola.\n1\tHola\thola\tINTJ\n\n", encoding="utf-8")
+    with pytest.raises(Exception, match="without sent_id"):
+        files.read_conllu(spark, str(tmp_path)).collect()
+
+
+def test_repeated_store_keeps_one_copy(spark, tmp_path):
+    path = str(tmp_path / "predictions")
+    schema = "run string, task_label string, method string, speech_id string, y_true string, y_pred string"
+    one = spark.createDataFrame([("r", "t", "m+1", "s1", "a", "b")], schema)
+    files.append_predictions(one, path)
+    files.append_predictions(one, path)  # the run broke off after its predictions and starts again
+    files.append_predictions(spark.createDataFrame([("r", "t", "m2", "s1", "a", "a")], schema), path)
+    assert {r["method"] for r in files.read_long(spark, path, schema).collect()} == {"m+1", "m2"}
+    assert files.read_long(spark, path, schema).count() == 2
+
+
+def test_results_csv_keeps_parameters(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("Method;Best_params;Tot_features;Macro_F1\nA;{C: 1};12;0.5\n", encoding="utf-8")
+    row = files.read_results_csv(spark, str(tmp_path / "r.csv")).first()
+    assert (row["method"], row["params"], row["n_features"], row["label"], row["value"]) == ("A", "{C: 1}", 12, "Macro_F1", 0.5)

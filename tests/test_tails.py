@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,11 +35,26 @@ def test_mcnemar_exact(spark, yn, ny, p):
     assert got == pytest.approx(p, abs=1e-12)
 
 
-def test_mcnemar_large_counts_agree_with_exact(spark):
-    a, b = F.lit(5200).cast("bigint"), F.lit(5000).cast("bigint")
-    exact = value(spark, tails.mcnemar_exact(a, b))
-    normal = value(spark, tails.mcnemar_exact(a, b, exact_up_to=10))
-    assert exact == pytest.approx(normal, abs=1e-4)
+@pytest.mark.parametrize("a, b", [(5200, 5000), (50_200, 49_800), (50_201, 49_800), (2_000_500, 2_000_000)])
+def test_mcnemar_large_counts_near_the_normal_form(spark, a, b):
+    got = value(spark, tails.mcnemar_exact(F.lit(a).cast("bigint"), F.lit(b).cast("bigint")))
+    assert got == pytest.approx(math.erfc((a - b - 1) / math.sqrt(a + b) / math.sqrt(2)), abs=1e-4)
+
+
+@pytest.mark.parametrize("yn, ny", [(3, 8), (40, 61), (700, 650)])
+def test_mcnemar_equals_the_binomial_sum(spark, yn, ny):
+    got = value(spark, tails.mcnemar_exact(F.lit(yn).cast("bigint"), F.lit(ny).cast("bigint")))
+    want = min(1, 2 * sum(math.comb(yn + ny, i) for i in range(min(yn, ny) + 1)) / 2 ** (yn + ny))
+    assert got == pytest.approx(want, abs=1e-10)
+
+
+@pytest.mark.parametrize("f, d1, d2", [(1.0, 300, 1_000_000), (1.1, 500, 5000), (1.2, 2000, 2000), (1.5, 7, 300_000)])
+def test_f_tail_of_many_groups(spark, f, d1, d2):
+    v = np.linspace(1e-9, math.pi / 2 - 1e-9, 4_000_001)
+    g = (d2 - 1) * np.log(np.cos(v)) + (d1 - 1) * np.log(np.sin(v))
+    share = np.exp(g - g.max())
+    want = share[v > math.atan(math.sqrt(d1 * f / d2))].sum() / share.sum()
+    assert value(spark, tails.f_tail(F.lit(f), F.lit(d1), F.lit(d2))) == pytest.approx(want, abs=2e-4)
 
 
 @pytest.mark.parametrize("q, k, df", [(3.877, 3, 10), (3.958, 4, 20), (2.772, 2, 100_000), (4.041, 5, 60 - 20), (6.085, 2, 2)])

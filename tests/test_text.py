@@ -1,3 +1,5 @@
+import pytest
+
 import random
 import re
 
@@ -98,3 +100,9 @@ def test_ngrams_through_longest_equal_plain_ngrams(spark):
         "array<string>",
     )
     assert [sorted(g) for g in got] == [_grams(r, 1, 7, "") for r in chars]
+
+
+@pytest.mark.parametrize("text, upper", [("SECCIÓN 1", True), ("SECCIÓN 1.ª", False), ("Nº 3", False), ("12", False), ("ǅA", False), ("", False), (None, None)])
+def test_all_uppercase(spark, text, upper):
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.select(tx.all_uppercase("t")).first()[0] is upper
