@@ -20,10 +20,12 @@ from penmark.operators.ranks import sorted_numbers
 def with_groups(values: DataFrame, labels: DataFrame) -> DataFrame:
     """Join each speaker's score with its group label, by name; drop groups of one.
 
-    ``values``: keys, ``speaker``, ``f1``. ``labels``: ``speaker, label``.
+    ``values``: keys, ``speaker``, ``f1``. ``labels``: ``speaker, label`` and, for several
+    groupings at once, the ``kind`` of each label.
     """
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    kept = labels.join(sizes, "label", "left_semi").select("speaker", F.col("label").alias("grp"))
+    by = [c for c in labels.columns if c != "speaker"]
+    sizes = labels.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    kept = labels.join(sizes, by, "left_semi").withColumnRenamed("label", "grp")
     return values.join(kept, "speaker")
 
 

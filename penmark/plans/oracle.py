@@ -203,12 +203,14 @@ def _pieces() -> dict[str, str]:
         "f1b": """SELECT run, task_label, method, f1 FROM scores WHERE label = '1'
               UNION ALL SELECT DISTINCT run, task_label, method, 0.0 FROM preds p WHERE NOT EXISTS (
                 SELECT 1 FROM scores s WHERE label = '1' AND s.task_label = p.task_label AND s.method = p.method)""",
-        "results": """SELECT method, speaker, round(CASE WHEN 2 * tp + wrong = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + wrong) END, 3) AS f1 FROM (
-              SELECT method, speaker, count(*) FILTER (WHERE y_true = '1' AND y_pred = '1') AS tp,
+        "results": """SELECT task_label, method, speaker, round(CASE WHEN 2 * tp + wrong = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + wrong) END, 3) AS f1 FROM (
+              SELECT task_label, method, speaker, count(*) FILTER (WHERE y_true = '1' AND y_pred = '1') AS tp,
                 count(*) FILTER (WHERE (y_true = '1') <> (y_pred = '1')) AS wrong
-              FROM preds WHERE task_label = 'quality' GROUP BY method, speaker)""",
-        "grouped": """SELECT r.*, m.label AS grp FROM results r JOIN modal m USING (speaker) WHERE kind = 'party'
-              AND label IN (SELECT label FROM modal WHERE kind = 'party' GROUP BY label HAVING count(*) > 1)""",
+              FROM preds GROUP BY task_label, method, speaker)""",
+        "grouped": """SELECT r.*, m.kind, m.label AS grp FROM results r JOIN modal m USING (speaker)
+              JOIN (SELECT kind, label FROM modal GROUP BY ALL HAVING count(*) > 1) USING (kind, label)""",
+        "indexed": """SELECT r.*, style, idx FROM results r JOIN (UNPIVOT (SELECT speaker, ati, cni, asi, pos_minus_neg, pos_plus_neg FROM style)
+              ON ati, cni, asi, pos_minus_neg, pos_plus_neg INTO NAME style VALUE idx) USING (speaker)""",
         "aov": _anova("grouped", "f1"),
         "style": _style("speaker"),
         "style_texts": _style("speech_id"),
@@ -284,12 +286,13 @@ def _f_tail(stat: str, d1: str, d2: str) -> str:
 
 
 def _anova(rows: str, v: str) -> str:
-    return f"""SELECT method, k, n, k - 1 AS df_between, n - k AS df_within, ssw / (n - k) AS mse,
+    return f"""SELECT task_label, kind, method, k, n, k - 1 AS df_between, n - k AS df_within, ssw / (n - k) AS mse,
           (ssb / (k - 1)) / (ssw / (n - k)) AS f_stat FROM (
-            SELECT method, count(DISTINCT grp) AS k, count(*) AS n, sum(({v} - gm) * ({v} - gm)) AS ssw,
+            SELECT task_label, kind, method, count(DISTINCT grp) AS k, count(*) AS n, sum(({v} - gm) * ({v} - gm)) AS ssw,
               sum((gm - m) * (gm - m)) AS ssb FROM (
-                SELECT *, avg({v}) OVER (PARTITION BY method, grp) AS gm, avg({v}) OVER (PARTITION BY method) AS m FROM {rows})
-            GROUP BY method)"""
+                SELECT *, avg({v}) OVER (PARTITION BY task_label, kind, method, grp) AS gm,
+                  avg({v}) OVER (PARTITION BY task_label, kind, method) AS m FROM {rows})
+            GROUP BY ALL)"""
 
 
 def _needed(body: str, pieces: dict[str, str]) -> list[str]:
@@ -349,9 +352,10 @@ def _bodies() -> dict[str, str]:
         count(*) FILTER (WHERE a.y_true <> a.y_pred AND b.y_true <> b.y_pred) AS nn
         FROM preds a JOIN preds b USING (task_label, speech_id) {where} GROUP BY ALL"""
     sets = ", ".join(f"({i}, {_text(method_name(s))})" for i, s in enumerate(series()))
-    ranks = """SELECT method, r.speaker, f1, ati, rank() OVER (PARTITION BY method ORDER BY f1) + (count(*) OVER (PARTITION BY method, f1) - 1) / 2.0 AS ry,
-        rank() OVER (PARTITION BY method ORDER BY ati) + (count(*) OVER (PARTITION BY method, ati) - 1) / 2.0 AS rx
-        FROM results r JOIN style s ON s.speaker = r.speaker WHERE ati IS NOT NULL"""
+    ranks = """SELECT task_label, method, style, rank() OVER (PARTITION BY task_label, method, style ORDER BY f1)
+          + (count(*) OVER (PARTITION BY task_label, method, style, f1) - 1) / 2.0 AS ry,
+        rank() OVER (PARTITION BY task_label, method, style ORDER BY idx)
+          + (count(*) OVER (PARTITION BY task_label, method, style, idx) - 1) / 2.0 AS rx FROM indexed"""
     return {
         "text_clean": """SELECT doc_id AS speech_id, lower(replace(replace(translate(text, 'äïö', 'aio'), '¿', '¿ '), '¡', '¡ ')) AS clean
             FROM documents""",
@@ -465,25 +469,26 @@ def _bodies() -> dict[str, str]:
         "words_by_wing": rf"""SELECT s.speaker, split_part(s.speaker, ' ', 1) AS first_name, {_ENGLISH.format(w='m.label')} AS wing,
             CAST(n_words AS BIGINT) AS n_words FROM (SELECT speaker, sum(len(regexp_extract_all(text, '\S+'))) AS n_words FROM speeches GROUP BY speaker) s
             LEFT JOIN (SELECT * FROM modal WHERE kind = 'wing') m USING (speaker)""",
-        "anova": f"""SELECT method, k, n, df_between, df_within, {_R('mse', 'mse')}, {_R('f_stat', 'f_stat')},
+        "anova": f"""SELECT task_label, kind, method, k, n, df_between, df_within, {_R('mse', 'mse')}, {_R('f_stat', 'f_stat')},
             {_R(_f_tail('f_stat', 'df_between', 'df_within'), 'p')} FROM aov""",
-        "levene": f"""SELECT method, k, n, {_R('f_stat', 'f_stat')} FROM ({_anova('''(SELECT g.method, g.grp,
-            abs(f1 - median(f1) OVER (PARTITION BY method, grp)) AS d FROM grouped g)''', 'd')})""",
-        "tukey_q": f"""SELECT a.method, a.grp AS group_a, b.grp AS group_b, {_R('b.m - a.m', 'mean_diff')},
+        "levene": f"""SELECT task_label, kind, method, k, n, {_R('f_stat', 'f_stat')},
+            {_R(_f_tail('f_stat', 'df_between', 'df_within'), 'p')} FROM ({_anova('''(SELECT g.task_label, g.kind, g.method, g.grp,
+            abs(f1 - median(f1) OVER (PARTITION BY task_label, kind, method, grp)) AS d FROM grouped g)''', 'd')})""",
+        "tukey_q": f"""SELECT a.task_label, a.kind, a.method, a.grp AS group_a, b.grp AS group_b, {_R('b.m - a.m', 'mean_diff')},
             {_R('abs(b.m - a.m) / sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n))', 'q')}
-            FROM (SELECT method, grp, avg(f1) AS m, count(*) AS n FROM grouped GROUP BY ALL) a
-            JOIN (SELECT method, grp, avg(f1) AS m, count(*) AS n FROM grouped GROUP BY ALL) b ON a.method = b.method AND a.grp < b.grp
-            JOIN aov ON aov.method = a.method""",
-        "spearman": f"""SELECT method, n, {_R('r', 'r')}, {_R(_f_tail('(r * r * (n - 2) / (1 - r * r))', '1', '(n - 2)'), 'p')} FROM (
-            SELECT method, count(*) AS n, corr(rx, ry) AS r FROM ({ranks}) GROUP BY method)""",
-        "bestfit": f"""SELECT method, CAST(regr_count(f1, ati) AS BIGINT) AS n, {_R('regr_slope(f1, ati)', 'slope')},
-            {_R('regr_intercept(f1, ati)', 'intercept')}, {_R('regr_r2(f1, ati)', 'r2')} FROM results r JOIN style s USING (speaker) GROUP BY method""",
-        "box_summary": f"""SELECT method, grp, {_R('q1', 'q1')}, {_R('med', 'median')}, {_R('q3', 'q3')}, count(*) AS n,
+            FROM (SELECT task_label, kind, method, grp, avg(f1) AS m, count(*) AS n FROM grouped GROUP BY ALL) a
+            JOIN (SELECT task_label, kind, method, grp, avg(f1) AS m, count(*) AS n FROM grouped GROUP BY ALL) b ON a.task_label = b.task_label AND a.kind = b.kind AND a.method = b.method AND a.grp < b.grp
+            JOIN aov ON aov.task_label = a.task_label AND aov.kind = a.kind AND aov.method = a.method""",
+        "spearman": f"""SELECT task_label, method, style, n, {_R('r', 'r')}, {_R(_f_tail('(r * r * (n - 2) / (1 - r * r))', '1', '(n - 2)'), 'p')} FROM (
+            SELECT task_label, method, style, count(*) AS n, corr(rx, ry) AS r FROM ({ranks}) GROUP BY ALL)""",
+        "bestfit": f"""SELECT task_label, method, style, CAST(regr_count(f1, idx) AS BIGINT) AS n, {_R('regr_slope(f1, idx)', 'slope')},
+            {_R('regr_intercept(f1, idx)', 'intercept')}, {_R('regr_r2(f1, idx)', 'r2')} FROM indexed GROUP BY ALL""",
+        "box_summary": f"""SELECT task_label, kind, method, grp, {_R('q1', 'q1')}, {_R('med', 'median')}, {_R('q3', 'q3')}, count(*) AS n,
             {_R('min(f1) FILTER (WHERE f1 >= q1 - 1.5 * (q3 - q1) AND f1 <= q3 + 1.5 * (q3 - q1))', 'whisker_low')},
             {_R('max(f1) FILTER (WHERE f1 >= q1 - 1.5 * (q3 - q1) AND f1 <= q3 + 1.5 * (q3 - q1))', 'whisker_high')},
             count(*) FILTER (WHERE NOT (f1 >= q1 - 1.5 * (q3 - q1) AND f1 <= q3 + 1.5 * (q3 - q1))) AS n_outliers
-            FROM grouped JOIN (SELECT method, grp, quantile_cont(f1, 0.25) AS q1, quantile_cont(f1, 0.5) AS med, quantile_cont(f1, 0.75) AS q3
-              FROM grouped GROUP BY ALL) USING (method, grp) GROUP BY method, grp, q1, med, q3""",
+            FROM grouped JOIN (SELECT task_label, kind, method, grp, quantile_cont(f1, 0.25) AS q1, quantile_cont(f1, 0.5) AS med, quantile_cont(f1, 0.75) AS q3
+              FROM grouped GROUP BY ALL) USING (task_label, kind, method, grp) GROUP BY task_label, kind, method, grp, q1, med, q3""",
         "todo_methods": f"""SELECT set_no, method FROM (VALUES {sets}) AS t(set_no, method) WHERE method NOT IN (
             SELECT CASE method WHEN 'LENGTH' THEN 'BaseFeatures' WHEN 'RULE' THEN 'ALL' ELSE 'ALL - POS' END FROM f1b)""",
         "results_csv": "SELECT method, 'C=' || length(method) AS params, CAST(length(method) AS INTEGER) AS n_features, label, value FROM (SELECT method, task_label AS label, round(f1, 3) AS value FROM f1b)",

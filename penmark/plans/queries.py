@@ -439,56 +439,60 @@ def words_by_wing(spark, sf):
 
 
 def _results(spark, sf) -> DataFrame:
-    """F1 per speaker and method, to 3 places as result tables hold them."""
-    preds = sample.predictions(spark, sf).where("task_label = 'quality'")
-    return m.f1_binary(preds, ["method", "speaker"]).withColumn("f1", F.round("f1", 3))
+    """F1 per task, speaker and method, to 3 places as result tables hold them."""
+    return m.f1_binary(sample.predictions(spark, sf), ["task_label", "method", "speaker"]).withColumn("f1", F.round("f1", 3))
+
+
+SCORED = ["task_label", "method"]
+TESTED = ["task_label", "kind", "method"]
 
 
 def _grouped(spark, sf) -> DataFrame:
-    labels = c.modal_labels(sample.speeches(spark, sf), ["party"]).select("speaker", "label")
-    return staged(st.with_groups(_results(spark, sf), labels))
+    """Scores with each speaker's wing, party, decade of birth and gender."""
+    return staged(st.with_groups(_results(spark, sf), c.modal_labels(_winged(spark, sf))))
 
 
 def anova(spark, sf):
-    out = st.anova(_grouped(spark, sf), ["method"])
-    return out.select("method", "k", "n", "df_between", "df_within", _r("mse"), _r("f_stat"), _r("p"))
+    out = st.anova(_grouped(spark, sf), TESTED)
+    return out.select(*TESTED, "k", "n", "df_between", "df_within", _r("mse"), _r("f_stat"), _r("p"))
 
 
 def levene(spark, sf):
-    return st.levene(_grouped(spark, sf), ["method"]).select("method", "k", "n", _r("f_stat"))
+    return st.levene(_grouped(spark, sf), TESTED).select(*TESTED, "k", "n", _r("f_stat"), _r("p"))
 
 
 def tukey_q(spark, sf):
-    return st.tukey(_grouped(spark, sf), ["method"]).select("method", "group_a", "group_b", _r("mean_diff"), _r("q"))
+    return st.tukey(_grouped(spark, sf), TESTED).select(*TESTED, "group_a", "group_b", _r("mean_diff"), _r("q"))
 
 
 def tukey_hsd(spark, sf):
     """p of every pair, also where the analysis of variance is not significant."""
-    return st.tukey_hsd(_grouped(spark, sf), ["method"], gate=1.1)
+    return st.tukey_hsd(_grouped(spark, sf), TESTED, gate=1.1)
 
 
 def shapiro(spark, sf):
-    return st.shapiro(st.residuals(_grouped(spark, sf), ["method"]), ["method"])
+    return st.shapiro(st.residuals(_grouped(spark, sf), TESTED), TESTED)
 
 
 def _index_and_f1(spark, sf):
-    index = staged(_style(spark, sf, "speaker").select("speaker", "ati"))
+    names = ["ati", "cni", "asi", "pos_minus_neg", "pos_plus_neg"]
+    index = staged(_style(spark, sf, "speaker").unpivot(["speaker"], names, "style", "idx").where("idx is not null"))
     return staged(_results(spark, sf).join(index, "speaker"))
 
 
 def spearman(spark, sf):
-    return st.spearman(_index_and_f1(spark, sf), ["method"], "ati", "f1").select("method", "n", _r("r"), _r("p"))
+    return st.spearman(_index_and_f1(spark, sf), SCORED + ["style"], "idx", "f1").select(*SCORED, "style", "n", _r("r"), _r("p"))
 
 
 def bestfit(spark, sf):
-    out = st.best_fit(_index_and_f1(spark, sf), ["method"], "ati", "f1")
-    return out.select("method", F.col("n").cast("bigint").alias("n"), _r("slope"), _r("intercept"), _r("r2"))
+    out = st.best_fit(_index_and_f1(spark, sf), SCORED + ["style"], "idx", "f1")
+    return out.select(*SCORED, "style", F.col("n").cast("bigint").alias("n"), _r("slope"), _r("intercept"), _r("r2"))
 
 
 def box_summary(spark, sf):
-    out = st.box_summary(_grouped(spark, sf), ["method"])
+    out = st.box_summary(_grouped(spark, sf), TESTED)
     return out.select(
-        "method", "grp", _r("q1"), _r("median"), _r("q3"), "n", _r("whisker_low"), _r("whisker_high"), "n_outliers"
+        *TESTED, "grp", _r("q1"), _r("median"), _r("q3"), "n", _r("whisker_low"), _r("whisker_high"), "n_outliers"
     )
 
 
