@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from penmark.llm import decontaminate, lines, minmax, packing, toxicity
-from penmark.llm.common import table
-from penmark.session import scratch_path
+from penmark.llm.common import small_side, table
+from penmark.session import scratch_path, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,7 +31,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
     found = minmax.near_duplicates(docs, words=5, percent=80)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = small_side(staged(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()), 16)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(*COLUMNS)
 
 
@@ -39,6 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents of which benchmark phrases cover a twentieth or more go."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     gone = found.where("contaminated").select(F.col("doc_id").alias("_gone"), F.col("n_words").alias("_n")).distinct()
+    gone = small_side(staged(gone), 24)
     # Rows that share an id are told apart by their number of words.
     words = F.size(decontaminate.words(F.col("text"))).cast("long")
     same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (words == gone["_n"])
