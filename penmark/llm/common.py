@@ -9,7 +9,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 U64 = np.uint64
 
@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BROADCAST_BYTES = 16 << 20
+
+
+def small_side(stored: DataFrame, row_bytes: int) -> DataFrame:
+    """Broadcast a stored table whose counted rows fit in ``BROADCAST_BYTES``; else the join shuffles it."""
+    return F.broadcast(stored) if stored.count() * row_bytes <= BROADCAST_BYTES else stored
+
+
 # ---- files that tasks write and read by byte ranges ------------------------
 
 

@@ -17,9 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from penmark.llm.common import U64, mix, shingles, texts_in
+from penmark.llm.common import U64, mix, shingles, small_side, texts_in
 from penmark.llm.graph import components
 from penmark.session import staged
 
@@ -93,8 +93,13 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough."""
-    left = sets.select(F.col("cid").alias("a"), F.col("set").alias("_x"))
-    right = sets.select(F.col("cid").alias("b"), F.col("set").alias("_y"))
+
+    def of(side: str, name: str) -> DataFrame:
+        """The sets of the ids on one side only; ids are few where the other side is a hub or the pairs are few."""
+        ids = small_side(staged(pairs.select(F.col(side).alias("cid")).distinct()), 16)
+        return sets.join(ids, "cid", "left_semi").select(F.col("cid").alias(side), F.col("set").alias(name))
+
+    left, right = of("a", "_x"), of("b", "_y")
     both = F.size(F.array_intersect("_x", "_y"))
     near = 100 * both >= percent * (F.size("_x") + F.size("_y") - both)
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
@@ -103,74 +108,112 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row.
 
-    Documents with equal sets are one class. Within a bucket of classes with an equal
-    band, first each class is compared with one leader, then with the bucket's lowest and
-    highest, always leaving out pairs already known to be connected; what is left between
-    unconnected classes is compared pair by pair, so no link is lost and a large group of
-    near copies never gives all its pairs.
+    Documents with equal sets are one class. Classes that share a band are compared in
+    three turns, each leaving out pairs that are known to be connected: every class with
+    the one of its bucket-mates that shares most bands with others; every class with that
+    hub of each of its buckets; and the classes that are still apart by an exact prefix
+    filter (see ``_apart``). So no link is lost, and a large group of near copies never
+    gives all its pairs.
     """
     sigs = staged(signatures(docs, words))
     classes = sigs.where("n > 0").groupBy("f", "g", "n").agg(F.min("row").alias("cid"), F.min("doc_id").alias("low"))
     classes = staged(classes)
     bands = sigs.join(classes.select(F.col("cid").alias("row")), "row", "left_semi")
     bands = bands.select(F.col("row").alias("cid"), "n", F.explode("bands").alias("h"))
-    shared = bands.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("cid").alias("lead"), F.max("cid").alias("last"))
-    shared = staged(shared.where("k > 1").drop("k"))
-    members = staged(bands.join(shared, "h").select("h", "cid", "n", "lead", "last"))
+    shared = staged(bands.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    members = staged(bands.join(shared, "h").select("h", "cid", "n", "k"))
+    popular = members.groupBy("cid").agg(F.sum("k").alias("pop"))
+    members = staged(members.drop("k").join(popular, "cid"))
+    hubs = members.groupBy("h").agg(F.max(F.struct("pop", (-F.col("cid")).alias("c"))).alias("hub"))
+    members = staged(members.join(hubs, "h").select("h", "cid", "n", "hub"))
     labels = _linked(docs, sigs, members, words, percent)
 
     by_class = classes.join(labels.select(F.col("id").alias("cid"), "comp"), "cid", "left")
     by_class = by_class.withColumn("comp", F.coalesce("comp", "cid"))
     lowest = by_class.groupBy("comp").agg(F.min("low").alias("component_id"))
-    by_class = by_class.join(lowest, "comp").select("f", "g", F.col("n").alias("_n"), "component_id", F.lit(True).alias("_in"))
-    rows = sigs.select("doc_id", "n", "f", "g").join(by_class.withColumnRenamed("_n", "n"), ["f", "g", "n"], "left")
+    by_class = by_class.join(lowest, "comp").select("f", "g", "n", "component_id", F.lit(True).alias("_in"))
+    rows = sigs.select("doc_id", "n", "f", "g").join(by_class, ["f", "g", "n"], "left")
     group = F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select(
         "doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept")
     )
 
 
+def _apart(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of unconnected classes that can be similar enough, by prefix and position.
+
+    Shingles are put in one order, rarest first. Of two similar sets the smaller has a
+    common shingle among its first ``s - 2p/(1+p) s + 1``, the larger among its first
+    ``s - p s + 1``, and at the first common one enough shingles must follow in both.
+    Variants of one text differ in shingles that nobody else has, which come first and
+    push the common ones behind these limits. A shingle counts only for classes that
+    another component could meet there.
+    """
+    held = sets.join(here.select("cid", "comp").distinct(), "cid")
+    tokens = held.select("cid", F.explode("set").alias("t"))
+    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("k"))
+    ordered = tokens.join(often, "t").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("o"))
+    ordered = ordered.join(held.select("cid", "comp").distinct(), "cid")
+    size = F.size("o").cast("long")
+    longest = size - F.ceil(size * percent / 100) + 1
+    rows = ordered.select("cid", "comp", size.alias("s"), F.posexplode(F.slice("o", F.lit(1), longest.cast("int"))).alias("i", "e"))
+    # What may still follow, itself included, against the overlap two sizes need.
+    rows = staged(rows.select("cid", "comp", "s", F.col("e.t").alias("t"), (F.col("s") - F.col("i")).alias("left")))
+    enough = lambda left, x, y: left * (100 + percent) >= percent * (x + y)
+    stored = rows.where(enough(F.col("left"), F.col("s"), F.col("s")))
+
+    def met(side: DataFrame, other: DataFrame, smallest: Column) -> DataFrame:
+        facts = other.groupBy("t").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.min("s").alias("_s"))
+        able = enough(F.col("left"), F.col("s"), F.greatest(smallest, F.col("_s")))
+        return side.join(facts, "t").where(able & ((F.col("_x") != F.col("comp")) | (F.col("_y") != F.col("comp")))).drop("_x", "_y", "_s")
+
+    probing = met(rows, stored, F.ceil(F.col("s") * percent / 100))
+    stored = met(stored, probing, F.col("s"))
+    left = stored.select("t", *[F.col(c).alias(f"_{c}") for c in ("cid", "comp", "s", "left")])
+    smaller = (F.col("_s") < F.col("s")) | ((F.col("_s") == F.col("s")) & (F.col("_cid") < F.col("cid")))
+    fits = smaller & (F.col("_comp") != F.col("comp")) & (100 * F.col("_s") >= percent * F.col("s"))
+    fits &= enough(F.least("_left", "left"), F.col("_s"), F.col("s"))
+    return left.join(probing, "t").where(fits).select(F.col("cid").alias("a"), F.col("_cid").alias("b"))
+
+
 def _linked(docs: DataFrame, sigs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """``(id, comp)`` of the classes that have a confirmed link."""
     wanted = sigs.select(F.col("row").alias("cid"), "doc_id", "f", "g").join(members.select("cid").distinct(), "cid", "left_semi")
     wanted = staged(wanted)
-    ids = wanted.select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    ids = small_side(staged(wanted.select(F.col("doc_id").cast("long").alias("_id")).distinct()), 16)
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
     found = shingle_sets(texts, words).join(wanted.select("cid", "f", "g"), ["f", "g"])
-    sets = staged(found.groupBy("cid").agg(F.any_value("set").alias("set")))
+    sets = staged(found.groupBy("f", "g", "cid").agg(F.any_value("set").alias("set")).select("cid", "set"))
 
     sizes = members.select(F.col("cid").alias("b"), F.col("n").alias("_m")).distinct()
-    labels = tested = None
-    for turn in ("first", "lead", "last", "rest"):
-        if labels is None:
-            here = members.withColumn("comp", F.col("cid"))
+    labels = members.select(F.col("cid").alias("id"), F.col("cid").alias("comp")).where(F.lit(False))
+    tested = None
+    for turn in ("hub", "hubs", "rest"):
+        known = labels.select(F.col("id").alias("cid"), "comp")
+        here = members.join(known, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        if turn == "hub":
+            best = members.groupBy("cid", "n").agg(F.max("hub").alias("hub")).select("cid", "n", (-F.col("hub.c")).alias("b"))
+            pairs = best.where("cid <> b").withColumnRenamed("cid", "a")
         else:
-            known = labels.select(F.col("id").alias("cid"), "comp")
-            here = members.join(known, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
             mixed = here.groupBy("h").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y")
-            here = staged(here.join(mixed.select("h"), "h", "left_semi"))
-        if turn == "first":
-            pairs = members.where("cid > lead").groupBy("cid", "n").agg(F.min("lead").alias("b"))
-            pairs = pairs.withColumnRenamed("cid", "a")
-        elif turn == "rest":
-            other = here.select("h", F.col("cid").alias("b"), F.col("comp").alias("_to"))
-            pairs = here.join(other, "h").where("comp <> _to and cid > b").select(F.col("cid").alias("a"), "n", "b").distinct()
-        else:
-            ends = here.where(F.col("cid") == F.col(turn)).select("h", F.col("comp").alias("_to"))
-            pairs = here.join(ends, "h").where(f"comp <> _to and cid <> {turn}")
-            pairs = pairs.select(F.col("cid").alias("a"), "n", F.col(turn).alias("b")).distinct()
-        pairs = pairs.join(sizes, "b").where(f"100 * least(n, _m) >= {percent} * greatest(n, _m)")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            here = staged(here.join(mixed.select("h"), "h", "left_semi").withColumn("b", -F.col("hub.c")))
+            if turn == "hubs":
+                ends = here.where("cid = b").select("h", F.col("comp").alias("_to"))
+                pairs = here.join(ends, "h").where("comp <> _to").select(F.col("cid").alias("a"), "n", "b").distinct()
+            else:
+                pairs = _apart(here, sets, percent)
+        if turn != "rest":
+            pairs = pairs.join(sizes, "b").where(f"100 * least(n, _m) >= {percent} * greatest(n, _m)")
+        # ``b`` stays the hub; a pair is told by its larger and smaller id.
+        pairs = pairs.select("a", "b", F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["hi", "lo"], "left_anti")
         pairs = staged(pairs)
         if pairs.isEmpty():
             continue
-        tested = pairs if tested is None else tested.union(pairs)
+        done = pairs.select("hi", "lo")
+        tested = done if tested is None else tested.union(done)
         links = staged(_confirmed(pairs, sets, percent))
-        if labels is None:
-            labels = components(links)
-            continue
         # New links join components: contract them, then move the labels.
         one = labels.select(F.col("id").alias("a"), F.col("comp").alias("_a"))
         two = labels.select(F.col("id").alias("b"), F.col("comp").alias("_b"))
@@ -179,9 +222,5 @@ def _linked(docs: DataFrame, sigs: DataFrame, members: DataFrame, words: int, pe
         fresh = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         known = labels.join(fresh, "id", "full").select("id", F.coalesce("comp", "id").alias("comp"))
         moves = moves.select(F.col("id").alias("comp"), F.col("comp").alias("_to"))
-        known = known.join(moves, "comp", "left")
-        labels = staged(known.select("id", F.coalesce("_to", "comp").alias("comp")))
-    if labels is None:
-        empty = members.select(F.col("cid").alias("id"), F.col("cid").alias("comp"))
-        return empty.where(F.lit(False))
+        labels = staged(known.join(moves, "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp")))
     return labels
