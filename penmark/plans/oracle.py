@@ -29,6 +29,9 @@ def _wing(scheme: str, party: str = "party") -> str:
     return f"CASE {whens} END"
 
 
+# The lexicon blocks whose grams are chosen by chi-square.
+_SELECTED = ("gram", "obj", "cog", "feels")
+
 _ENGLISH = "CASE {w} WHEN 'Izquierda' THEN 'Left' WHEN 'Derecha' THEN 'Right' WHEN 'Centro' THEN 'Centre' ELSE 'Regionalist' END"
 _WORD = r"[\p{L}\p{N}]*\p{L}[\p{L}\p{N}]*"
 
@@ -145,14 +148,17 @@ def _pieces() -> dict[str, str]:
                         unnest([wing, party, CAST(birth AS VARCHAR), gender]) AS label FROM winged)
                 WHERE label IS NOT NULL GROUP BY speaker, kind, label) WHERE r = 1""",
         # features
-        "function_words": f"SELECT unnest([{weak}]) AS w",
+        "function_words": f"SELECT unnest([{weak}]) AS w, unnest(range({len(function_word_list('es'))})) AS place",
         "side": """SELECT speech_id, party AS y, CASE WHEN speaker IS NOT NULL AND row_number() OVER (PARTITION BY speaker
               ORDER BY md5('42:' || speech_id), speech_id) <= 30 THEN 'train' ELSE 'test' END AS side FROM speeches""",
         "pos_units": """SELECT speech_id, w, row_number() OVER (PARTITION BY speech_id ORDER BY pos) AS i FROM (
               SELECT speech_id, pos, lower(upos) AS w FROM words JOIN tagged_words USING (w)) WHERE length(w) >= 2""",
-        "gram_units": """SELECT speech_id, w, row_number() OVER (PARTITION BY speech_id ORDER BY pos) AS i FROM (
-              SELECT speech_id, pos, lower(coalesce(gram, 'w')) AS w FROM words LEFT JOIN coded USING (w)) WHERE length(w) >= 2""",
-        **{f"{b}_grams": _word_grams(f"{b}_units") for b in ("pos", "gram")},
+        **{
+            f"{m}_units": f"""SELECT speech_id, w, row_number() OVER (PARTITION BY speech_id ORDER BY pos) AS i FROM (
+              SELECT speech_id, pos, lower(coalesce({m}, 'w')) AS w FROM words LEFT JOIN coded USING (w)) WHERE length(w) >= 2"""
+            for m in _SELECTED
+        },
+        **{f"{b}_grams": _word_grams(f"{b}_units") for b in ("pos", *_SELECTED)},
         "stress_grams": """SELECT speech_id, g AS gram, count(*) AS tf FROM (
               SELECT speech_id, substr(stress, i, n) AS g FROM (
                 SELECT speech_id, stress, n, unnest(range(1, length(stress) - n + 2)) AS i FROM (
@@ -162,17 +168,25 @@ def _pieces() -> dict[str, str]:
         **{
             f"{b}_train_df": f"""SELECT gram, count(*) AS df FROM {b}_grams JOIN side USING (speech_id)
                 WHERE side = 'train' GROUP BY gram"""
-            for b in ("pos", "gram")
+            for b in ("pos", "stress", *_SELECTED)
         },
         **{f"{b}_tfidf": _tfidf(f"{b}_grams", f"{b}_df", "(SELECT count(*) FROM speeches)") for b in ("pos", "gram", "stress")},
         **{
             f"{b}_fit_tfidf": _tfidf(f"{b}_grams", f"{b}_train_df", "(SELECT count(*) FROM side WHERE side = 'train')")
-            for b in ("pos", "gram")
+            for b in ("pos", "stress", *_SELECTED)
         },
         "gram_chi2": _chi2("SELECT t.gram, t.v, s.party AS y FROM gram_tfidf t JOIN speeches s USING (speech_id)",
                            "SELECT party AS y FROM speeches"),
-        "gram_fit_chi2": _chi2("SELECT t.gram, t.v, s.y FROM gram_fit_tfidf t JOIN side s USING (speech_id) WHERE side = 'train'",
-                               "SELECT y FROM side WHERE side = 'train'"),
+        **{
+            f"{m}_fit_chi2": _chi2(f"SELECT t.gram, t.v, s.y FROM {m}_fit_tfidf t JOIN side s USING (speech_id) WHERE side = 'train'",
+                                   "SELECT y FROM side WHERE side = 'train'")
+            for m in _SELECTED
+        },
+        **{
+            f"{m}_best": f"""SELECT gram FROM (SELECT *, row_number() OVER (ORDER BY round(chi2, 9) DESC, gram DESC) AS r FROM {m}_fit_chi2)
+              WHERE r <= floor(0.1 * (SELECT count(*) FROM {m}_train_df))"""
+            for m in _SELECTED
+        },
         "word_hist": "SELECT speech_id, length(w) AS len, count(*) AS n FROM words GROUP BY ALL",
         "sents": r"""SELECT speech_id, len(regexp_extract_all(lower(s), '[\p{L}\p{N}]*\p{L}[\p{L}\p{N}]*')) AS len FROM (
               SELECT speech_id, trim(unnest(regexp_split_to_array(text, '[.!?]+\s+|\n+'))) AS s FROM speeches) WHERE s <> ''""",
@@ -421,12 +435,16 @@ def _bodies() -> dict[str, str]:
             UNION ALL SELECT speech_id, 'word_lengths', 'w_len_' || i, v FROM word_fit_curve
             UNION ALL SELECT speech_id, 'sentence_lengths', 's_len_' || i, v FROM sent_fit_curve
             UNION ALL SELECT speech_id, 'pos_tags', gram, v FROM pos_fit_tfidf
-            UNION ALL SELECT speech_id, 'liwc_gram', gram, v FROM gram_fit_tfidf WHERE gram IN (
-              SELECT gram FROM (SELECT *, row_number() OVER (ORDER BY round(chi2, 9) DESC, gram DESC) AS r FROM gram_fit_chi2)
-              WHERE r <= floor(0.1 * (SELECT count(*) FROM gram_train_df))))""",
+            UNION ALL SELECT speech_id, 'stress', gram, v FROM stress_fit_tfidf
+            """ + " ".join(f"UNION ALL SELECT speech_id, 'liwc_{m}', gram, v FROM {m}_fit_tfidf WHERE gram IN (SELECT gram FROM {m}_best)"
+                           for m in _SELECTED) + ")",
         "feature_columns": """SELECT block, feature, CAST(row_number() OVER (ORDER BY b, place, feature) - 1 AS INTEGER) AS idx FROM (
-            SELECT 0 AS b, 'word_lengths' AS block, 'w_len_' || i AS feature, i AS place FROM (SELECT DISTINCT i FROM word_fit_curve)
-            UNION ALL SELECT 1, 'pos_tags', gram, 0 FROM pos_train_df)""",
+            SELECT 0 AS b, 'function_words' AS block, w AS feature, place FROM function_words
+            UNION ALL SELECT 1, 'word_lengths', 'w_len_' || i, i FROM (SELECT DISTINCT i FROM word_fit_curve)
+            UNION ALL SELECT 2, 'sentence_lengths', 's_len_' || i, i FROM (SELECT DISTINCT i FROM sent_fit_curve)
+            UNION ALL SELECT 3, 'pos_tags', gram, 0 FROM pos_train_df
+            UNION ALL SELECT 4, 'stress', gram, 0 FROM stress_train_df
+            """ + " ".join(f"UNION ALL SELECT {5 + i}, 'liwc_{m}', gram, 0 FROM {m}_best" for i, m in enumerate(_SELECTED)) + ")",
         "split_50": """SELECT speech_id, speaker, CASE WHEN row_number() OVER (PARTITION BY speaker
             ORDER BY md5('42:' || speech_id), speech_id) <= 50 THEN 'train' ELSE 'test' END AS side FROM speeches WHERE text IS NOT NULL""",
         "split_stratified": """SELECT speech_id, party AS y, CASE WHEN row_number() OVER (PARTITION BY party ORDER BY md5('42:' || speech_id), speech_id)

@@ -309,17 +309,16 @@ def chi2_top(spark, sf):
 def feature_table(spark, sf):
     rows = encoded_corpus(spark, sf)
     train = staged(_train_side(rows)).where("side = 'train'").select("speech_id", "y")
-    features, _ = x.build_features(rows, train, ["base_features", "pos_tags", "liwc_gram"])
+    features, _ = x.build_features(rows, train, x.SWITCHES)
     return features.withColumn("value", F.round("value", 6))
 
 
 def feature_columns(spark, sf):
-    rows = _tagged(spark, sf)
+    rows = encoded_corpus(spark, sf)
     train = staged(_train_side(rows)).where("side = 'train'").select("speech_id", "y")
     fitted = []
-    for block in ("word_lengths", "pos_tags"):
-        counts = x.block_counts(rows, block).join(train.select("speech_id"), "speech_id", "left_semi")
-        fitted.append(x.fit_block(block, counts, train))
+    for block, counts in x.staged_counts(rows, x.SWITCHES).items():
+        fitted.append(x.fit_block(block, counts.join(train.select("speech_id"), "speech_id", "left_semi"), train))
     return x.feature_index(fitted, rows)[0]
 
 
