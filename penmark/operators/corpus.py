@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from penmark.functions import text as tx
 from penmark.operators.ranks import SEED, shuffled_rank
+from penmark.session import staged
 
 # Party lists of each wing scheme.
 WING_SCHEMES: dict[str, dict[str, list[str]]] = {
@@ -101,21 +102,23 @@ def top_speakers(speeches: DataFrame, top: int = 20) -> DataFrame:
 def of_speakers(speeches: DataFrame, selected: DataFrame) -> DataFrame:
     """Rows of selected speakers, by name only.
 
-    ``selected`` holds a fixed number of speakers per wing (or in total), so it
-    stays a handful of rows on any corpus and is broadcast.
+    The names are stored first, so that Spark broadcasts them by their real size
+    and joins a large list like any other table.
     """
-    return speeches.join(F.broadcast(selected.select("speaker").distinct()), "speaker", "left_semi")
+    return speeches.join(staged(selected.select("speaker").distinct()), "speaker", "left_semi")
 
 
 def balanced_sample(speeches: DataFrame, seed: int = SEED) -> DataFrame:
     """As many shuffled rows of every speaker as the smallest speaker has.
 
-    The smallest size is a one-row scalar subquery. Rows without a speaker drop out.
+    Ranking sorts ids alone; texts are fetched by the chosen ids. The smallest size is
+    a one-row scalar subquery. Rows without a speaker drop out.
     """
     named = speeches.where(F.col("speaker").isNotNull())
-    smallest = speaker_counts(named, ["speaker"]).agg(F.min("n"))
-    ranked = shuffled_rank(named, ["speaker"], seed=seed)
-    return ranked.where(F.col("rn") <= smallest.scalar()).drop("rn", "group_size")
+    ids = staged(named.select("speech_id", "speaker"))
+    smallest = speaker_counts(ids, ["speaker"]).agg(F.min("n"))
+    chosen = staged(shuffled_rank(ids, ["speaker"], seed=seed).where(F.col("rn") <= smallest.scalar()).select("speech_id"))
+    return named.join(chosen, "speech_id", "left_semi")
 
 
 def without_other_status(speeches: DataFrame, author: str, status: str) -> DataFrame:

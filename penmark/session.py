@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -49,16 +48,10 @@ def staged(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     This cuts the lineage with a table that outlives an executor, gives the
     optimizer a real size (so a join is broadcast only when the file is small),
     and fixes values such as row numbers that must not change on a retry.
-    ``schema`` reads the stored layout under other types. On a cluster that names
-    no shared folder the table is persisted instead.
+    ``schema`` reads the stored layout under other types.
     """
     spark = df.sparkSession
-    folder = _shared_folder(spark)
-    if folder is None:
-        if schema is not None:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder.rstrip('/')}/penmark/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
 
