@@ -130,6 +130,41 @@ SELECT page_id, CAST(octet_length(p.body) AS BIGINT) AS payload_bytes, sha1(p.bo
 FROM p LEFT JOIN g ON p.body = g.body
 """
 
+# Two lines are at most one edit apart if one rest of them is equal beside an equal beginning;
+# such lines share their first or their second half.
+OP2_SQL = """
+WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT line, length(line) AS n, min({'d': doc_id, 'p': pos}) AS first FROM l WHERE length(trim(line)) >= 20 GROUP BY line),
+k AS (SELECT line, n, first, n AS m FROM f UNION ALL SELECT line, n, first, n - 1 FROM f),
+c AS (SELECT DISTINCT a.line AS x, b.line AS y, a.first AS fx, b.first AS fy FROM f a JOIN k b
+      ON a.n = b.m AND left(a.line, a.n // 2) = left(b.line, a.n // 2) AND a.line <> b.line
+    UNION SELECT DISTINCT a.line, b.line, a.first, b.first FROM f a JOIN k b
+      ON a.n = b.m AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) AND a.line <> b.line),
+e AS (SELECT * FROM c WHERE len(list_filter(range(length(y)), lambda i: left(x, i) = left(y, i)
+      AND substr(x, i + 1 + length(x) + 1 - length(y)) = substr(y, i + 2))) > 0),
+near AS (SELECT line, min(first) AS first FROM (SELECT x AS line, fy AS first FROM e UNION ALL SELECT y, fx FROM e) GROUP BY line),
+t AS (SELECT l.*, coalesce({'d': doc_id, 'p': pos} > f.first, false) AS again, coalesce({'d': doc_id, 'p': pos} > near.first, false) AS close
+    FROM l LEFT JOIN f ON l.line = f.line LEFT JOIN near ON l.line = near.line),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_exact, count(*) FILTER (close AND NOT again) AS n_near,
+      coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT again AND NOT close), '') AS kept FROM t GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near,
+  CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS text_sha256 FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 80 * (a.n + b.n - common)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
+"""
+
 OP5_SQL = r"""
 WITH p AS (SELECT page_id,
     translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -155,6 +190,8 @@ FROM c GROUP BY conv_id
 
 ORACLE_SQL: dict[str, str] = {
     "op1_capture_index": OP1_SQL,
+    "op2_segment_line_dedup": OP2_SQL,
+    "op3_minmax_near_dedup": OP3_SQL,
     "op5_url_sweep": OP5_SQL,
     "op6_chat_machine": OP6_SQL,
     "op7_positional_index": OP7_SQL,
