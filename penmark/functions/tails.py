@@ -105,4 +105,5 @@ def mcnemar_exact(yn: Column, ny: Column) -> Column:
     """
     n, m = yn + ny, F.least(yn, ny)
     tail = f_tail((n - m) / (m + 1), 2 * (m + 1), 2 * (n - m))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    # From half of the pairs on the tail is one half or more.
+    return F.when(2 * m + 1 >= n, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
