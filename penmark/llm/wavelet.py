@@ -118,8 +118,8 @@ class WaveletMatrix:
             raw = np.frombuffer(self.file.read(self._plane(k), self.width), np.uint8)
             ones = np.unpackbits(raw)[: self.n].view(bool)
             above = np.empty_like(values)
-            above[~ones] = values[: self.zeros[k]]
-            above[ones] = values[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
+            above[np.flatnonzero(~ones)] = values[: self.zeros[k]]
+            above[np.flatnonzero(ones)] = values[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
             values = above
         return values
 
@@ -133,7 +133,7 @@ def shard_bytes(ids: np.ndarray, doc_ids: list, lengths: list[int], bits: int) -
         raw = np.concatenate([raw, np.zeros(-len(raw) % (BLOCK // 8), np.uint8)])
         each = np.bitwise_count(raw.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint64)
         planes += [raw.tobytes(), np.concatenate(([0], np.cumsum(each))).astype("<u8").tobytes()]
-        values = np.concatenate([values[~ones], values[ones]])
+        values = np.concatenate([np.compress(~ones, values), np.compress(ones, values)])
         zeros.append(len(ids) - int(ones.sum()))
     names = zlib.compress(json.dumps(doc_ids).encode(), 1)
     sizes = zlib.compress(np.array(lengths, "<u8").tobytes(), 1)
