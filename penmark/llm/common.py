@@ -176,11 +176,11 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(windows(words, min(n, len(words))))
 
 
-def texts_in(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Batches cut so small that at most about 16 MB of text is in Python at once."""
+def texts_in(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 16 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches cut so small that about ``limit`` bytes of text are in Python at once."""
     for batch in batches:
         size = max(1, batch.nbytes)
-        step = max(1, batch.num_rows * (16 << 20) // size)
+        step = max(1, batch.num_rows * limit // size)
         for i in range(0, batch.num_rows, step):
             part = batch.slice(i, step)
             yield part, part.column(column).to_pylist()

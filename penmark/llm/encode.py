@@ -60,7 +60,7 @@ class Encoder:
     ranges goes to the library as it is.
     """
 
-    def __init__(self, path: str, kind: str, keep: int = 800_000):
+    def __init__(self, path: str, kind: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

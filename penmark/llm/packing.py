@@ -36,7 +36,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, slot = encoder(tokenizer, kind), TaskContext.get().partitionId() << 36
-        for part, texts in texts_in(batches):
+        for part, texts in texts_in(batches, limit=4 << 20):
             rows: list[list] = [[] for _ in range(7)]
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode.ids(texts)):
                 data = np.append(ids, end_id).astype("<u4")

@@ -173,7 +173,7 @@ def write_shards(
                 ["task", "path", "before", "n_docs", "n_tokens"],
             )
 
-        for part, texts in texts_in(batches):
+        for part, texts in texts_in(batches, limit=4 << 20):
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode.ids(texts)):
                 parts.append(np.append(ids, end_id).astype(store))
                 names.append(doc_id)
