@@ -44,9 +44,14 @@ def _part(a: Column, b: Column, n: Column, t: Column | int) -> Column:
     return F.struct(a.alias("a"), b.alias("b"), n.alias("n"), (F.lit(t) if isinstance(t, int) else t).alias("t"))
 
 
-def _open(parts: Column) -> Column:
-    """Without parts that are within reach whatever they hold."""
-    return F.filter(parts, lambda p: F.greatest(p["b"] - p["a"], p["n"]) > p["t"])
+def _left_over(parts: Column) -> Column:
+    """Without parts that hold nothing and allow nothing; the places in what is left agree for all lines of a key."""
+    return F.filter(parts, lambda p: (p["t"] > 0) | (p["n"] > 0))
+
+
+def _is_open(p: Column) -> Column:
+    """Whether a part can be out of reach, by what it holds."""
+    return F.greatest(p["b"] - p["a"], p["n"]) > p["t"]
 
 
 def _shapes(edits: int) -> list[tuple[int, int, int]]:
@@ -84,13 +89,14 @@ def _segment_parts(edits: int) -> Column:
     n = F.col("size") - shorter
     start, stop = _cut(n, i, edits)
     left = _part(F.lit(0), start + shift, start, i - 1)
-    return _open(F.array(left, _part(stop + shift, F.col("size"), n - stop, F.lit(edits + 1) - i)))
+    return _left_over(F.array(left, _part(stop + shift, F.col("size"), n - stop, F.lit(edits + 1) - i)))
 
 
 def _grown_keys(edits: int) -> Column:
     """The keys that follow when the first part that can be cut is cut into segments."""
     cut = F.filter("parts", lambda p: p["n"] > p["t"])[0]
-    others = F.filter("parts", lambda p: ~(p == cut))
+    at = F.array_position(F.transform("parts", lambda p: p["n"] > p["t"]), True) - 1
+    others = F.filter("parts", lambda p, j: j != at)
     a, b, n, t = cut["a"], cut["b"], cut["n"], cut["t"]
     longer, out = b - a - n, []
     for i in range(1, edits + 2):
@@ -105,7 +111,7 @@ def _grown_keys(edits: int) -> Column:
             possible = (F.lit(i) <= t + 1) & (F.lit(shift) >= F.greatest(F.lit(1 - i), longer - rest))
             possible &= (F.lit(shift) <= F.least(F.lit(i - 1), longer + rest)) & fits
             text = F.substring(F.col("line"), a + start + shift + 1, stop - start)
-            parts = F.filter(F.concat(others, _open(F.array(left, right))), lambda p: p["t"] > 0)
+            parts = F.filter(F.concat(others, F.array(left, right)), lambda p: p["t"] > 0)
             own = F.col("own") & F.lit(shift == 0)
             row = F.struct(
                 F.xxhash64("key", F.lit(i), text, *same).alias("key"), own.alias("own"), F.lit(shift).alias("shift"), parts.alias("parts")
@@ -181,6 +187,22 @@ def _with_leaders(rows: DataFrame) -> DataFrame:
     return pairs[0].union(pairs[1])
 
 
+def _slot_pairs(own: DataFrame, stuck: DataFrame) -> DataFrame:
+    """Lines with a part that cannot be cut but is open, and the stored lines of their key that share a character with it.
+
+    Such a part has more than ``t`` characters, so within ``t`` edits at least one of them is kept.
+    """
+    marks = lambda p: F.array_distinct(F.split(F.substring("line", p["a"] + 1, p["b"] - p["a"]), ""))
+    slots = F.transform("parts", lambda p, j: F.transform(marks(p), lambda c: F.struct(j.alias("j"), c.alias("c"))))
+    first = F.array_position(F.transform("parts", _is_open), True).cast("int")
+    asked = F.element_at(slots, first)
+    left, right = [
+        rows.select(*_SIDE, "key", F.explode(chars).alias("s")).select(*_SIDE, F.xxhash64("key", "s.j", "s.c").alias("key"))
+        for rows, chars in ((own, F.flatten(slots)), (stuck, asked))
+    ]
+    return _pairs(left, right)
+
+
 def near_lines(instances: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """``h, g, near``: for lines with an edited twin, the place of its earliest one."""
     alive = staged(_alive(_segment_keys(instances, ["h"], edits)))
@@ -192,11 +214,13 @@ def near_lines(instances: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     while not rows.isEmpty():
         sizes = rows.groupBy("key").agg((F.sum(F.col("own").cast("long")) * F.count(F.lit(1))).alias("pairs"))
         rows = rows.join(sizes, "key")
-        can_grow = F.exists("parts", lambda p: p["n"] > p["t"])
-        small = (F.col("pairs") <= GROUP_PAIRS) | ((F.size("parts") > 0) & ~can_grow)
-        few, closed = rows.where(small), rows.where(~small & (F.size("parts") == 0))
-        pairs.append(staged(_pairs(few.where("own"), few).union(_with_leaders(closed)).distinct()))
-        grown = rows.where(~small & (F.size("parts") > 0)).select(*_SIDE, "key", "own", "parts")
+        # All lines of a key can be cut, or none: then stored lines are closed, and others closed or stuck with an open part.
+        can_grow, is_open = F.exists("parts", lambda p: p["n"] > p["t"]), F.exists("parts", _is_open)
+        small = F.col("pairs") <= GROUP_PAIRS
+        few, closed, stuck = rows.where(small), rows.where(~small & ~is_open), rows.where(~small & is_open & ~can_grow)
+        found = [_pairs(few.where("own"), few), _with_leaders(closed), _slot_pairs(closed.where("own"), stuck)]
+        pairs.append(staged(reduce(lambda x, y: x.union(y), found).distinct()))
+        grown = rows.where(~small & can_grow).select(*_SIDE, "key", "own", "parts")
         grown = staged(grown.select(*_SIDE, F.explode(_grown_keys(edits)).alias("k")).select(*_SIDE, "k.*"))
         rows = staged(grown.join(_alive(grown), "key", "left_semi")) if not grown.isEmpty() else grown
     if not pairs:

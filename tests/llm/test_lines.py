@@ -84,3 +84,25 @@ def test_empty_table_and_small_minimum(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
         lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string"), 2, 5)
+
+
+def test_crowded_keys_of_two_lengths(spark):
+    """Above the production cap, lines one character longer are linked to the stored ones of their key."""
+    text, rng = "Part number in stock: {}b (see list)", random.Random(5)
+    codes = [p + q for p in "cdefghijklmn" for q in "CDEFGHIJKLMN"]
+    longer = [p + x + q for p in "cdefghijklmn" for x in "opqrstuvwxyz" for q in "CDEFGHIJKLMN"]
+    rng.shuffle(longer)  # only without its middle is one of them a code
+    frame = spark.createDataFrame([(d, text.format(c)) for d, c in enumerate(codes + longer)], "doc_id long, text string")
+    assert [r.doc_id for r in lines.dedup_lines(frame, 1, 20).where("n_near = 0").collect()] == [0]
+
+
+def test_slots_of_two_edits(spark, monkeypatch):
+    """The same with two edits and every key above the cap, against brute force."""
+    monkeypatch.setattr(lines, "GROUP_PAIRS", 0)
+    rng = random.Random(6)
+    code = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 5)))
+    docs = [(d, "a line with a code: " + code() + " and " + code()) for d in range(150)]
+    exact, near = _expected(docs, 2, 20)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = lines.dedup_lines(frame, 2, 20).collect()
+    assert {(r.doc_id, 0) for r in got if r.n_near} == near and {(r.doc_id, 0) for r in got if r.n_exact} == exact
