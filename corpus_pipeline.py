@@ -14,6 +14,7 @@ from penmark.llm.common import small_side, table
 from penmark.session import scratch_path, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LINE_EDITS = 2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that the corpus has earlier go; every document keeps its row."""
-    kept = lines.dedup_lines(docs.select(*COLUMNS))
+    kept = lines.dedup_lines(docs.select(*COLUMNS), max_edits=LINE_EDITS)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -52,3 +52,9 @@ def test_stages(spark, tmp_path):
     assert [n for n, _ in seen] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "packing"]
     assert all(set(c) == set(corpus_pipeline.COLUMNS) for _, c in seen[:-1])
     assert {r.doc_id for r in table.collect()} == ids
+
+
+def test_line_stage_drops_lines_two_edits_away(spark):
+    rows = [(1, "a line that is long enough to be compared"), (2, "a lime that is long enough to be compaired")]
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.n_chars for r in corpus_pipeline.dedup_lines(spark, frame, "").collect()} == {1: len(rows[0][1]), 2: 0}
