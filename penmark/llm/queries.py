@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from penmark.llm import chat, decontaminate, lines, minmax, packing, quality, toxicity, urls, warc, wavelet
+from penmark.llm import chat, decontaminate, fim, lines, manifest, minmax, packing, quality, secret_scan, toxicity, urls, warc, wavelet
 from penmark.llm.common import table
 from penmark.session import staged
 
@@ -87,6 +87,28 @@ def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_skip_list_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restored(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"),
+    )
+
+
+def op12_automaton_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = [r.kind for r in secret_scan.BASE]
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in base]
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    listed = [secret_scan.listed(F.col("spans"), only) for only in (base, None)]
+    return found.select("doc_id", *counts, F.sha2(listed[0], 256).alias("base_sha256"), listed[1].alias("spans"))
+
+
+def op13_bitmap_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return manifest.manifest(table(spark, sf_dir, "documents"), tampered=F.when(tampered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
+
+
 QUERIES = {
     "op1_capture_index": op1_capture_index,
     "op2_segment_line_dedup": op2_segment_line_dedup,
@@ -98,6 +120,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_noisy_or_toxicity": op10_noisy_or_toxicity,
+    "op11_skip_list_fim": op11_skip_list_fim,
+    "op12_automaton_secrets": op12_automaton_secrets,
+    "op13_bitmap_manifest": op13_bitmap_manifest,
 }
 
 # Words of documents and items; hits as distinct word positions, windows joined by their text.
@@ -188,6 +213,82 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+l AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS ls,
+    list_transform(range(4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS hs FROM d),
+c AS (SELECT *, hs[1] % (len(ls) + 1) AS a, hs[2] % (len(ls) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+    WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l),
+p AS (SELECT *, array_to_string(ls[1 : least(a, b)], '') AS p, array_to_string(ls[least(a, b) + 1 : greatest(a, b)], '') AS m,
+    array_to_string(ls[greatest(a, b) + 1 : len(ls)], '') AS s FROM c)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+# Matches of each pattern, their places from the lengths of the texts between and before them; then what the rule asks of its value.
+_OP12_KINDS = [
+    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""".replace("\\x20", " ").replace("\\'", "''"), 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]{24,}", 0, 24),  # shorter runs are dropped in any case
+    ("pem", "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0, 1),
+    ("webtoken", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    ("forge", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    ("chat", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
+    ("pay", "[rs]k_(live|test)_[A-Za-z0-9]+", 0, 24),
+    ("cloud", "AIza[A-Za-z0-9_-]+", 0, 39),
+    ("login", r"://[A-Za-z0-9._~%+-]+:([A-Za-z0-9._~%!$&*+,;=-]+@)", 1, 2),
+]
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(
+    f"SELECT r, {k} AS k, '{kind}' AS kind, {least} AS least, regexp_extract_all(text, '{pattern}') AS ms, "
+    f"regexp_extract_all(text, '{pattern}', {group}) AS vs, string_split_regex(text, '{pattern}') AS gs "
+    f"FROM d WHERE regexp_matches(text, '{pattern}')" for k, (kind, pattern, group, least) in enumerate(_OP12_KINDS))}),
+e AS (SELECT r, k, kind, least, unnest(vs) AS v, unnest(ms) AS x, unnest(list_transform(range(len(ms)),
+    lambda i: list_sum(list_transform(gs[1 : i + 1], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1 : i], lambda y: length(y))), 0))) AS a FROM m),
+s AS (SELECT r, k, kind, CAST(a AS BIGINT) AS a, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(x) AS BIGINT) AS span FROM e WHERE length(v) >= least),
+g AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+
+# Trees as lists of nodes a group and level; crc32 bit by bit over the digits of the id.
+OP13_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, lang, n_chars, text,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM documents),
+f AS (SELECT *, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS now FROM d),
+h AS (SELECT doc_id, source, now IS DISTINCT FROM text AS changed,
+    coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+    || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS old, coalesce(octet_length(encode(now)) || ':' || now, '-') AS new FROM f),
+l AS (SELECT doc_id, source, sha256(head || old) AS leaf, sha256(head || new) AS now,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256(head || old)) - 1 AS pos FROM h),
+g AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k, list(leaf ORDER BY pos) AS nodes FROM l GROUP BY source),
+t AS (SELECT k, 0 AS lv, nodes FROM g UNION ALL
+  SELECT k, lv + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], ''))) FROM t WHERE len(nodes) > 1),
+s AS (SELECT list(nodes[1] ORDER BY k) AS nodes FROM t WHERE len(nodes) = 1),
+u AS (SELECT 0 AS lv, nodes FROM s UNION ALL
+  SELECT lv + 1, list_transform(range((len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], ''))) FROM u WHERE len(nodes) > 1),
+top AS (SELECT nodes[1] AS root FROM u WHERE len(nodes) = 1),
+w AS (SELECT l.doc_id, l.leaf, l.now, l.pos, g.k, t.lv, l.pos // CAST(pow(3, t.lv) AS BIGINT) AS p, t.nodes FROM l JOIN g ON l.source IS NOT DISTINCT FROM g.source
+    JOIN t ON t.k = g.k AND len(t.nodes) > 1
+  UNION ALL SELECT l.doc_id, l.leaf, l.now, l.pos, g.k, 1000 + u.lv, g.k // CAST(pow(3, u.lv) AS BIGINT), u.nodes FROM l JOIN g ON l.source IS NOT DISTINCT FROM g.source
+    JOIN u ON len(u.nodes) > 1),
+v AS (SELECT k, pos, lv, array_to_string(nodes[p - p % 3 + 1 : p], '') AS a, array_to_string(nodes[p + 2 : p - p % 3 + 3], '') AS b FROM w),
+pr AS (SELECT k, pos, list({'a': a, 'b': b} ORDER BY lv) AS steps, sha256(string_agg(a || b, '' ORDER BY lv)) AS proof FROM v GROUP BY k, pos),
+o AS (SELECT l.*, g.k, steps, coalesce(proof, sha256('')) AS proof FROM l JOIN g ON l.source IS NOT DISTINCT FROM g.source LEFT JOIN pr ON pr.k = g.k AND pr.pos = l.pos),
+x AS (SELECT k, pos, now AS node, 1 AS i, steps FROM o UNION ALL
+  SELECT k, pos, sha256(steps[i].a || node || steps[i].b), i + 1, steps FROM x WHERE i <= coalesce(len(steps), 0))
+SELECT o.doc_id, o.leaf, t.nodes[1] AS subroot, top.root, o.proof AS proof_sha256, x.node AS folded_root, x.node = top.root AS verified
+FROM o JOIN x ON x.k = o.k AND x.pos = o.pos AND x.i = coalesce(len(o.steps), 0) + 1 JOIN t ON t.k = o.k AND len(t.nodes) = 1, top
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_capture_index": OP1_SQL,
     "op2_segment_line_dedup": OP2_SQL,
@@ -195,4 +296,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_sweep": OP5_SQL,
     "op6_chat_machine": OP6_SQL,
     "op7_positional_index": OP7_SQL,
+    "op11_skip_list_fim": OP11_SQL,
+    "op12_automaton_secrets": OP12_SQL,
+    "op13_bitmap_manifest": OP13_SQL,
 }
