@@ -25,9 +25,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from penmark.llm.common import small_side
 from penmark.session import staged
 
-MAX_EDITS, MIN_CHARS = 1, 20
+MAX_EDITS, MIN_CHARS = 2, 20
 GROUP_PAIRS = 1024  # lines of a key are compared pair by pair up to this product, else the key grows
 
 
@@ -205,11 +206,14 @@ def _slot_pairs(own: DataFrame, stuck: DataFrame) -> DataFrame:
 
 def near_lines(instances: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """``h, g, near``: for lines with an edited twin, the place of its earliest one."""
-    alive = staged(_alive(_segment_keys(instances, ["h"], edits)))
-    rows = _segment_keys(instances, [*_SIDE, "size"], edits).join(alive, "key").groupBy("key", "h", "g", "shape").agg(
-        F.any_value("line").alias("line"), F.min("at").alias("at"), F.any_value("size").alias("size"), F.max("own").alias("own")
+    alive = small_side(staged(_alive(_segment_keys(instances, ["h"], edits))), 16)
+    # Keys meet with hashes alone; texts and places come after, once for each line that is left.
+    keys = staged(_segment_keys(instances, ["h", "g"], edits).join(alive, "key").distinct())
+    wanted = small_side(staged(keys.select("h", "g").distinct()), 24)
+    texts = instances.join(wanted, ["h", "g"], "left_semi").groupBy("h", "g").agg(
+        F.any_value("line").alias("line"), F.min("at").alias("at"), F.any_value("size").alias("size")
     )
-    rows = rows.withColumn("parts", _segment_parts(edits))
+    rows = keys.join(texts, ["h", "g"]).withColumn("parts", _segment_parts(edits))
     rows, pairs = staged(rows), []
     while not rows.isEmpty():
         sizes = rows.groupBy("key").agg((F.sum(F.col("own").cast("long")) * F.count(F.lit(1))).alias("pairs"))

@@ -155,19 +155,27 @@ SELECT page_id, CAST(octet_length(p.body) AS BIGINT) AS payload_bytes, sha1(p.bo
 FROM p LEFT JOIN g ON p.body = g.body
 """
 
-# Two lines are at most one edit apart if one rest of them is equal beside an equal beginning;
-# such lines share their first or their second half.
+# Two lines within two edits share one of three parts of the shorter, moved by two places at most. Without
+# their common beginning and end, what is left of both has an edit at its first and one at its last character.
 OP2_SQL = """
 WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos
     FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
 f AS (SELECT line, length(line) AS n, min({'d': doc_id, 'p': pos}) AS first FROM l WHERE length(trim(line)) >= 20 GROUP BY line),
-k AS (SELECT line, n, first, n AS m FROM f UNION ALL SELECT line, n, first, n - 1 FROM f),
-c AS (SELECT DISTINCT a.line AS x, b.line AS y, a.first AS fx, b.first AS fy FROM f a JOIN k b
-      ON a.n = b.m AND left(a.line, a.n // 2) = left(b.line, a.n // 2) AND a.line <> b.line
-    UNION SELECT DISTINCT a.line, b.line, a.first, b.first FROM f a JOIN k b
-      ON a.n = b.m AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) AND a.line <> b.line),
-e AS (SELECT * FROM c WHERE len(list_filter(range(length(y)), lambda i: left(x, i) = left(y, i)
-      AND substr(x, i + 1 + length(x) + 1 - length(y)) = substr(y, i + 2))) > 0),
+own AS (SELECT line, first, n, i, substr(line, n * i // 3 + 1, n * (i + 1) // 3 - n * i // 3) AS part FROM f, range(3) t(i)),
+probe AS (SELECT line, first, n - d AS n, i, substr(line, (n - d) * i // 3 + 1 + s, (n - d) * (i + 1) // 3 - (n - d) * i // 3) AS part
+    FROM f, range(3) t(i), range(3) u(d), range(-2, 3) v(s)),
+c AS (SELECT DISTINCT a.line AS x, b.line AS y, a.first AS fx, b.first AS fy FROM own a JOIN probe b USING (n, i, part) WHERE a.line <> b.line),
+q AS (SELECT *, string_split(x, '') AS xs, string_split(y, '') AS ys FROM c),
+b AS (SELECT *, coalesce(list_filter(range(1, len(xs) + 1), lambda i: xs[i] IS DISTINCT FROM ys[i])[1], len(xs) + 1) AS p FROM q),
+z AS (SELECT *, coalesce(list_filter(range(0, len(xs) - p + 1), lambda i: xs[len(xs) - i] IS DISTINCT FROM ys[len(ys) - i]
+    OR len(ys) - i < p)[1], len(xs) - p + 1) AS t FROM b),
+m AS (SELECT x, y, fx, fy, xs[p : len(xs) - t] AS a, ys[p : len(ys) - t] AS b FROM z),
+e AS (SELECT * FROM m WHERE (len(a) = 0 AND len(b) <= 2) OR (len(b) = 0 AND len(a) <= 2) OR (len(a) = 1 AND len(b) = 1)
+    OR (len(a) > 0 AND len(b) > 0 AND (
+      (len(a) = len(b) AND (a[2 : len(a) - 1] = b[2 : len(b) - 1] OR a[2 : len(a)] = b[1 : len(b) - 1] OR a[1 : len(a) - 1] = b[2 : len(b)]))
+      OR (len(b) = len(a) + 1 AND (b[2 : len(b) - 1] = a[2 : len(a)] OR b[2 : len(b) - 1] = a[1 : len(a) - 1]))
+      OR (len(a) = len(b) + 1 AND (a[2 : len(a) - 1] = b[2 : len(b)] OR a[2 : len(a) - 1] = b[1 : len(b) - 1]))
+      OR (len(b) = len(a) + 2 AND b[2 : len(b) - 1] = a) OR (len(a) = len(b) + 2 AND a[2 : len(a) - 1] = b)))),
 near AS (SELECT line, min(first) AS first FROM (SELECT x AS line, fy AS first FROM e UNION ALL SELECT y, fx FROM e) GROUP BY line),
 t AS (SELECT l.*, coalesce({'d': doc_id, 'p': pos} > f.first, false) AS again, coalesce({'d': doc_id, 'p': pos} > near.first, false) AS close
     FROM l LEFT JOIN f ON l.line = f.line LEFT JOIN near ON l.line = near.line),
