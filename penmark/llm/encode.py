@@ -55,8 +55,8 @@ class Encoder:
     """``ids(text)`` as the library gives them with ``add_special_tokens=False``.
 
     Strings of special tokens inside a text are ordinary text. A word's ids do not depend
-    on its neighbours, so distinct words are encoded once and looked up after; the store
-    is emptied when it holds ``keep`` words. A text with characters outside the plain
+    on its neighbours, so distinct words are encoded once and looked up after. A store of more
+    than ``keep`` words drops those that were met only once. A text with characters outside the plain
     ranges goes to the library as it is.
     """
 
@@ -68,7 +68,8 @@ class Encoder:
         self.kind, self.keep = kind, keep
         self.find = re.compile(PATTERNS[kind]).findall
         vocabulary = self.library.get_vocab()
-        self.marks = {glue: np.zeros(max(vocabulary.values()) + 1, bool) for glue in (" ", "", "\n")}
+        self.largest = max(vocabulary.values())
+        self.marks = {glue: np.zeros(self.largest + 1, bool) for glue in (" ", "", "\n")}
         for token, n in vocabulary.items():
             self.marks[" "][n] = token.endswith("</w>")
             self.marks[""][n] = token.startswith("\u0120")  # a leading blank in the byte vocabulary
@@ -80,8 +81,28 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
+        self.met = np.zeros(1 << 16, np.int64)
         self.words = self.used = 0
 
+    def _trim(self) -> None:
+        """Keep the words that were met again; none if these fill half the store."""
+        again = np.flatnonzero(self.met[: self.words] > 1)
+        words, flat, first, count, met = list(self.numbers), self.flat, self.first[again], self.count[again], self.met[again]
+        self._reset()
+        if not 0 < len(again) <= self.keep // 2:
+            return
+        self.numbers.update((words[k], n) for n, k in enumerate(again.tolist()))
+        self._grow(len(again))
+        ends = np.cumsum(count)
+        ids = flat[np.repeat(first - (ends - count), count) + np.arange(ends[-1])]
+        self._store(np.arange(len(again)), ids, count)
+        self.met[: len(again)] = met // 2
+        self.words = len(again)
+
+    def _grow(self, words: int) -> None:
+        while words > len(self.first):
+            self.first, self.count, self.met = [np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.met)]
+
     def _library_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -121,9 +142,7 @@ class Encoder:
         if not new:
             return
         self.numbers.new = []
-        while self.words + len(new) > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
+        self._grow(self.words + len(new))
         if self.kind == "word":
             kinds = np.zeros(len(new), np.int8)
         else:
@@ -142,24 +161,25 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text; null is empty."""
-        plain: list[list[int] | np.ndarray] = []
+        plain: list[np.ndarray] = []
         owner, sizes = [], []
         out: list[list[np.ndarray]] = [[] for _ in texts]
         if len(self.numbers) > self.keep:
-            self._reset()
+            self._trim()
         for i, text in enumerate(texts):
             for part in _pieces(text) if text else ():
                 if _STRANGE.search(part):
                     out[i].append(np.array(self._library_ids([part])[0], np.uint32))
                 else:
                     words = self.find(part.lower() if self.kind == "word" else part)
-                    plain.append(list(map(self.numbers.__getitem__, words)))
+                    plain.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
                     sizes.append(len(words))
                     owner.append((i, len(out[i])))
                     out[i].append(np.zeros(0, np.uint32))
         self._learn()
         if plain:
-            at = np.fromiter(chain.from_iterable(plain), np.int64, sum(sizes))
+            at = np.concatenate(plain)
+            self.met[: self.words] += np.bincount(at, minlength=self.words)
             count = self.count[at]
             ends = np.cumsum(count)
             total = int(ends[-1]) if len(ends) else 0

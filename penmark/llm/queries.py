@@ -75,7 +75,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return wavelet.stored_documents(table(spark, sf_dir, "documents"), path, "byte", end_id=2)
+    return wavelet.stored_documents(table(spark, sf_dir, "documents"), path, "byte", end_id=2, count_id=2).withColumnRenamed("n_counted", "n_end_ids")
 
 
 def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

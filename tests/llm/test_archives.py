@@ -29,6 +29,10 @@ def test_ids_equal_the_library(spark, name, kind):
     encoder = Encoder(public_tokenizers.path(name), kind, keep=500)  # the store is emptied between calls
     got = encoder.ids(texts[:40]) + encoder.ids(texts[40:])
     assert [g.tolist() for g in got] == want
+    for keep in (40, 3000):  # words met once go, the others stay
+        encoder = Encoder(public_tokenizers.path(name), kind, keep=keep)
+        got = [g.tolist() for i in range(0, len(texts), 7) for g in encoder.ids(texts[i : i + 7])]
+        assert got == want
 
 
 def test_packing_fills_and_restores(spark):
@@ -86,15 +90,40 @@ def test_wavelet_shards(spark, tmp_path):
     assert [r.start for r in rows] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
     assert [r.ids_crc32 for r in rows] == [zlib.crc32(x.tobytes()) for x in ids]
     assert wavelet.write_shards(frame.limit(0), str(tmp_path / "none"), path, "byte", 2).count() == 0
-    first = min(shards.collect(), key=lambda r: r.start)
-    shard, flat = wavelet.WaveletMatrix(first.path), np.concatenate(ids)[: first.n_tokens]
-    for i in (0, 1, 511, 512, 513, len(flat) - 1):
+    assert [r.n_counted for r in wavelet.read_documents(shards, 2).orderBy("start").collect()] == [int((x == 2).sum()) for x in ids]
+    with pytest.raises(ValueError):
+        wavelet.write_shards(frame, str(tmp_path / "narrow"), path, "byte", 2, bits=15)
+    with pytest.raises(ValueError):
+        wavelet.write_shards(frame, str(tmp_path / "narrow"), path, "byte", 70_000, bits=16)
+    wide = wavelet.write_shards(frame, str(tmp_path / "wide"), path, "byte", 70_000)
+    assert [r.n_tokens for r in wavelet.read_documents(wide).orderBy("start").collect()] == [len(x) for x in ids]
+
+
+@pytest.mark.parametrize("n", [0, 1, 300, (1 << 17) - 1, 1 << 17, 400_000])
+def test_rank_select_access(tmp_path, n):
+    rng = np.random.default_rng(n)
+    flat = np.minimum(rng.zipf(1.3, n), 60_000).astype(np.uint16)
+    path = str(tmp_path / "shard")
+    wavelet.write_file(path, wavelet.shard_bytes(flat, [1], [n], 16))
+    shard = wavelet.WaveletMatrix(path)
+    places = np.sort(rng.integers(0, n + 1, 50))
+    for token in (1, 2, 7, 60_000, 59_999, 65_535):
+        where = np.flatnonzero(flat == token)
+        ids, ranks = shard.tokens(token, places)
+        assert np.array_equal(ids, flat) and np.array_equal(ranks, np.searchsorted(where, places))
+        assert shard.count(token) == len(where) and [shard.rank(token, int(p)) for p in places[:5]] == ranks[:5].tolist()
+        for k in {0, len(where) // 2, len(where) - 1} if len(where) else ():
+            assert shard.select(token, k) == where[k]
+        with pytest.raises(IndexError):
+            shard.select(token, len(where))
+    assert shard.occurrences(60_000)[:20] == np.flatnonzero(flat == 60_000)[:20].tolist()
+    for i in {0, 63, 64, n // 2, n - 1} if n > 64 else range(n):
         assert shard.access(i) == flat[i]
-    for token in {int(flat[0]), 2, 262, 65535}:
-        where = np.flatnonzero(flat == token).tolist()
-        assert shard.count(token) == len(where) and shard.occurrences(token)[:50] == where[:50]
-        assert shard.rank(token, 777) == sum(w < 777 for w in where)
+    with pytest.raises(IndexError):
+        shard.access(n)
     shard.close()
+    if n > 100_000:
+        assert sum(map(len, wavelet.shard_bytes(flat, [1], [n], 16))) < 0.8 * 2 * n
 
 
 def test_archives_and_index(spark, tmp_path):
