@@ -28,6 +28,18 @@ def small_side(stored: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(stored) if stored.count() * row_bytes <= BROADCAST_BYTES else stored
 
 
+def lowest_hashes(rows: DataFrame, key: str, size: int, limit: int) -> DataFrame:
+    """At most ``limit`` rows, those with the lowest hashes of ``key``, of ``size`` counted ones.
+
+    A share of the hash range that holds little more than ``limit`` rows is kept first, so that tasks
+    do not hand on ``limit`` rows each.
+    """
+    share = (limit + 8 * limit**0.5 + 16) / max(1, size)
+    if share < 1:
+        rows = rows.where(F.xxhash64(key) <= F.lit(int(share * 2**64) - 2**63))
+    return rows.orderBy(F.xxhash64(key), key).limit(limit)
+
+
 # ---- files that tasks write and read by byte ranges ------------------------
 
 

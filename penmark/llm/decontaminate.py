@@ -14,9 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from penmark.llm.common import small_side
 from penmark.session import staged
 
 WINDOW = 13
+ROW_ALIGNMENTS = 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # the text is in lower case by then
 
@@ -31,7 +33,12 @@ def words(text: Column) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Documents by id and text hash, so that equal ids with other texts stay apart."""
-    return docs.select("doc_id", F.xxhash64("text").alias("_th"), "text")
+    return docs.select("doc_id", text_hash().alias("_th"), "text")
+
+
+def text_hash() -> Column:
+    """128 bits of a text."""
+    return F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
 
 
 def _same_doc(left: DataFrame, right: DataFrame) -> Column:
@@ -74,7 +81,13 @@ def phrase_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, _th, item_id, spans``: the windows of an item that occur, as word spans ``{a, b}`` of the document."""
     chosen = staged(anchors(docs, items))
     found = staged(alignments(docs, chosen))
-    asked = found.groupBy("doc_id", "_th").agg(F.collect_list(F.struct("item_id", "at", "len")).alias("asked"))
+    # A document with a frequent anchor has many alignments: they go through its text some hundred at a time.
+    counts = found.groupBy("doc_id", "_th").agg(F.ceil(F.count(F.lit(1)) / F.lit(ROW_ALIGNMENTS)).alias("_rows"))
+    counts = counts.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), "_rows")
+    part = F.pmod(F.xxhash64("item_id", "at"), F.col("_rows")).alias("_part")
+    asked = found.join(counts, _same_doc(found, counts)).groupBy("doc_id", "_th", part).agg(
+        F.collect_list(F.struct("item_id", "at", "len")).alias("asked")
+    )
     asked = asked.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), "asked")
     keyed = _keyed(docs)
     near = keyed.join(asked, _same_doc(keyed, asked)).select("doc_id", "_th", words(F.col("text")).alias("doc"), "asked")
@@ -112,6 +125,18 @@ def covered(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row a document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
+    return _judged(docs, benchmark, window).drop("_th")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the contaminated rows, told by id and text; all columns."""
+    gone = _judged(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t")).distinct()
+    gone = small_side(staged(gone), 40)
+    here = docs.withColumn("_th", text_hash())
+    return here.join(gone, _same_doc(here, gone), "left_anti").select(*docs.columns)
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     items = staged(benchmark_items(benchmark, window))
     found = phrase_matches(docs, items)
     hits = found.groupBy("doc_id", "_th").agg(
@@ -119,12 +144,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
     hits = hits.select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), "n_hit", "items")
-    sizes = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    sizes = docs.select("doc_id", text_hash().alias("_th"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     rows = sizes.join(hits, _same_doc(sizes, hits), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return rows.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
+        "doc_id", "_th", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )

@@ -6,8 +6,11 @@ choose candidates; every link is confirmed on the full shingle sets. At the thre
 0.8 a pair shares no band with a chance of (1 - 0.8^4)^32 = 4.7e-8.
 
 Defined results: a null or wordless text has an empty set, is linked with nothing and is
-kept. Rows with equal ``doc_id`` are kept or dropped together. A null ``doc_id`` counts as
-no id: it is kept only where its whole group has none. Other columns are ignored.
+kept. ``near_duplicates`` judges by ids: rows of one group that share its smallest id are all
+kept, and a null ``doc_id`` counts as no id, kept only where its whole group has none.
+``without_copies`` judges rows: of each group one row stays, that with the smallest id (null
+last), then the smallest text hash; rows that share an id but are no copies stay. An empty table
+gives an empty one. Other columns are ignored, or returned by ``without_copies``.
 """
 
 from __future__ import annotations
@@ -68,14 +71,20 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             row += len(texts)
             offsets = pa.array(np.cumsum([0, *map(len, bands)]), pa.int32())
             keys = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(bands or [np.zeros(0, np.int64)])))
-            columns = [rows, part.column("doc_id"), pa.array(size, pa.int64()), pa.array(one), pa.array(two), keys]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "f", "g", "bands"])
+            of_row = [part.column(c) for c in ("doc_id", "h1", "h2")]
+            columns = [rows, *of_row, pa.array(size, pa.int64()), pa.array(one), pa.array(two), keys]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "h1", "h2", "n", "f", "g", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "row long, doc_id long, n long, f long, g long, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long"), "text", *text_hashes()).mapInArrow(
+        run, "row long, doc_id long, h1 long, h2 long, n long, f long, g long, bands array<long>"
     )
 
 
+def text_hashes() -> list[Column]:
+    """128 bits of a text, as ``h1`` and ``h2``; with the id they tell rows apart."""
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """Fingerprint and full set of each document."""
 
@@ -106,7 +115,41 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row.
+    """``doc_id, n_shingles, component_id, kept`` for each row."""
+    rows = grouped(docs, words, percent)
+    group = F.when(F.col("comp").isNotNull(), F.col("low")).otherwise(F.col("doc_id"))
+    return rows.select(
+        "doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept")
+    )
+
+
+def without_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near copies; all columns."""
+    rows = staged(grouped(docs, words, percent).where("comp IS NOT NULL").select("doc_id", "h1", "h2", "comp"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    first = rows.groupBy("comp").agg(F.min(key).alias("_first"))
+    keys = rows.groupBy("comp", "doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("copies")).join(first, "comp")
+    stays = F.col("_first") == key
+    marked = keys.where(~stays | (F.col("copies") > 1)).select(
+        F.col("doc_id").alias("_d"), F.col("h1").alias("_1"), F.col("h2").alias("_2"), stays.alias("_stays")
+    )
+    marked = staged(marked)
+    here = docs.select("*", *[h.alias(f"_{n}") for h, n in zip(text_hashes(), ("h1", "h2"))])
+    same = lambda k: here["doc_id"].eqNullSafe(k["_d"]) & (here["_h1"] == k["_1"]) & (here["_h2"] == k["_2"])
+    all_marked = small_side(marked, 32)
+    rest = here.join(all_marked, same(all_marked), "left_anti").select(*docs.columns)
+    again = marked.where("_stays")
+    if again.isEmpty():
+        return rest
+    # Equal rows of an id and a text that stay: one of them.
+    again = small_side(staged(again), 32)
+    rows = here.join(again, same(again), "left_semi")
+    one = rows.groupBy("doc_id", "_h1", "_h2").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return rest.union(one.select("_row.*"))
+
+
+def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Each row's ``doc_id, h1, h2, n``, its group ``comp`` (null without words) and the group's smallest id ``low``.
 
     Documents with equal sets are one class. Classes that share a band are compared in
     three turns, each leaving out pairs that are known to be connected: every class with
@@ -116,7 +159,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     gives all its pairs.
     """
     sigs = staged(signatures(docs, words))
-    classes = sigs.where("n > 0").groupBy("f", "g", "n").agg(F.min("row").alias("cid"), F.min("doc_id").alias("low"))
+    classes = sigs.where("n > 0").groupBy("f", "g", "n").agg(F.min("row").alias("cid"), F.min("doc_id").alias("lowest"))
     classes = staged(classes)
     bands = sigs.join(classes.select(F.col("cid").alias("row")), "row", "left_semi")
     bands = bands.select(F.col("row").alias("cid"), "n", F.explode("bands").alias("h"))
@@ -130,13 +173,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     by_class = classes.join(labels.select(F.col("id").alias("cid"), "comp"), "cid", "left")
     by_class = by_class.withColumn("comp", F.coalesce("comp", "cid"))
-    lowest = by_class.groupBy("comp").agg(F.min("low").alias("component_id"))
-    by_class = by_class.join(lowest, "comp").select("f", "g", "n", "component_id", F.lit(True).alias("_in"))
-    rows = sigs.select("doc_id", "n", "f", "g").join(by_class, ["f", "g", "n"], "left")
-    group = F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select(
-        "doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept")
-    )
+    lowest = by_class.groupBy("comp").agg(F.min("lowest").alias("component_id"))
+    by_class = by_class.join(lowest, "comp").select("f", "g", "n", F.col("component_id").alias("low"), "comp")
+    return sigs.select("doc_id", "h1", "h2", "n", "f", "g").join(by_class, ["f", "g", "n"], "left")
 
 
 def _apart(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -23,6 +23,7 @@ from penmark.session import staged
 
 CAPACITY = 4096
 GROUP_TOKENS = 1 << 24  # tokens packed together by one task: about 4096 sequences, one of them not full
+GROUP_PIECES = 1 << 18  # short documents fill a group before its tokens do
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
 
 
@@ -113,13 +114,13 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to stored pieces with ``length`` and ``slot``.
 
-    Pieces are dealt at random into groups of about ``group_tokens`` tokens, however many
-    there are, and each group is packed by one task. Lengths above ``capacity`` are refused.
+    Pieces are dealt at random into groups of about ``group_tokens`` tokens and at most about
+    ``GROUP_PIECES`` pieces, and each group is packed by one task. Lengths above ``capacity`` are refused.
     """
-    total = pieces.agg(F.sum("length"), F.max("length")).first()
+    total = pieces.agg(F.sum("length"), F.max("length"), F.count(F.lit(1))).first()
     if (total[1] or 0) > capacity:
         raise ValueError("cut documents to the capacity first")
-    groups = max(1, -(-(total[0] or 0) // group_tokens))
+    groups = max(1, -(-(total[0] or 0) // group_tokens), -(-total[2] // GROUP_PIECES))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("slot", kind="stable").reset_index(drop=True)

@@ -23,7 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from penmark.llm.common import texts_in, windows, word_hashes
+from penmark.llm.common import lowest_hashes, texts_in, windows, word_hashes
+from penmark.session import staged
 
 SAMPLE = 20_000
 SYMBOLS = np.zeros(256, bool)
@@ -169,7 +170,8 @@ def learn_rules(
     rows = labelled.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), *[F.min(c).alias(c) for c in STATS]
     )
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = staged(rows)
+    rows = lowest_hashes(rows, "doc_id", rows.count(), sample)
     data = rows.select("quality", *[v.alias(k) for k, v in ratios().items()]).toPandas()  # at most ``sample`` rows
     names = list(ratios())
     data = data.sort_values(["quality", *names]).sample(frac=1.0, random_state=11).reset_index(drop=True)

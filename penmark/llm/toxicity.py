@@ -5,7 +5,8 @@ weights it holds, and a document is toxic if any sentence is: ``1 - prod(1 - p)`
 document labels are used to learn, yet the sentences' own scores say which one offends.
 
 The model is fitted on at most ``2 * PER_CLASS`` labelled documents (the lowest hashes of
-``doc_id`` in each class, weighted back to the classes' sizes) and holds at most
+``doc_id`` in each class, weighted back to the classes' sizes; the lowest text where rows share
+an id) and holds at most
 ``FEATURES`` weights; every document is scored, whole.
 
 Defined results: a null, empty or wordless text scores 0; a document labelled twice takes
@@ -22,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from penmark.llm.common import NOT_ALNUM, U64, mix, texts_in, word_hashes
+from penmark.llm.common import NOT_ALNUM, U64, lowest_hashes, mix, texts_in, word_hashes
 from penmark.session import staged
 
 PER_CLASS = 4000
@@ -67,11 +68,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     known = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = staged(known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     sizes = {row["toxic"]: row["n"] for row in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Two labels, so two sorts that keep the lowest rows only.
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [known.where(F.col("toxic") == label).orderBy(*order).limit(per_class) for label in (0, 1)]
+    # Two labels, so two samples.
+    chosen = [lowest_hashes(known.where(F.col("toxic") == label), "doc_id", sizes.get(label, 0), per_class) for label in (0, 1)]
     chosen = staged(chosen[0].union(chosen[1]))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    # Of texts that share an id, the lowest is learned from.
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
     return staged(rows.select("toxic", "text")), sizes
 
 
