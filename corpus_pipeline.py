@@ -2,6 +2,12 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a table that is stored as Parquet and
 read again. All but the last return the columns of ``documents``; ``n_chars`` follows the text.
+
+Defined results: a stage decides row by row, so rows that share an id, or have none, are told
+apart by their text. A null or empty text is not toxic, has no lines to lose, is nobody's copy and
+is not contaminated, so its row reaches the packing. Of rows with equal texts one stays; wordless
+ones all stay. An empty table, or one without labels or benchmark items, passes through; with no
+toxic label nothing is toxic. Further columns of ``documents`` are left out at the first stage.
 """
 
 from __future__ import annotations
@@ -10,8 +16,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from penmark.llm import decontaminate, lines, minmax, packing, toxicity
-from penmark.llm.common import small_side, table
-from penmark.session import scratch_path, staged
+from penmark.llm.common import table
+from penmark.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LINE_EDITS = 2
@@ -30,21 +36,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    found = minmax.near_duplicates(docs, words=5, percent=80)
-    gone = small_side(staged(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()), 16)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(*COLUMNS)
+    """Of each group of near copies one document stays, that with the smallest id."""
+    return minmax.without_copies(docs.select(*COLUMNS), words=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark phrases cover a twentieth or more go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("_gone"), F.col("n_words").alias("_n")).distinct()
-    gone = small_side(staged(gone), 24)
-    # Rows that share an id are told apart by their number of words.
-    words = F.size(decontaminate.words(F.col("text"))).cast("long")
-    same = docs["doc_id"].eqNullSafe(gone["_gone"]) & (words == gone["_n"])
-    return docs.join(gone, same, "left_anti").select(*COLUMNS)
+    return decontaminate.clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
