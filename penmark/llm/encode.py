@@ -15,9 +15,10 @@ _NUMBERS = "0-9²³¹¼-¾"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _PLAIN = "\u0000-\u001b -~¡-įı-ɏ‐-‧"
 _SPACE = " \t\n\u000b\f\r"
+# Endings begin with an apostrophe, so words can be tried before them.
 PATTERNS = {
-    "word": f"{_ENDINGS}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+",
-    "byte": f"{_ENDINGS}| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACE}{_LETTERS}{_NUMBERS}]+"
+    "word": f"[{_LETTERS}]+|[{_NUMBERS}]|{_ENDINGS}|[^{_SPACE}{_LETTERS}{_NUMBERS}]+",
+    "byte": f" ?[{_LETTERS}]+| ?[{_NUMBERS}]+|{_ENDINGS}| ?[^{_SPACE}{_LETTERS}{_NUMBERS}]+"
     f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+",
 }
 _STRANGE = re.compile(f"[^{_PLAIN}]")

@@ -29,7 +29,7 @@ from penmark.llm.common import small_side
 from penmark.session import staged
 
 MAX_EDITS, MIN_CHARS = 2, 20
-GROUP_PAIRS = 1024  # lines of a key are compared pair by pair up to this product, else the key grows
+GROUP_PAIRS = 64  # lines of a key are compared pair by pair up to this product, else the key grows
 
 
 def _instances(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -121,12 +121,60 @@ def _grown_keys(edits: int) -> Column:
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+_STEPS = [1 << k for k in range(20, -1, -1)]
+
+
+def _common(a: Column, b: Column, end: bool = False) -> Column:
+    """Characters that two strings share at the beginning, or at the end; found by halving."""
+    n = F.least(F.length(a), F.length(b))
+
+    def part(x: Column, k: Column, step: Column) -> Column:
+        start = F.length(x) - k - step + 1 if end else k + 1
+        return F.substring(x, start, step)
+
+    def longer(k: Column, step: Column) -> Column:
+        return F.when((k + step <= n) & (part(a, k, step) == part(b, k, step)), k + step).otherwise(k)
+
+    # The longest step twice, so that very long strings get there too; what is left equal is only more work.
+    return F.aggregate(F.lit([_STEPS[0], *_STEPS]), F.lit(0), longer)
+
+
+HEAD = 16  # characters after which most pairs that are too far apart are known to be
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two strings are at most ``edits`` edits apart.
 
-    An automaton over the band of 2 * edits + 1 diagonals: bit d of word e says that the
-    diagonal d can be reached with at most e edits. Each character of ``b`` updates all
-    diagonals of a word at once.
+    What they share at both ends needs no edit. The automaton reads a short piece of the rest first:
+    if it is dead by then, so it is after the whole.
+    """
+
+    def middle(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        far = F.abs(F.length(x) - F.length(y)) > edits
+        short = F.greatest(F.length(x), F.length(y)) <= edits
+        alive = _automaton(F.substring(x, F.lit(1), F.lit(HEAD + edits)), F.substring(y, F.lit(1), F.lit(HEAD)), edits, whole=False)
+        return F.when(far, False).when(short, True).when(~alive, False).otherwise(_automaton(x, y, edits, whole=True))
+
+    cut = lambda x, k: F.substring(x, k + 1, F.length(x) - k)
+    left = lambda x, k: F.substring(x, F.lit(1), F.length(x) - k)
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ends = lambda s: _let(_common(s["x"], s["y"], end=True), lambda k: pair(left(s["x"], k), left(s["y"], k)))
+    tail = _let(_common(a, b), lambda k: pair(cut(a, k), cut(b, k)))
+    return _let(_let(tail, ends), middle)
+
+
+def _automaton(a: Column, b: Column, edits: int, whole: bool) -> Column:
+    """An automaton over the band of 2 * edits + 1 diagonals.
+
+    Bit d of word e says that the diagonal d can be reached with at most e edits. Each character of
+    ``b`` updates all diagonals of a word at once. The answer is whether the end is reached, or, not
+    ``whole``, whether any diagonal is still alive.
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
@@ -151,6 +199,8 @@ def within(a: Column, b: Column, edits: int) -> Column:
         return F.struct(*[w.alias(name) for w, name in zip(new, names)])
 
     def last(words: Column) -> Column:
+        if not whole:
+            return words[names[-1]] != 0
         return reduce(lambda x, y: x | y, [
             (n - m == F.lit(d - edits)) & (words[names[-1]].bitwiseAND(F.lit(1 << d).cast("long")) != 0) for d in range(width)
         ])

@@ -178,14 +178,36 @@ class WaveletMatrix:
             at, low = here[:-1], int(here[-1])
         values = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):  # from the lowest plane up
-            ones = np.unpackbits(planes.pop())[: self.n].view(bool)
-            above = np.empty_like(values)
-            above[np.flatnonzero(~ones)] = values[: self.zeros[k]]
-            above[np.flatnonzero(ones)] = values[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
-            values = above
+            values[self.zeros[k] :] |= kind(1 << (self.bits - 1 - k))
+            values = _joined(values, np.unpackbits(planes.pop())[: self.n].view(bool), self.zeros[k])
         return values, at - low
 
 
+_STRETCH = 1 << 15  # ids moved at a time, so that the places of ones stay in the cache
+
+
+def _parted(values: np.ndarray, ones: np.ndarray, zeros: int) -> np.ndarray:
+    """The values without a one, then those with one, each in their order."""
+    out, a, b = np.empty_like(values), 0, zeros
+    for i in range(0, len(values), _STRETCH):
+        here, one = values[i : i + _STRETCH], ones[i : i + _STRETCH]
+        low, high = np.compress(~one, here), np.compress(one, here)
+        out[a : a + len(low)], out[b : b + len(high)] = low, high
+        a, b = a + len(low), b + len(high)
+    return out
+
+
+def _joined(values: np.ndarray, ones: np.ndarray, zeros: int) -> np.ndarray:
+    """The order before ``_parted``."""
+    out, a, b = np.empty_like(values), 0, zeros
+    for i in range(0, len(values), _STRETCH):
+        here, one = out[i : i + _STRETCH], ones[i : i + _STRETCH]
+        low, high = np.flatnonzero(~one), np.flatnonzero(one)
+        here[low], here[high] = values[a : a + len(low)], values[b : b + len(high)]
+        a, b = a + len(low), b + len(high)
+    return out
+
+
 def shard_bytes(ids: np.ndarray, doc_ids: list, lengths: list[int], bits: int) -> Iterator[bytes]:
     """The parts of a shard file, one plane at a time."""
     blocks = -(-len(ids) // BLOCK)
@@ -204,8 +226,8 @@ def shard_bytes(ids: np.ndarray, doc_ids: list, lengths: list[int], bits: int) -
             table[k, 1, b] = at
             at += len(planes[-1])
         table[k, 1, blocks] = at
-        values = np.concatenate([np.compress(~ones, values), np.compress(ones, values)])
         zeros.append(len(ids) - int(table[k, 0, -1]))
+        values = _parted(values, ones, zeros[-1])
     names = zlib.compress(json.dumps(doc_ids).encode(), 1)
     sizes = zlib.compress(np.array(lengths, "<u8").tobytes(), 1)
     head = {"n": len(ids), "bits": bits, "zeros": zeros, "docs": [len(names), len(sizes)]}
