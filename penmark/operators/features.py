@@ -296,24 +296,24 @@ def feature_index(fitted: list[FittedBlock], like: DataFrame) -> tuple[DataFrame
     return numbered, sum(f.n_features for f in fitted)
 
 
+def to_arrays(features: DataFrame, index: DataFrame, size: int, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``indices`` and ``values`` of their cells; speeches without a feature have none."""
+    cells = features.join(small_side(index, size), ["block", "feature"])
+    packed = cells.groupBy("speech_id").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("c"))
+    both = rows.join(packed, "speech_id", "left").withColumn(
+        "c", F.coalesce("c", F.array().cast("array<struct<idx:int,value:double>>"))
+    )
+    return both.select(*rows.columns, F.col("c.idx").alias("indices"), F.col("c.value").alias("values"))
+
+
 def to_vectors(features: DataFrame, index: DataFrame, size: int, rows: DataFrame) -> DataFrame:
     """``rows`` with a sparse ``features`` vector; speeches without a feature get an empty one.
 
     The vectors are assembled as the storage layout of an ML vector, written, and
     read back under the vector type, so no row passes through Python.
     """
-    cells = features.join(small_side(index, size), ["block", "feature"])
-    packed = cells.groupBy("speech_id").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("c"))
-    both = rows.join(packed, "speech_id", "left").withColumn(
-        "c", F.coalesce("c", F.array().cast("array<struct<idx:int,value:double>>"))
-    )
-    vector = F.struct(
-        F.lit(0).cast("tinyint").alias("type"),
-        F.lit(size).alias("size"),
-        F.col("c.idx").alias("indices"),
-        F.col("c.value").alias("values"),
-    )
-    plain = both.select(*rows.columns, vector.alias("features"))
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), "indices", "values")
+    plain = to_arrays(features, index, size, rows).select(*rows.columns, vector.alias("features"))
     typed = T.StructType(
         [T.StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in plain.schema]
     )

@@ -10,6 +10,8 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
+from penmark.operators import trainer
+
 LEARNERS = ["lr", "rf", "svm"]
 SEED = 42
 
@@ -54,7 +56,7 @@ def _prepared(rows: DataFrame, labels: list[str], weights: dict[str, float]) ->
 _COLUMNS = {"featuresCol": "features", "labelCol": "_label", "weightCol": "_weight"}
 
 
-def fit_predict(learner: str, point: dict, train: DataFrame, test: DataFrame, max_iter: int = 1000) -> DataFrame:
+def fit_predict(learner: str, point: dict, train: DataFrame, test: DataFrame, max_iter: int = 1000, tol: float = 1e-4) -> DataFrame:
     """``speech_id, y_true, y_pred`` of the test rows. Both inputs hold ``speech_id, y, features``."""
     sizes = class_sizes(train)
     labels = list(sizes)
@@ -67,7 +69,7 @@ def fit_predict(learner: str, point: dict, train: DataFrame, test: DataFrame, ma
     if learner == "lr":
         model = LogisticRegression(
             regParam=1.0 / (point["C"] * total(labels)), elasticNetParam=0.0, standardization=False, maxIter=max_iter,
-            tol=1e-4, **_COLUMNS,
+            tol=tol, **_COLUMNS,
         ).fit(rows)
         scored = model.transform(test)
     elif learner == "rf":
@@ -109,6 +111,41 @@ def _pairwise_svm(rows: DataFrame, test: DataFrame, labels: list[str], c: float,
     return scored.withColumn("_t", tally).withColumn("prediction", F.array_position("_t", F.array_max("_t")) - 1)
 
 
+def linear_problems(learner: str, point: dict, sizes: dict[str, int], space: int, size: int) -> list[trainer.Problem]:
+    """The problems of one grid point over one space; the classes are coded in alphabetic order."""
+    labels = list(sizes)
+    weights = class_weights(sizes, point["balanced"])
+    total = lambda codes: sum(weights[labels[i]] * sizes[labels[i]] for i in codes)
+
+    def problem(kind: str, codes: tuple[int, ...]) -> trainer.Problem:
+        w = total(codes)
+        return trainer.Problem(space, size, kind, codes, tuple(weights[labels[i]] for i in codes), w, 1.0 / (point["C"] * w))
+
+    codes = tuple(range(len(labels)))
+    if len(labels) < 2:
+        return []
+    if learner == "svm":
+        return [problem("hinge", pair) for pair in combinations(codes, 2)]
+    return [problem("softmax" if len(labels) > 2 else "logit", codes)]
+
+
+def fit_predict_many(
+    learner: str, grid: list[dict], fit: DataFrame, held: DataFrame, sizes: dict[int, int], classes: dict[int, dict[str, int]], tol: float = 1e-4
+) -> DataFrame:
+    """``speech_id, y_true, y_pred, grid_idx`` of the held rows by every grid point of every space.
+
+    ``fit`` and ``held`` hold ``space, speech_id, y, indices, values``; ``sizes`` are the features and
+    ``classes`` the rows per label of each space's fit rows. All models are fitted together.
+    """
+    made = [(i, space, linear_problems(learner, point, classes[space], space, sizes[space])) for space in sizes for i, point in enumerate(grid)]
+    labels = F.create_map(*[F.lit(v) for space in sizes for v in (space, list(classes[space]))])
+    coded = fit.withColumn("y", (F.array_position(F.element_at(labels, F.col("space")), F.col("y")) - 1).cast("int"))
+    fitted = iter(trainer.fit_many(coded.select("space", "y", "indices", "values"), [p for _, _, ps in made for p in ps], tol=tol))
+    voters = [trainer.Voter(i, space, len(classes[space]), tuple(ps), tuple(next(fitted) for _ in ps)) for i, space, ps in made]
+    said = trainer.predict_many(held.withColumnRenamed("y", "y_true"), voters, sizes)
+    return said.select("speech_id", "y_true", F.get(F.element_at(labels, F.col("space")), F.col("code")).alias("y_pred"), "grid_idx")
+
+
 def truncated_svd(vectors: DataFrame, k: int = 2) -> DataFrame:
     """``idx, v1..vk``: right singular vectors without centring.
 

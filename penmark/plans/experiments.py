@@ -35,8 +35,8 @@ class Best(NamedTuple):
     n_features: int
 
 
-def fitted_vectors(counts: dict[str, DataFrame], fit_rows: DataFrame, rows: DataFrame) -> tuple[DataFrame, int]:
-    """Vectors of ``rows`` (``speech_id, y, ...``) from blocks fitted on ``fit_rows`` only."""
+def fitted_vectors(counts: dict[str, DataFrame], fit_rows: DataFrame, rows: DataFrame, arrays: bool = False) -> tuple[DataFrame, int]:
+    """Vectors of ``rows`` (``speech_id, y, ...``) from blocks fitted on ``fit_rows`` only, or their ``indices, values``."""
     fit_on = fit_rows.select("speech_id", "y")
     fitted, parts = [], []
     for block, block_counts in counts.items():
@@ -47,9 +47,43 @@ def fitted_vectors(counts: dict[str, DataFrame], fit_rows: DataFrame, rows: Data
     for part in parts[1:]:
         features = features.unionByName(part)
     index, size = x.feature_index(fitted, rows)
+    if arrays:
+        return staged(x.to_arrays(features, index, size, rows)), size
     return x.to_vectors(features, index, size, rows), size
 
 
+def _spaces(counts: dict[str, DataFrame], folded: DataFrame, parallelism: int) -> tuple[DataFrame, dict[int, int]]:
+    """The vectors of every fold's own features, as ``space``, and how many features each has."""
+    with ThreadPool(parallelism) as pool:
+        made = pool.map(lambda k: fitted_vectors(counts, folded.where(F.col("fold") != k), folded, arrays=True), range(N_FOLDS))
+    parts = [rows.withColumn("space", F.lit(k)) for k, (rows, _) in enumerate(made)]
+    return _union(parts), {k: size for k, (_, size) in enumerate(made)}
+
+
+def _class_sizes(fit: DataFrame) -> dict[int, dict[str, int]]:
+    """Rows per label of each space, labels in alphabetic order."""
+    out: dict[int, dict[str, int]] = {}
+    for r in fit.groupBy("space", "y").count().orderBy("space", "y").collect():
+        out.setdefault(r["space"], {})[r["y"]] = r["count"]
+    return out
+
+
+def _linear_search(rows: DataFrame, counts: dict[str, DataFrame], learner: str, score: str, grid: list[dict], parallelism: int) -> Best:
+    """All folds and grid points of a linear learner fitted together, then the best one on the whole training side."""
+    train, best = rows.where("side = 'train'"), 0
+    if len(grid) > 1:
+        folded = staged(sp.folds(train.select("speech_id", "y"), N_FOLDS))
+        vectors, sizes = _spaces(counts, folded, parallelism)
+        fit, held = vectors.where("fold <> space"), vectors.where("fold = space")
+        pooled = staged(learn.fit_predict_many(learner, grid, fit, held, sizes, _class_sizes(fit)))
+        best = m.best_grid_point(pooled_scores(pooled, score), []).first()["grid_idx"]
+    vectors, size = fitted_vectors(counts, train, rows, arrays=True)
+    vectors = vectors.withColumn("space", F.lit(0))
+    fit, held = vectors.where("side = 'train'"), vectors.where("side = 'test'")
+    predicted = learn.fit_predict_many(learner, [grid[best]], fit, held, {0: size}, _class_sizes(fit))
+    return Best(predicted.drop("grid_idx"), grid[best], size)
+
+
 def optimise(
     rows: DataFrame,
     counts: dict[str, DataFrame],
@@ -64,6 +98,8 @@ def optimise(
     point's score is the F1 of its pooled out-of-fold predictions.
     """
     grid = grid or learn.full_grid(learner)
+    if learner in ("lr", "svm"):
+        return _linear_search(rows, counts, learner, score, grid, parallelism)
     train = rows.where("side = 'train'")
     best = 0
     if len(grid) > 1:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from penmark.functions import text as tx
 from penmark.operators import corpus as c
 from penmark.operators import features as x
+from penmark.operators import learn
 from penmark.operators import metrics as m
 from penmark.operators import splits as sp
 from penmark.operators import stats as st
@@ -538,17 +539,15 @@ def _experiment(learner: str, task: str, focus: str, switches: list[str], grid:
     return query
 
 
-lr_multiclass = _experiment("lr", "MC", "wing", ["base_features"], [{"C": 1.0, "balanced": True}, {"C": 100.0, "balanced": False}])
-svm_binary = _experiment("svm", "BC", "gender", ["base_features"], [{"C": 1.0, "balanced": True}])
-svm_multiclass = _experiment("svm", "MC", "wing", ["pos_tags"], [{"C": 1.0, "balanced": False}])
+lr_multiclass = _experiment("lr", "MC", "wing", ["base_features"], learn.full_grid("lr"))
+svm_binary = _experiment("svm", "BC", "gender", ["base_features"], learn.full_grid("svm"))
+svm_multiclass = _experiment("svm", "MC", "wing", ["pos_tags"], learn.full_grid("svm"))
 rf_multiclass = _experiment("rf", "MC", "wing", ["base_features"], [{"n_trees": 10, "impurity": "gini", "balanced": True}])
 
 
 def party_status(spark, sf):
     rows = encoded_corpus(spark, sf)
-    return ex.party_status_experiment(
-        rows, "lr", ["base_features"], author="src0", train_rows=15, grid=[{"C": 1.0, "balanced": True}]
-    ).results
+    return ex.party_status_experiment(rows, "lr", ["base_features"], author="src0", train_rows=15, grid=learn.full_grid("lr")).results
 
 
 def experiment_series(spark, sf):
