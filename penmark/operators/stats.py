@@ -1,9 +1,8 @@
 """Group tests, correlation and summaries over ``speaker, method, f1`` tables.
 
 ``keys`` names the columns that separate independent tests (for example
-``["method"]``). All sums are combined before the shuffle. Scores in result
-tables are rounded to 3 places, so the exact medians and percentiles hold at
-most 1,001 distinct values per group, however many speakers it has.
+``["method"]``). All sums are combined before the shuffle; exact medians and
+quartiles come from counting passes, so no task holds the values of a group.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from penmark.functions.tails import f_tail, normal_quantile, normal_tail, t_tail
 from penmark.functions.tukey import studentized_range_tail
+from penmark.operators.order import percentiles
 from penmark.operators.ranks import sorted_numbers
 
 
@@ -63,8 +63,8 @@ def anova(values: DataFrame, keys: list[str], value: str = "f1") -> DataFrame:
 
 def levene(values: DataFrame, keys: list[str], value: str = "f1") -> DataFrame:
     """Equal-variance test on absolute deviations from the group median."""
-    medians = values.groupBy(*keys, "grp").agg(F.median(value).alias("_median"))
-    dev = values.join(medians, [*keys, "grp"]).withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
+    medians = percentiles(values, [*keys, "grp"], value, [0.5]).select(*keys, "grp", F.col("q")[0].alias("_median"))
+    dev = values.join(medians, [*keys, "grp"], "left").withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
     return anova(dev, keys, "_dev")
 
 
@@ -139,11 +139,11 @@ def best_fit(values: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 def box_summary(values: DataFrame, keys: list[str], value: str = "f1") -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges, and outlier count per group."""
     v = F.col(value)
-    quartiles = values.groupBy(*keys, "grp").agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    quartiles = percentiles(values, [*keys, "grp"], value, [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q")
     fences = quartiles.select(
         *keys, "grp", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))]
     ).withColumn("_iqr", F.col("q3") - F.col("q1"))
-    rows = values.join(fences, [*keys, "grp"])
+    rows = values.join(fences, [*keys, "grp"], "left")
     inside = (v >= F.col("q1") - 1.5 * F.col("_iqr")) & (v <= F.col("q3") + 1.5 * F.col("_iqr"))
     return rows.groupBy(*keys, "grp", "q1", "median", "q3").agg(
         F.count(v).alias("n"),

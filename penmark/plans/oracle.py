@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from penmark.functions.tukey import HART_ABOVE, HART_BELOW, OUTER, inner_nodes, nodes
 from penmark.operators.corpus import WING_SCHEMES
 from penmark.operators.lexicon import MACROS
 from penmark.plans.feature_sets import method_name, series
@@ -226,6 +227,7 @@ def _pieces() -> dict[str, str]:
         "indexed": """SELECT r.*, style, idx FROM results r JOIN (UNPIVOT (SELECT speaker, ati, cni, asi, pos_minus_neg, pos_plus_neg FROM style)
               ON ati, cni, asi, pos_minus_neg, pos_plus_neg INTO NAME style VALUE idx) USING (speaker)""",
         "aov": _anova("grouped", "f1"),
+        **_range_nodes(),
         "style": _style("speaker"),
         "style_texts": _style("speech_id"),
         "utter": rf"""SELECT regexp_extract(sent_id, '^(.*?\.u[0-9]*)', 1) AS utterance_id, turn, clean, text FROM (
@@ -299,6 +301,38 @@ def _f_tail(stat: str, d1: str, d2: str) -> str:
     return f"({_simpson('0.0', h, body)} / {_simpson('0.0', str(math.pi / 2), body)})"
 
 
+def _range_tail() -> str:
+    """Tail of the studentized range for columns q, k, df: the two sums of the expression, over lists of its nodes."""
+    horner = lambda c, x: f"({c[0]})" if len(c) == 1 else f"({horner(c[:-1], x)} * {x} + {c[-1]})"
+    x = "least(abs(v), 7.07106781186547)"
+    tail = f"CASE WHEN abs(v) >= 7.07106781186547 THEN 0.0 ELSE exp(-{x} * {x} / 2) * {horner(HART_ABOVE, x)} / {horner(HART_BELOW, x)} END"
+    cdf = f"list_transform(list_transform(zs, lambda z: z - q * s), lambda v: CASE WHEN v > 0 THEN 1 - {tail} ELSE {tail} END)"
+    return f"""SELECT *, CASE WHEN q <= 0 THEN 1.0 ELSE least(1.0, greatest(0.0, 1 - a / b)) END AS p FROM (
+        SELECT task_label, kind, method, group_a, group_b, sum(d * inside) AS a, sum(d) AS b FROM (
+          SELECT *, k * list_sum(list_transform(range(1, len(zs) + 1), lambda i: ws[i] * pow(greatest(bs[i] - cs[i], 0.0), k - 1))) AS inside FROM (
+            SELECT *, {cdf} AS cs, w * exp((df - 1) * ln(s) - df * (s * s - 1) / 2) AS d FROM (
+              SELECT *, (hi + lo) / 2 + (hi - lo) / 2 * x AS s FROM (
+                SELECT *, greatest(1e-9, 1 - 10 / sqrt(2 * df)) AS lo, 1 + (CASE WHEN df > 4 THEN 10 ELSE 14 END) / sqrt(2 * df) AS hi FROM pairs),
+                range_outer, range_inner)))
+        GROUP BY ALL) JOIN pairs USING (task_label, kind, method, group_a, group_b)"""
+
+
+def _range_nodes() -> dict[str, str]:
+    x, w = nodes(OUTER)
+    outer = ", ".join(f"({a!r}, {b!r})" for a, b in zip(x, w))
+    zs, ws, bs = (f"[{', '.join(repr(v) for v in part)}]" for part in inner_nodes())
+    return {
+        "range_outer": f"SELECT * FROM (VALUES {outer}) AS t(x, w)",
+        "range_inner": f"SELECT {zs}::DOUBLE[] AS zs, {ws}::DOUBLE[] AS ws, {bs}::DOUBLE[] AS bs",
+        "pairs": """SELECT a.task_label, a.kind, a.method, a.grp AS group_a, b.grp AS group_b, b.m - a.m AS mean_diff, k, df_within AS df,
+            abs(b.m - a.m) / sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)) AS q
+            FROM (SELECT task_label, kind, method, grp, avg(f1) AS m, count(*) AS n FROM grouped GROUP BY ALL) a
+            JOIN (SELECT task_label, kind, method, grp, avg(f1) AS m, count(*) AS n FROM grouped GROUP BY ALL) b
+              ON a.task_label = b.task_label AND a.kind = b.kind AND a.method = b.method AND a.grp < b.grp
+            JOIN aov ON aov.task_label = a.task_label AND aov.kind = a.kind AND aov.method = a.method""",
+    }
+
+
 def _anova(rows: str, v: str) -> str:
     return f"""SELECT task_label, kind, method, k, n, k - 1 AS df_between, n - k AS df_within, ssw / (n - k) AS mse,
           (ssb / (k - 1)) / (ssw / (n - k)) AS f_stat FROM (
@@ -497,6 +531,8 @@ def _bodies() -> dict[str, str]:
             FROM (SELECT task_label, kind, method, grp, avg(f1) AS m, count(*) AS n FROM grouped GROUP BY ALL) a
             JOIN (SELECT task_label, kind, method, grp, avg(f1) AS m, count(*) AS n FROM grouped GROUP BY ALL) b ON a.task_label = b.task_label AND a.kind = b.kind AND a.method = b.method AND a.grp < b.grp
             JOIN aov ON aov.task_label = a.task_label AND aov.kind = a.kind AND aov.method = a.method""",
+        "tukey_hsd": f"""SELECT task_label, kind, method, group_a, group_b, {_R('mean_diff', 'mean_diff')}, {_R('q', 'q')}, k, df AS df_within,
+            {_R('p', 'p')}, p < 0.05 AS reject FROM ({_range_tail()})""",
         "spearman": f"""SELECT task_label, method, style, n, {_R('r', 'r')}, {_R(_f_tail('(r * r * (n - 2) / (1 - r * r))', '1', '(n - 2)'), 'p')} FROM (
             SELECT task_label, method, style, count(*) AS n, corr(rx, ry) AS r FROM ({ranks}) GROUP BY ALL)""",
         "bestfit": f"""SELECT task_label, method, style, CAST(regr_count(f1, idx) AS BIGINT) AS n, {_R('regr_slope(f1, idx)', 'slope')},

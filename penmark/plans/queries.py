@@ -467,7 +467,8 @@ def tukey_q(spark, sf):
 
 def tukey_hsd(spark, sf):
     """p of every pair, also where the analysis of variance is not significant."""
-    return st.tukey_hsd(_grouped(spark, sf), TESTED, gate=1.1)
+    out = st.tukey_hsd(_grouped(spark, sf), TESTED, gate=1.1)
+    return out.select(*TESTED, "group_a", "group_b", _r("mean_diff"), _r("q"), "k", "df_within", _r("p"), "reject")
 
 
 def shapiro(spark, sf):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from penmark.functions import tails
-from penmark.functions.tukey import range_tail
+from penmark.functions.tukey import normal_cdf, studentized_range_tail
 
 
 def value(spark, expr):
@@ -58,5 +58,23 @@ def test_f_tail_of_many_groups(spark, f, d1, d2):
 
 
 @pytest.mark.parametrize("q, k, df", [(3.877, 3, 10), (3.958, 4, 20), (2.772, 2, 100_000), (4.041, 5, 60 - 20), (6.085, 2, 2)])
-def test_studentized_range_table_values(q, k, df):
-    assert range_tail(q, k, df) == pytest.approx(0.05, abs=6e-4)
+def test_studentized_range_table_values(spark, q, k, df):
+    assert value(spark, studentized_range_tail(F.lit(q), F.lit(float(k)), F.lit(float(df)))) == pytest.approx(0.05, abs=6e-4)
+
+
+def test_studentized_range_of_two_is_student(spark):
+    for q, df in [(1.0, 5), (3.0, 8), (2.0, 40), (9.0, 3), (0.0, 4)]:
+        got = value(spark, studentized_range_tail(F.lit(q), F.lit(2.0), F.lit(float(df))))
+        assert got == pytest.approx(value(spark, tails.t_tail(F.lit(q / math.sqrt(2)), F.lit(df))), abs=1e-7)
+
+
+def test_studentized_range_edges(spark):
+    undefined = [(None, 3.0, 5.0), (math.nan, 3.0, 5.0), (math.inf, 3.0, 5.0), (2.0, 1.0, 5.0), (2.0, 3.0, 0.0)]
+    for q, k, df in undefined:
+        assert value(spark, studentized_range_tail(F.lit(q).cast("double"), F.lit(k), F.lit(df))) is None
+    assert value(spark, studentized_range_tail(F.lit(200.0), F.lit(20.0), F.lit(50.0))) == pytest.approx(0.0, abs=1e-7)
+
+
+def test_normal_cdf(spark):
+    for x in (-9.0, -7.5, -6.0, -2.0, -0.3, 0.0, 0.4, 1.96, 5.0, 8.0):
+        assert value(spark, normal_cdf(F.lit(x))) == pytest.approx(0.5 * math.erfc(-x / math.sqrt(2)), abs=1e-12)
