@@ -148,23 +148,52 @@ def length_curve(length_counts: DataFrame, upto: Column) -> DataFrame:
 
 
 def unit_norm(rows: DataFrame) -> DataFrame:
-    """Scale ``value`` to unit L2 norm per speech."""
-    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("speech_id")))
-    return rows.withColumn("value", F.col("value") / norm)
+    """Scale ``value`` to unit L2 norm per speech.
+
+    One aggregation gives a speech's norm and its cells in one row, as the vectors do later.
+    """
+    others = [c for c in rows.columns if c not in ("speech_id", "value")]
+    cells = F.collect_list(F.struct(*others, "value")).alias("_cells")
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm")
+    spread_out = rows.groupBy("speech_id").agg(cells, norm).select("speech_id", "_norm", F.explode("_cells").alias("_c"))
+    return spread_out.select("speech_id", *[F.col(f"_c.{c}").alias(c) for c in others], (F.col("_c.value") / F.col("_norm")).alias("value"))
+
+
+HEAVY = 10_000  # at most so many grams can each hold more than this part of all rows
+
+
+def with_vocabulary(counts: DataFrame, vocabulary: DataFrame, size: int | None = None) -> DataFrame:
+    """``counts`` with the columns of a vocabulary (``gram, df, ...``); other grams vanish.
+
+    A counted small vocabulary is broadcast. Of a larger one the grams that hold more than a
+    ``HEAVY``-th of all rows are, and only the others' rows are shuffled by gram, so a gram that
+    every speech has never fills a task.
+    """
+    if size is None:
+        return counts.join(vocabulary, "gram")
+    if size <= 200_000:
+        return counts.join(F.broadcast(vocabulary), "gram")
+    rows = vocabulary.agg(F.sum("df")).first()[0]
+    heavy = vocabulary.where(F.col("df") * HEAVY > F.lit(rows))
+    light = vocabulary.where(F.col("df") * HEAVY <= F.lit(rows))
+    found = counts.join(F.broadcast(heavy), "gram")
+    rest = counts.join(F.broadcast(heavy.select("gram")), "gram", "left_anti").join(light, "gram")
+    return found.unionByName(rest)
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
     return counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
 
-def tfidf(counts: DataFrame, vocabulary: DataFrame, n_docs: Column) -> DataFrame:
+def tfidf(counts: DataFrame, vocabulary: DataFrame, n_docs: Column, size: int | None = None) -> DataFrame:
     """Sublinear tf times smooth idf, unit norm per speech.
 
     ``vocabulary`` (``gram, df``) comes from the training rows, so unseen grams
-    vanish. Further columns of ``counts`` and ``vocabulary`` are kept.
+    vanish. Further columns of ``counts`` and ``vocabulary`` are kept. ``size`` is the
+    vocabulary's counted size, if it is known.
     """
     idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1
-    weighted = counts.join(vocabulary, "gram").withColumn("value", (F.log(F.col("tf").cast("double")) + 1) * idf)
+    weighted = with_vocabulary(counts, vocabulary, size).withColumn("value", (F.log(F.col("tf").cast("double")) + 1) * idf)
     return unit_norm(weighted.drop("tf", "df"))
 
 
@@ -221,7 +250,7 @@ def fit_block(block: str, counts: DataFrame, labels: DataFrame) -> FittedBlock:
         vocabulary = vocabulary.withColumn("kept", F.lit(True))
     else:
         kept = int(keep * size)
-        weights = tfidf(counts, small_side(vocabulary, size), F.lit(n_docs)).join(labels, "speech_id")
+        weights = tfidf(counts, vocabulary, F.lit(n_docs), size).join(labels, "speech_id")
         sizes = labels.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
         best = chi2_top(chi2_scores(weights, sizes), kept).select("gram", F.lit(True).alias("kept"))
         vocabulary = staged(
@@ -238,8 +267,8 @@ def apply_block(fitted: FittedBlock, counts: DataFrame) -> DataFrame:
         name = F.concat(F.lit(LENGTH_BLOCKS[fitted.block]), F.col("i").cast("string"))
         rows = length_curve(counts, F.lit(fitted.upto)).withColumn("feature", name)
     else:
-        vocabulary = small_side(fitted.vocabulary, fitted.n_vocabulary)
-        rows = tfidf(counts, vocabulary, F.lit(fitted.n_docs)).where("kept").withColumnRenamed("gram", "feature")
+        rows = tfidf(counts, fitted.vocabulary, F.lit(fitted.n_docs), fitted.n_vocabulary)
+        rows = rows.where("kept").withColumnRenamed("gram", "feature")
     return rows.select("speech_id", F.lit(fitted.block).alias("block"), "feature", "value")
 
 

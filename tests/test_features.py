@@ -153,3 +153,21 @@ def test_method_names(spark):
     assert [r["method"] for r in feature_sets(spark).orderBy("set_no").collect()] == names
     with pytest.raises(ValueError):
         x.blocks_of(["topics"])
+
+
+def test_heavy_grams_are_split_off(spark, monkeypatch):
+    rows = [(s, g, 1 + s % 3) for s in range(60) for g in ["all", f"own{s}", f"pair{s // 2}"]]
+    counts = spark.createDataFrame(rows, "speech_id long, gram string, tf long")
+    vocabulary = x.document_frequencies(counts).where("gram <> 'own7'")
+    plain = sorted(map(tuple, x.with_vocabulary(counts, vocabulary).select("speech_id", "gram", "tf", "df").collect()))
+    monkeypatch.setattr(x, "HEAVY", 10)
+    split = x.with_vocabulary(counts, vocabulary, 10**6).select("speech_id", "gram", "tf", "df")
+    assert sorted(map(tuple, split.collect())) == plain and len(plain) == 179
+
+
+def test_norms_need_no_window(spark):
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 1)], "speech_id long, gram string, tf long")
+    got = x.tfidf(counts, x.document_frequencies(counts), F.lit(2))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    norms = got.groupBy("speech_id").agg(F.sum(F.col("value") * F.col("value")).alias("n")).collect()
+    assert len(norms) == 2 and all(abs(r.n - 1) < 1e-12 for r in norms)
