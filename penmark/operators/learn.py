@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations, product
 
-import pyarrow as pa
+import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from penmark.operators import trainer
+from penmark.session import staged
 
 LEARNERS = ["lr", "rf", "svm"]
 SEED = 42
@@ -146,18 +146,67 @@ def fit_predict_many(
     return said.select("speech_id", "y_true", F.get(F.element_at(labels, F.col("space")), F.col("code")).alias("y_pred"), "grid_idx")
 
 
-def truncated_svd(vectors: DataFrame, k: int = 2) -> DataFrame:
-    """``idx, v1..vk``: right singular vectors without centring.
+EXTRA = 6  # further columns of the block, so that the wanted ones settle fast
+
+
+def _gram(frame: DataFrame, names: list[str]) -> np.ndarray:
+    """The k x k matrix of inner products of some columns."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = frame.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for a, b in pairs]).first()
+    out = np.zeros((len(names), len(names)))
+    for (a, b), value in zip(pairs, sums):
+        out[names.index(a), names.index(b)] = out[names.index(b), names.index(a)] = value or 0.0
+    return out
+
+
+def _turned(frame: DataFrame, names: list[str], by: np.ndarray, out: list[str]) -> DataFrame:
+    """Linear combinations of some columns: ``frame[names] @ by`` as ``out``."""
+    made = [sum((F.col(n) * float(by[i, j]) for i, n in enumerate(names)), F.lit(0.0)).alias(o) for j, o in enumerate(out)]
+    return frame.select(frame.columns[0], *made)
 
-    The decomposition multiplies by the matrix in passes over the rows; the dense
-    side holds k values per feature. Signs make each vector's largest entry positive.
+
+def block_svd(cells: DataFrame, k: int = 2, max_iter: int = 60, tol: float = 1e-10) -> tuple[DataFrame, np.ndarray]:
+    """``idx, v1..vk`` and the singular values of a sparse matrix ``row, idx, value``, without centring.
+
+    Block power iteration: a thin factor is a table with one row a feature, multiplied by the matrix
+    and its transpose with joins and sums, and made orthonormal by the Cholesky factor of its small
+    matrix of inner products; only such k x k matrices come to the driver. Signs make each vector's
+    largest entry positive.
     """
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features"))
-    v = matrix.computeSVD(k).V.toArray()
-    signs = [1.0 if v[abs(v[:, i]).argmax(), i] >= 0 else -1.0 for i in range(v.shape[1])]
-    columns = {"idx": pa.array(range(v.shape[0]), pa.int32())}
-    columns.update({f"v{i + 1}": v[:, i] * signs[i] for i in range(v.shape[1])})
-    return vectors.sparkSession.createDataFrame(pa.table(columns))
+    cells = staged(cells.select("row", "idx", "value"))
+    width = k + EXTRA
+    names = [f"b{j}" for j in range(width)]
+    # A start that depends on the feature's number alone.
+    noise = [(F.pmod(F.xxhash64("idx", F.lit(j)), F.lit(2_000_003)) / 1_000_001.5 - 1).alias(n) for j, n in enumerate(names)]
+    thin, last = staged(cells.select("idx").distinct().select("idx", *noise)), None
+    for _ in range(max_iter):
+        inner = _gram(thin, names)
+        scale = np.trace(inner) or 1.0
+        # Fewer independent directions than columns: the others become zero.
+        values, turn = np.linalg.eigh(inner)
+        flat = np.where(values > 1e-13 * scale, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+        basis = _turned(thin, names, turn * flat, names)
+        left = cells.join(basis, "idx").groupBy("row").agg(*[F.sum(F.col("value") * F.col(n)).alias(n) for n in names])
+        left = staged(left)
+        energy, mix = np.linalg.eigh(_gram(left, names))
+        order = np.argsort(-energy)
+        found = np.sqrt(np.maximum(energy[order], 0.0))
+        if last is not None and np.abs(found[:k] - last[:k]).max() <= tol * max(found[0], 1e-300):
+            break
+        last = found
+        thin = staged(cells.join(left, "row").groupBy("idx").agg(*[F.sum(F.col("value") * F.col(n)).alias(n) for n in names]))
+    wanted = [f"v{j + 1}" for j in range(k)]
+    vectors = staged(_turned(basis, names, mix[:, order[:k]], wanted))
+    largest = vectors.agg(*[F.max_by(F.col(v), F.struct(F.abs(F.col(v)), -F.col("idx"))).alias(v) for v in wanted]).first()
+    signed = [F.col(v) * (1.0 if (largest[v] or 0.0) >= 0 else -1.0) for v in wanted]
+    return vectors.select("idx", *[c.alias(v) for c, v in zip(signed, wanted)]), found[:k]
+
+
+def truncated_svd(vectors: DataFrame, k: int = 2) -> DataFrame:
+    """``idx, v1..vk``: right singular vectors of rows with a ``features`` vector."""
+    rows = staged(vectors.select(F.monotonically_increasing_id().alias("row"), vector_to_array("features").alias("values")))
+    rows = rows.select("row", F.posexplode("values").alias("idx", "value"))
+    return block_svd(rows.where("value <> 0"), k)[0]
 
 
 def project(features: DataFrame, index: DataFrame, components: DataFrame) -> DataFrame:

@@ -280,9 +280,11 @@ def lsa_by_wing(encoded: DataFrame) -> DataFrame:
     labels = c.with_label(encoded, "name").select("speech_id", "y")
     features, fitted = x.build_features(encoded, labels, FULL)
     features = staged(features)
-    index, size = x.feature_index(fitted, encoded)
-    vectors = x.to_vectors(features, index, size, labels)
-    points = learn.project(features, index, learn.truncated_svd(vectors))
+    index, _ = x.feature_index(fitted, encoded)
+    index = staged(index)
+    cells = features.join(index, ["block", "feature"]).select(F.col("speech_id").alias("row"), "idx", "value")
+    components, _ = learn.block_svd(cells)
+    points = learn.project(features, index, components)
     rows = encoded.select("speech_id", c.wing_english("wing").alias("wing")).join(points, "speech_id", "left")
     zero = F.lit(0.0)
     return rows.select("speech_id", "wing", F.coalesce("c1", zero).alias("c1"), F.coalesce("c2", zero).alias("c2"))

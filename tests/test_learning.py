@@ -85,6 +85,19 @@ def test_svd_matches_numpy(spark):
         assert got[f"v{k + 1}"].to_numpy() == pytest.approx(column, abs=1e-8)
 
 
+def test_block_svd_of_low_rank_and_close_values(spark):
+    rng = np.random.default_rng(8)
+    left, right = np.linalg.qr(rng.normal(size=(60, 12)))[0], np.linalg.qr(rng.normal(size=(30, 12)))[0]
+    for values in ([5, 4.8, 4.5, 1, 1, 0.5, 0.4, 0.3, 0.2, 0.1, 0, 0], [3, 2] + [0] * 10):
+        dense = left @ np.diag(values) @ right.T
+        rows = [(i, j, float(dense[i, j])) for i in range(60) for j in range(30)]
+        components, found = learn.block_svd(spark.createDataFrame(rows, "row long, idx int, value double"), 2)
+        assert found == pytest.approx(values[:2], rel=1e-8)
+        v = components.orderBy("idx").toPandas()[["v1", "v2"]].to_numpy()
+        assert v.T @ v == pytest.approx(np.eye(2), abs=1e-8)
+        assert np.abs(v.T @ right[:, :2]) == pytest.approx(np.eye(2), abs=1e-4)
+
+
 @pytest.fixture(scope="module")
 def encoded(spark):
     rng = random.Random(11)
