@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from functools import cache
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 
@@ -39,17 +40,9 @@ def _pieces(text: str) -> list[str]:
     return out
 
 
-class _Numbers(dict):
-    """Numbers words in order of arrival and remembers the new ones."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
+def _numbering(words: list[str] = ()) -> defaultdict:
+    """Numbers words in order of arrival; the new ones are the last keys."""
+    return defaultdict(count(len(words)).__next__, zip(words, range(len(words))))
 
 
 class Encoder:
@@ -78,7 +71,7 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers = _numbering()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
@@ -88,15 +81,15 @@ class Encoder:
     def _trim(self) -> None:
         """Keep the words that were met again; none if these fill half the store."""
         again = np.flatnonzero(self.met[: self.words] > 1)
-        words, flat, first, count, met = list(self.numbers), self.flat, self.first[again], self.count[again], self.met[again]
+        words, flat, first, counts, met = list(self.numbers), self.flat, self.first[again], self.count[again], self.met[again]
         self._reset()
         if not 0 < len(again) <= self.keep // 2:
             return
-        self.numbers.update((words[k], n) for n, k in enumerate(again.tolist()))
+        self.numbers = _numbering([words[k] for k in again.tolist()])
         self._grow(len(again))
-        ends = np.cumsum(count)
-        ids = flat[np.repeat(first - (ends - count), count) + np.arange(ends[-1])]
-        self._store(np.arange(len(again)), ids, count)
+        ends = np.cumsum(counts)
+        ids = flat[np.repeat(first - (ends - counts), counts) + np.arange(ends[-1])]
+        self._store(np.arange(len(again)), ids, counts)
         self.met[: len(again)] = met // 2
         self.words = len(again)
 
@@ -139,10 +132,9 @@ class Encoder:
 
     def _learn(self) -> None:
         """Encode the new words. A word of letters, alone or after a blank, can be joined with others."""
-        new = self.numbers.new
+        new = list(islice(self.numbers, self.words, None))
         if not new:
             return
-        self.numbers.new = []
         self._grow(self.words + len(new))
         if self.kind == "word":
             kinds = np.zeros(len(new), np.int8)
@@ -181,15 +173,16 @@ class Encoder:
         if plain:
             at = np.concatenate(plain)
             self.met[: self.words] += np.bincount(at, minlength=self.words)
-            count = self.count[at]
-            ends = np.cumsum(count)
+            counts = self.count[at]
+            ends = np.cumsum(counts)
             total = int(ends[-1]) if len(ends) else 0
-            where = np.repeat(self.first[at] - (ends - count), count) + np.arange(total)
+            where = np.repeat(self.first[at] - (ends - counts), counts) + np.arange(total)
             flat = self.flat[where]
             bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
             for (i, k), a, b in zip(owner, bounds, bounds[1:]):
                 out[i][k] = flat[a:b]
-        return [np.concatenate(parts) if parts else np.zeros(0, np.uint32) for parts in out]
+        none = np.zeros(0, np.uint32)
+        return [parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else none for parts in out]
 
 
 @cache

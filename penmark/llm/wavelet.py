@@ -7,8 +7,8 @@ reads one block a plane; select finds its block in the directory. That gives the
 how often an id occurs before a place, and the place of its k-th occurrence. Documents are stored
 in ascending order of ``doc_id``.
 
-Defined results: a null text is empty and has its end id; null ids come first; repeated
-rows are documents of their own, next to each other; an empty table has no shards; other
+Defined results: a null text is empty and has its end id; null ids come first; rows
+that share an id are documents of their own, next to each other in the order of the table; an empty table has no shards; other
 columns are ignored; an id that does not fit the planes is an error.
 """
 
@@ -284,9 +284,10 @@ def write_shards(
         if parts:
             yield flush()
 
-    # The last key parts equal rows, which else would all come to one task.
-    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id()]
-    dealt = docs.select("doc_id", "text").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # The place in the table parts equal ids, which else would all come to one task; no text is read to find the ranges.
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("_at")]
+    dealt = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_at"))
+    dealt = dealt.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     shards = staged(dealt.mapInArrow(run, "task long, path string, before long, n_docs long, n_tokens long"))
     # One row a task: as many as the shuffle has partitions.
     totals = shards.groupBy("task").agg(F.sum("n_tokens").alias("_n"))
