@@ -13,7 +13,7 @@ from penmark.plans.queries import QUERIES
 from penmark.session import build_session
 from penmark.sources import sample
 
-REPEATS = 2  # the better run counts
+REPEATS = 2  # the first run counts, the second is reported beside it
 
 HEADLINE = [
     "style_indices",
@@ -45,7 +45,7 @@ def main() -> None:
     spark = build_session(cores, int(cores), **{"spark.driver.memory": "8g"})
     # Start the JVM's code paths on a small read, outside the timed part.
     spark.read.parquet(f"{folder}/labels.parquet").groupBy("quality").count().collect()
-    seconds = {}
+    seconds, again = {}, {}
     start = time.perf_counter()
     sample.lexicon(spark)
     seconds["lexicon_build"] = round(time.perf_counter() - start, 3)
@@ -55,10 +55,10 @@ def main() -> None:
             start = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
-        seconds[name] = round(min(runs), 3)
+        seconds[name], again[name] = round(runs[0], 3), round(runs[-1], 3)
     sf = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline queries, total wall time", "value": round(sum(seconds.values()), 3),
-                      "unit": "sec", "queries": seconds, "sf": sf}))
+                      "unit": "sec", "queries": seconds, "second_run": again, "sf": sf}))
     spark.stop()
 
 
