@@ -9,7 +9,7 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomFores
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from penmark.operators import trainer
+from penmark.operators import kernels, trainer
 from penmark.session import staged
 
 LEARNERS = ["lr", "rf", "svm"]
@@ -22,13 +22,15 @@ WEIGHTS = [True, False]
 
 
 def full_grid(learner: str) -> list[dict]:
-    """Every parameter combination of a learner (the linear kernel only for svm)."""
+    """Every parameter combination of a learner."""
     if learner == "rf":
         return [
             {"balanced": w, "impurity": i, "n_trees": n} for w, i, n in product(WEIGHTS, ["gini", "entropy"], TREES)
         ]
-    if learner in ("lr", "svm"):
+    if learner == "lr":
         return [{"C": c, "balanced": w} for c, w in product(DECADES, WEIGHTS)]
+    if learner == "svm":
+        return [{"C": c, "balanced": w, "kernel": k} for c, w, k in product(DECADES, WEIGHTS, kernels.KERNELS)]
     raise ValueError(f"learner must be one of {LEARNERS}")
 
 
@@ -79,6 +81,8 @@ def fit_predict(learner: str, point: dict, train: DataFrame, test: DataFrame, ma
         ).fit(rows)
         scored = model.transform(test)
     elif learner == "svm":
+        if point.get("kernel", "linear") != "linear":
+            raise ValueError("kernels other than linear are fitted by fit_predict_many")
         scored = _pairwise_svm(rows, test, labels, point["C"], total, max_iter)
     else:
         raise ValueError(f"learner must be one of {LEARNERS}")
@@ -135,9 +139,23 @@ def fit_predict_many(
     """``speech_id, y_true, y_pred, grid_idx`` of the held rows by every grid point of every space.
 
     ``fit`` and ``held`` hold ``space, speech_id, y, indices, values``; ``sizes`` are the features and
-    ``classes`` the rows per label of each space's fit rows. All models are fitted together.
+    ``classes`` the rows per label of each space's fit rows. All models are fitted together; a point
+    with a ``kernel`` is fitted over the mapped rows of its space.
     """
-    made = [(i, space, linear_problems(learner, point, classes[space], space, sizes[space])) for space in sizes for i, point in enumerate(grid)]
+    kernel_of = [point.get("kernel", "linear") for point in grid]
+    used = [k for k in kernels.KERNELS if k in kernel_of]
+    columns = ["space", "speech_id", "y", "indices", "values"]
+    spaces = {(space, "linear"): space for space in sizes}
+    if used != ["linear"]:
+        sides = [side.select(*columns, F.lit(name).alias("_side")) for side, name in ((fit, "fit"), (held, "held"))]
+        mapped, spaces, sizes = kernels.map_rows(sides[0].unionByName(sides[1]), fit, sizes, used)
+        mapped = staged(mapped)
+        fit, held = [mapped.where(F.col("_side") == name).select(*columns) for name in ("fit", "held")]
+        classes = {n: classes[space] for (space, _), n in spaces.items()}
+    made = [
+        (i, n, linear_problems(learner, point, classes[n], n, sizes[n]))
+        for (_, kernel), n in spaces.items() for i, point in enumerate(grid) if kernel == kernel_of[i]
+    ]
     labels = F.create_map(*[F.lit(v) for space in sizes for v in (space, list(classes[space]))])
     coded = fit.withColumn("y", (F.array_position(F.element_at(labels, F.col("space")), F.col("y")) - 1).cast("int"))
     fitted = iter(trainer.fit_many(coded.select("space", "y", "indices", "values"), [p for _, _, ps in made for p in ps], tol=tol))

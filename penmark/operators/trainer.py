@@ -107,52 +107,57 @@ def _gradients(rows: DataFrame, problems: list[Problem], points: list[np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, at = shared.value
-        sums: dict[int, list] = {}
+        by_space: dict[int, tuple] = {}
         for space, cells, (ys,) in _by_space(batches, ["y"]):
-            mine = [k for k, p in enumerate(asked) if p.space == space]
+            if space not in by_space:
+                mine = [k for k, p in enumerate(asked) if p.space == space]
+                w = np.concatenate([at[k] for k in mine], axis=1) if mine else None
+                by_space[space] = mine, np.cumsum([0, *[asked[k].columns for k in mine]]), w, np.zeros(len(mine)), 0.0 if w is None else np.zeros(w.shape)
+            mine, edges, w, losses, grad = by_space[space]
             if not mine:
                 continue
             y = np.array(ys, np.int64)
-            edges = np.cumsum([0, *[asked[k].columns for k in mine]])
-            w = np.concatenate([at[k] for k in mine], axis=1)
             for a, b, x in _dense(cells, asked[mine[0]].size):
                 z = x @ w
                 slopes = np.empty_like(z)
-                for k, lo, hi in zip(mine, edges, edges[1:]):
+                for j, (k, lo, hi) in enumerate(zip(mine, edges, edges[1:])):
                     loss, slopes[:, lo:hi] = _loss(asked[k], z[:, lo:hi], y[a:b])
-                    sums.setdefault(k, [0.0, 0.0])[0] += loss
-                grad = x.T @ slopes
-                for k, lo, hi in zip(mine, edges, edges[1:]):
-                    sums[k][1] = sums[k][1] + grad[:, lo:hi]
-        for k, (loss, grad) in sums.items():
-            flat = grad.ravel()
+                    losses[j] += loss
+                grad += x.T @ slopes
+        for space, (mine, _, _, losses, grad) in by_space.items():
+            if not mine:
+                continue
+            flat = np.concatenate([losses, grad.ravel()])
             for s in range(0, len(flat), SLICE):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([s], pa.int64()), pa.array([loss if s == 0 else 0.0]), pa.array([flat[s : s + SLICE]])],
-                    ["problem", "slice", "loss", "grad"],
+                    [pa.array([space], pa.int32()), pa.array([s], pa.int64()), pa.array([flat[s : s + SLICE]])], ["space", "slice", "part"]
                 )
 
     def summed(table: pa.Table) -> pa.Table:
-        grad = np.sum([g.values.to_numpy() for g in table.column("grad")], axis=0)
+        part = np.sum([g.values.to_numpy() for g in table.column("part")], axis=0)
         head = table.slice(0, 1)
-        return pa.table({
-            "problem": head.column("problem"), "slice": head.column("slice"),
-            "loss": [float(np.sum(table.column("loss").to_numpy()))], "grad": pa.array([grad]),
-        })
-
-    schema = "problem int, slice long, loss double, grad array<double>"
-    parts = rows.mapInArrow(run, schema).groupBy("problem", "slice").applyInArrow(summed, schema).toArrow()
-    out = [[0.0, np.zeros(p.size)] for p in points]
-    for k, s, loss, grad in zip(*(parts.column(c) for c in ("problem", "slice", "loss", "grad"))):
-        at, flat = s.as_py(), grad.values.to_numpy()
-        out[k.as_py()][0] += loss.as_py()
-        out[k.as_py()][1][at : at + len(flat)] = flat
+        return pa.table({"space": head.column("space"), "slice": head.column("slice"), "part": pa.array([part])})
+
+    # A space's losses and gradients are one array, so there are few slices however many problems share it.
+    schema = "space int, slice long, part array<double>"
+    parts = rows.mapInArrow(run, schema).groupBy("space", "slice").applyInArrow(summed, schema).toArrow()
+    members: dict[int, list[int]] = {}
+    for k, p in enumerate(problems):
+        members.setdefault(p.space, []).append(k)
+    flats = {space: np.zeros(sum(1 + points[k].size for k in mine)) for space, mine in members.items()}
+    for space, s, part in zip(*(parts.column(c) for c in ("space", "slice", "part"))):
+        at, values = s.as_py(), part.values.to_numpy()
+        flats[space.as_py()][at : at + len(values)] = values
     shared.unpersist()
-    result = []
-    for p, w, (loss, flat) in zip(problems, points, out):
-        free = w.copy()
-        free[-1] = 0.0  # the intercepts
-        result.append((loss + p.reg / 2 * float((free**2).sum()), flat.reshape(w.shape) + p.reg * free))
+    result: list = [None] * len(problems)
+    for space, mine in members.items():
+        losses, grads = flats[space][: len(mine)], flats[space][len(mine) :].reshape(problems[mine[0]].size + 1, -1)
+        edges = np.cumsum([0, *[problems[k].columns for k in mine]])
+        for k, loss, lo, hi in zip(mine, losses, edges, edges[1:]):
+            free = points[k].copy()
+            free[-1] = 0.0  # the intercepts
+            reg = problems[k].reg
+            result[k] = float(loss) + reg / 2 * float((free**2).sum()), grads[:, lo:hi] + reg * free
     return result
 
 

@@ -43,7 +43,7 @@ def test_single_class_and_unknown_learner(points):
 
 
 def test_grids_and_weights():
-    assert [len(learn.full_grid(k)) for k in ("lr", "rf", "svm")] == [14, 28, 14]
+    assert [len(learn.full_grid(k)) for k in ("lr", "rf", "svm")] == [14, 28, 56]
     assert learn.full_grid("lr")[:2] == [{"C": 0.001, "balanced": True}, {"C": 0.001, "balanced": False}]
     assert learn.class_weights({"a": 30, "b": 10}, True) == {"a": pytest.approx(2 / 3), "b": 2.0}
 
