@@ -443,6 +443,8 @@ def _bodies() -> dict[str, str]:
                 FROM (SELECT conv_id, turn, regexp_replace(text, '\s+', ' ', 'g') AS line FROM conversations)
                 WHERE NOT {_all_upper('line')})
               GROUP BY conv_id) t USING (conv_id)""",
+        "metadata_layouts": """SELECT 'D' || doc_id AS id, source AS speaker, CASE WHEN doc_id % 3 < 2 THEN lang END AS party,
+            CAST(1900 + doc_id % 100 AS INTEGER) AS birth FROM documents WHERE doc_id IS NOT NULL""",
         "lexicon_from_file": """SELECT entry, gram, cdi, feels, count(*) AS n_words FROM words JOIN coded USING (w) GROUP BY ALL""",
         "token_stats": r"""SELECT t.speech_id, len(tokens) AS n_tokens, coalesce(len(regexp_extract_all(text, '\S+')), 0) AS n_words,
             coalesce(s.n, 0) AS n_sentences FROM toks t LEFT JOIN (SELECT speech_id, count(*) AS n FROM sents GROUP BY 1) s USING (speech_id)""",

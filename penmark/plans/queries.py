@@ -186,6 +186,25 @@ def speech_table(spark, sf):
     return files.speech_table(metadata, sents).select("speech_id", "speaker", "birth", "text", "pos_tags")
 
 
+def metadata_layouts(spark, sf):
+    """Metadata files of three layouts, one with another order and a further column, one without the party, read together."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    people = docs.select(
+        F.col("doc_id"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("ID"), F.col("source").alias("Speaker_name"),
+        F.col("lang").alias("Speaker_party"), (1900 + F.col("doc_id") % 100).alias("Speaker_birth"), F.col("n_chars").alias("Other"),
+    )
+    layouts = [
+        ["ID", "Speaker_name", "Speaker_party", "Speaker_birth"],
+        ["Speaker_birth", "Other", "Speaker_party", "ID", "Speaker_name"],
+        ["Speaker_name", "ID", "Speaker_birth"],
+    ]
+    folder = scratch_path(spark, "layouts")
+    for k, columns in enumerate(layouts):
+        people.where(F.col("doc_id") % 3 == k).select(*columns).write.csv(f"{folder}/{k}", sep="\t", header=True)
+    rows = files.read_metadata(spark, f"{folder}/*", suffix="*.csv")
+    return rows.select(F.col("ID").alias("id"), F.col("Speaker_name").alias("speaker"), F.col("Speaker_party").alias("party"), F.col("Speaker_birth").alias("birth"))
+
+
 def lexicon_from_file(spark, sf):
     """The lexicon read from a ``.dic`` file, applied to every word of the corpus."""
     folder = scratch_path(spark, "lexicon")
@@ -586,6 +605,7 @@ QUERIES: dict[str, Query] = {
     "label_codes": label_codes,
     "utterances": utterances,
     "speech_table": speech_table,
+    "metadata_layouts": metadata_layouts,
     "lexicon_from_file": lexicon_from_file,
     "token_stats": token_stats,
     "function_word_freq": function_word_freq,

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from penmark.functions import text as tx
 
@@ -22,62 +19,68 @@ METADATA_SCHEMA = T.StructType(
 )
 
 
+def _lines(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """Every line of the files with its place: ``file``, ``start`` of the split, ``line`` rising within a split.
+
+    Any mix of line ends is read; a byte order mark before the first line is dropped.
+    """
+    value = F.col("value")
+    return spark.read.text(folder, pathGlobFilter=suffix).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+        F.when(value.startswith("\ufeff"), F.substring(value, F.lit(2), F.length(value))).otherwise(value).alias("value"),
+    )
+
+
 def read_metadata(spark: SparkSession, folder: str, suffix: str = "*.tsv") -> DataFrame:
     """All ``.tsv`` files of a folder, united by column name.
 
-    The header of each file decides the column order, so files that order or
-    omit columns differently are read apart and joined by name.
+    The header of each file is joined to its lines, so files that order or omit columns differently
+    are read together; only the largest number of columns comes to the driver. Cells beyond the
+    header and columns of other names are left out, missing ones are null.
     """
-    lines = spark.read.text(folder, pathGlobFilter=suffix).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("line"),
+    lines = _lines(spark, folder, suffix).where("value <> ''")
+    # Only the first line of a file is its header.
+    first = F.min(F.when(F.col("start") == 0, F.struct("line", "value"))).alias("first")
+    heads = lines.groupBy("file").agg(first).select("file", F.col("first.line").alias("head_line"), F.col("first.value").alias("head"))
+    width = heads.agg(F.max(F.size(F.split("head", "\t")))).first()[0] or 1
+    layout = ", ".join(f"c{i} string" for i in range(width))
+    cells = lambda c: F.from_csv(c, layout, {"sep": "\t"})
+    listed = lambda c: F.array(*[F.col(f"{c}.c{i}") for i in range(width)])
+    heads = heads.withColumn("h", cells("head")).select("file", "head_line", listed("h").alias("names"))
+    rows = lines.join(heads, "file").where("line <> head_line").withColumn("v", cells("value")).select("names", listed("v").alias("cells"))
+    place = lambda f: F.get("cells", F.coalesce(F.array_position("names", f.name), F.lit(0)).cast("int") - 1)
+    return rows.select(*[place(f).try_cast(f.dataType).alias(f.name) for f in METADATA_SCHEMA])
+
+
+def _blocks(lines: DataFrame) -> DataFrame:
+    """``file, block, line, value``: lines between blank ones, joined by ``\\n``, with the place of the first.
+
+    The running count of blank lines numbers the blocks of a split; the blank lines of the splits
+    before it shift the numbers, so a block that runs over a border is one.
+    """
+    lines = lines.withColumn("blank", F.col("value").rlike(r"^\s*$"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "start").agg(F.sum(F.col("blank").cast("long")).alias("n"))
+    shifts = splits.select("file", "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
+    running = F.sum(F.col("blank").cast("long")).over(Window.partitionBy("file", "start").orderBy("line"))
+    numbered = lines.withColumn("k", running).where("NOT blank").join(shifts, ["file", "start"])
+    blocks = numbered.groupBy("file", (F.col("k") + F.col("shift")).alias("k")).agg(
+        F.array_sort(F.collect_list(F.struct("start", "line", "value"))).alias("rows")
+    )
+    return blocks.select(
+        "file", F.col("rows")[0]["start"].alias("block"), F.col("rows")[0]["line"].alias("line"), F.array_join("rows.value", "\n").alias("value")
     )
-    names = [f.name for f in METADATA_SCHEMA]
-    # Only the first line of a file is its header; the reader's own file index names every file too.
-    firsts = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("value"))
-    headers = [
-        (r["value"].removeprefix("\ufeff").split("\t"), sorted(r["files"]))
-        for r in firsts.groupBy("value").agg(F.collect_set("file").alias("files")).orderBy("value").collect()
-    ]
-    frames = []
-    for columns, files in headers:
-        known = {f.name: f for f in METADATA_SCHEMA}
-        schema = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in columns])
-        part = spark.read.csv(files, sep="\t", header=True, schema=schema)
-        frames.append(part.select(*[c for c in columns if c in names]))
-    if not frames:
-        return spark.createDataFrame([], METADATA_SCHEMA)
-    out = frames[0]
-    for part in frames[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    missing = [f for f in METADATA_SCHEMA if f.name not in out.columns]
-    return out.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing]).select(*names)
 
 
 def read_conllu(spark: SparkSession, folder: str, suffix: str = "*.conllu") -> DataFrame:
-    """One row per sentence block of every ``.conllu`` file, with either kind of line end.
+    """One row per sentence block of every ``.conllu`` file, with any mix of line ends.
 
     ``file, block, line`` order the sentences as they stand in the files, also
     when a large file is read in several splits. A block with tokens but without
     ``sent_id`` ends the read with an error.
     """
-    lines = spark.read.text(folder, lineSep="\n", pathGlobFilter=suffix)
-    ended = lines.where(F.col("value").endswith("\r")).select(F.col("_metadata.file_path").alias("file"))
-    # File names only; the reader's file index holds them on the driver as well.
-    local = lambda f: re.sub("^file:/+", "/", f)
-    returns = {local(r["file"]) for r in ended.distinct().collect()}
-    plain = [f for f in lines.inputFiles() if local(f) not in returns]
-    parts = []
-    for files, gap in ((plain, "\n\n"), (sorted(returns), "\r\n\r\n")):
-        if files:
-            parts.append(spark.read.text(files, lineSep=gap).select(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("line"),
-                F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n")).alias("value"),
-            ))
-    empty = spark.createDataFrame([], "file string, block long, line long, value string")
-    blocks = reduce(lambda x, y: x.unionByName(y), parts) if parts else empty
+    blocks = _blocks(_lines(spark, folder, suffix))
     rows = F.filter(F.split("value", "\n"), lambda s: (s != "") & ~s.startswith("#"))
     fields = F.transform(rows, lambda s: F.split(s, "\t"))
     token = lambda f: F.struct(
@@ -86,14 +89,14 @@ def read_conllu(spark: SparkSession, folder: str, suffix: str = "*.conllu") -> D
         F.get(f, F.lit(2)).alias("lemma"),
         F.get(f, F.lit(3)).alias("upos"),
     )
-    sent_id = F.regexp_extract("value", r"(?m)^#\s*sent_id\s*=\s*(.*?)\s*$", 1)
+    sent_id = F.regexp_extract("value", r"(?m)^#[ \t]*sent_id[ \t]*=[ \t]*(.*?)[ \t]*$", 1)
     lost = (sent_id == "") & (F.size(rows) > 0)
     sent_id = F.when(lost, F.raise_error(F.concat(F.lit("a sentence without sent_id in "), "file"))).otherwise(sent_id)
     return (
         blocks.select(
             "file", "block", "line",
             sent_id.alias("sent_id"),
-            F.regexp_extract("value", r"(?m)^#\s*text\s*=\s*(.*)$", 1).alias("text"),
+            F.regexp_extract("value", r"(?m)^#[ \t]*text[ \t]*=[ \t]*(.*)$", 1).alias("text"),
             F.transform(fields, token).alias("tokens"),
         )
         .where(F.col("sent_id") != "")

@@ -61,7 +61,7 @@ def test_order_holds_when_a_file_is_read_in_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
     try:
         read = files.read_conllu(spark, str(tmp_path))
-        assert read.rdd.getNumPartitions() > 2
+        assert read.select("block").distinct().count() > 2  # sentences begin in several splits
         tagged = read.withColumn("upos", F.lit("NOUN"))
         text = files.assemble_utterances(tagged, ["file", "block", "line"]).first()["text"]
     finally:
@@ -145,3 +145,63 @@ def test_results_csv_keeps_parameters(spark, tmp_path):
     (tmp_path / "r.csv").write_text("Method;Best_params;Tot_features;Macro_F1\nA;{C: 1};12;0.5\n", encoding="utf-8")
     row = files.read_results_csv(spark, str(tmp_path / "r.csv")).first()
     assert (row["method"], row["params"], row["n_features"], row["label"], row["value"]) == ("A", "{C: 1}", 12, "Macro_F1", 0.5)
+
+
+def _plain_reading(data: bytes):
+    """``sent_id, text, tags`` of each sentence, by universal line ends."""
+    out, block = [], []
+    for line in [*data.decode().replace("\r\n", "\n").replace("\r", "\n").split("\n"), ""]:
+        if line.strip():
+            block.append(line)
+        elif block:
+            about = dict(x[1:].split("=", 1) for x in block if x.startswith("#"))
+            about = {k.strip(): v.strip() for k, v in about.items()}
+            out.append((about["sent_id"], about["text"], [x.split("\t")[3] for x in block if not x.startswith("#")]))
+            block = []
+    return out
+
+
+def test_mixed_line_ends_over_split_borders(spark, tmp_path):
+    ends = ["\n", "\r\n", "\r"]
+    lines, n = [], 0
+    for i in range(60):
+        rows = [f"# sent_id = P.u1.s{i}", f"# text = Frase {'x' * (i % 7)} {i}", *[f"{j + 1}\tw\tw\tT{i}_{j}" for j in range(i % 4 + 1)]]
+        for row in [*rows, *[""] * (i % 3 + 1)]:
+            end = ends[(n * 7 + i) % 3 if i % 5 else 0]
+            # A bare CR before an empty line that ends with LF would be one line end.
+            lines.append(row + ("\r" if row == "" and end == "\n" and lines[-1].endswith("\r") else end))
+            n += 1
+    data = "".join(lines).encode()
+    (tmp_path / "a.conllu").write_bytes(data)
+    (tmp_path / "b.conllu").write_bytes(b"\xef\xbb\xbf# sent_id = Q.u1.s1\n# text =\n1\tw\tw\tT")
+    want = _plain_reading(data)
+    assert len(want) == 60
+    for size in ("64", "333", "1000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "16")
+        try:
+            got = files.read_conllu(spark, str(tmp_path)).orderBy("file", "block", "line").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [(r["sent_id"], r["text"], [t["upos"] for t in r["tokens"]]) for r in got] == [*want, ("Q.u1.s1", "", ["T"])]
+
+
+def test_metadata_layouts_quotes_and_short_rows(spark, tmp_path):
+    (tmp_path / "a.tsv").write_bytes(b"\xef\xbb\xbfID\tSpeaker_name\tSpeaker_birth\r\nx1\t\"Gil, \\\"Ana\\\"\"\t1950\r\n\r\nx2\t\tno\r\n")
+    (tmp_path / "b.tsv").write_text("Other\tSpeaker_birth\tID\no\t1960\tx3\textra\no\n", encoding="utf-8")
+    (tmp_path / "c.tsv").write_text("ID\n", encoding="utf-8")
+    (tmp_path / "d.tsv").write_text("", encoding="utf-8")
+    for size in ("16", "1000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = files.read_metadata(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        got = sorted(((r["ID"], r["Speaker_name"], r["Speaker_birth"]) for r in rows), key=str)
+        assert got == [("x1", 'Gil, "Ana"', 1950), ("x2", None, None), ("x3", None, 1960), (None, None, None)]
+
+
+def test_metadata_of_an_empty_folder(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("", encoding="utf-8")
+    assert files.read_metadata(spark, str(tmp_path)).collect() == []
