@@ -16,25 +16,36 @@ def shuffle_key(row_id: str = "speech_id", seed: int = SEED) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")))
 
 
-def shuffled_rank(
-    df: DataFrame, keys: list[str], row_id: str = "speech_id", seed: int = SEED, digits: int = 2
-) -> DataFrame:
+CUT_ROWS = 1 << 16  # rows that a cut of a group holds on average at most
+DIGITS = 8
+
+
+def _depth(size: Column) -> Column:
+    """Hex digits that cut a group of ``size`` rows into cuts of ``CUT_ROWS``, exactly counted: 0 for a small group."""
+    steps = [F.when(size > CUT_ROWS * 16**d, 1).otherwise(0) for d in range(DIGITS)]
+    return reduce(lambda a, b: a + b, steps)
+
+
+def shuffled_rank(df: DataFrame, keys: list[str], row_id: str = "speech_id", seed: int = SEED) -> DataFrame:
     """Add ``rn`` (1.. in shuffled order within ``keys``) and ``group_size``.
 
-    The group is cut by the leading hex digits of the shuffle key; each cut is
-    numbered by itself and shifted by the sizes of the cuts before it. A group
-    that holds a third of all rows is spread over 16^digits tasks.
+    A group is cut by as many leading hex digits of the shuffle key as its counted size needs; each
+    cut is numbered by itself and shifted by the sizes of the cuts before it. No task holds more than
+    a cut or, for the shifts, one row per ``CUT_ROWS / 16`` rows of a group.
     """
     cut = [*keys, "_cut"]
-    hashed = df.withColumn("_h", shuffle_key(row_id, seed)).withColumn("_cut", F.substring("_h", 1, digits))
+    same = lambda columns: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in columns])
+    # Written, so that the join knows how small it is and a large group stays where it was read.
+    groups = staged(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size")))
+    groups = groups.select(*[F.col(c).alias(f"_s_{c}") for c in keys], "group_size", _depth(F.col("group_size")).alias("_depth"))
+    hashed = df.withColumn("_h", shuffle_key(row_id, seed)).join(groups, same(keys)).select(
+        *df.columns, "_h", "group_size", F.substring(F.col("_h"), F.lit(1), F.col("_depth")).alias("_cut")
+    )
     sizes = hashed.groupBy(*cut).agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*keys)
-    before = F.sum("_n").over(group.orderBy("_cut").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    shifts = sizes.select(*cut, (before - F.col("_n")).alias("_shift"), F.sum("_n").over(group).alias("group_size"))
-    shifts = shifts.select(*[F.col(c).alias(f"_s_{c}") for c in cut], "_shift", "group_size")
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in cut])
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shifts = sizes.select(*[F.col(c).alias(f"_s_{c}") for c in cut], (before - F.col("_n")).alias("_shift"))
     inside = F.row_number().over(Window.partitionBy(*cut).orderBy("_h", row_id))
-    numbered = hashed.withColumn("_rn", inside).join(shifts, same)
+    numbered = hashed.withColumn("_rn", inside).join(shifts, same(cut))
     return numbered.select(*df.columns, (F.col("_rn") + F.col("_shift")).alias("rn"), "group_size")
 
 

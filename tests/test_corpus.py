@@ -108,6 +108,26 @@ def test_shuffled_rank_is_the_exact_group_order(skewed):
         assert set(group["group_size"]) == {len(group)}
 
 
+def test_cuts_follow_the_counted_size(spark, skewed, monkeypatch):
+    plain = {r["speech_id"]: r["rn"] for r in ranks.shuffled_rank(skewed, ["speaker"]).collect()}
+    monkeypatch.setattr(ranks, "CUT_ROWS", 8)
+    assert {r["speech_id"]: r["rn"] for r in ranks.shuffled_rank(skewed, ["speaker"]).collect()} == plain
+    sizes = spark.createDataFrame([(n,) for n in (0, 8, 9, 128, 129, 8 * 16**7 + 1, 10**18)], "n long")
+    assert [r["d"] for r in sizes.select(ranks._depth(F.col("n")).alias("d")).collect()] == [0, 0, 1, 1, 2, 8, 8]
+
+
+def test_a_group_of_two_million_rows(spark):
+    n = 2_000_000
+    got = ranks.shuffled_rank(spark.range(n).select(F.col("id").alias("speech_id"), F.lit("one").alias("speaker")), ["speaker"])
+    cut = F.substring(ranks.shuffle_key(), 1, 2)  # what its size asks for
+    parts = got.groupBy(cut.alias("cut")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("rn").alias("low"), F.max("rn").alias("high"), F.count_distinct("rn").alias("m")
+    ).orderBy("cut").collect()
+    assert max(p["n"] for p in parts) < ranks.CUT_ROWS and sum(p["n"] for p in parts) == n
+    assert all(p["n"] == p["m"] == p["high"] - p["low"] + 1 for p in parts)
+    assert parts[0]["low"] == 1 and all(a["high"] + 1 == b["low"] for a, b in zip(parts, parts[1:]))
+
+
 def test_sorted_numbers_are_the_exact_order(skewed):
     rows = skewed.where("speaker is not null")
     whole = ranks.sorted_numbers(rows, [F.desc("speech_id")]).toPandas().sort_values("rn")
