@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from penmark.functions import text as tx
-from penmark.operators.ranks import SEED, shuffled_rank
+from penmark.operators.ranks import SEED, shuffled_rank, sorted_numbers
 from penmark.session import staged
 
 # Party lists of each wing scheme.
@@ -137,6 +137,24 @@ def with_label(speeches: DataFrame, focus: str) -> DataFrame:
     return speeches.withColumn("y", F.col(label_column(focus)).cast("string"))
 
 
+def label_table(train: DataFrame, label: str = "y") -> DataFrame:
+    """``label, code``: the labels of the training rows, numbered from 0 in alphabetic order."""
+    labels = train.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label")).distinct()
+    return sorted_numbers(labels, [F.col("label")]).select("label", (F.col("rn") - 1).cast("int").alias("code"))
+
+
+def encode_labels(rows: DataFrame, table: DataFrame, label: str = "y", out: str = "code") -> DataFrame:
+    """The code of each row's label; null where the training rows have no such label."""
+    codes = table.select(F.col("label").alias("_label"), F.col("code").alias(out))
+    return rows.join(codes, F.col(label).cast("string") == F.col("_label"), "left").drop("_label")
+
+
+def decode_labels(rows: DataFrame, table: DataFrame, code: str = "code", out: str = "y_pred") -> DataFrame:
+    """The label of each row's code; null for a code that is not in the table."""
+    labels = table.select(F.col("code").alias("_code"), F.col("label").alias(out))
+    return rows.join(labels, F.col(code) == F.col("_code"), "left").drop("_code")
+
+
 # ---- summaries -------------------------------------------------------------
 
 

@@ -61,6 +61,11 @@ def best_methods(scores: DataFrame, by: list[str], score: str = "f1") -> DataFra
     return scores.withColumn("_r", F.rank().over(order)).where(F.col("_r") == 1).drop("_r")
 
 
+def stored_scores(scores: DataFrame, names: list[str]) -> DataFrame:
+    """Scores to 3 places, as result tables hold them; methods are compared, and tie, on these."""
+    return scores.withColumns({name: F.bround(name, 3) for name in names})
+
+
 def best_grid_point(scores: DataFrame, by: list[str]) -> DataFrame:
     """Highest score; the first point in grid order on a tie."""
     best = F.max_by(F.struct("grid_idx", "score"), F.struct("score", (-F.col("grid_idx")).alias("i")))
@@ -92,6 +97,24 @@ def mcnemar(predictions: DataFrame, pairs: DataFrame, alpha: float = 0.05) -> Da
     )
 
 
+def compare_multiclass(scores_a: DataFrame, scores_b: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The methods best by macro F1 against the best of a baseline family, per run.
+
+    ``scores_*`` hold ``run, method, macro_f1, micro_f1``; both differences are in percent of the
+    baseline. McNemar's test compares the predictions row by row.
+    """
+    def best(scores: DataFrame, name: str, prefix: str) -> DataFrame:
+        top = best_methods(scores, ["run"], "macro_f1")
+        return top.select("run", F.col("method").alias(name), *[F.col(c).alias(f"{prefix}{c}") for c in ("macro_f1", "micro_f1")])
+
+    pairs = best(scores_a, "method", "").join(best(scores_b, "baseline", "baseline_"), "run")
+    tests = predictions.select("run", "task_label").distinct().join(pairs.select("run", "baseline", "method"), "run")
+    tested = mcnemar(predictions, tests.select("run", "task_label", "baseline", "method"))
+    delta = lambda c: F.try_divide((F.col(c) - F.col(f"baseline_{c}")) * 100, F.col(f"baseline_{c}"))
+    out = pairs.join(tested, ["run", "baseline", "method"])
+    return out.withColumn("delta_macro", delta("macro_f1")).withColumn("delta_micro", delta("micro_f1"))
+
+
 def compare_methods(
     scores_a: DataFrame, scores_b: DataFrame, predictions: DataFrame, score: str = "f1"
 ) -> DataFrame:

@@ -215,6 +215,16 @@ def _pieces() -> dict[str, str]:
                 count(*) FILTER (WHERE y_true <> label AND y_pred = label) AS fp,
                 count(*) FILTER (WHERE y_true = label AND y_pred <> label) AS fn
               FROM preds, (SELECT unnest(['0', '1']) AS label) GROUP BY ALL) WHERE tp + fp + fn > 0""",
+        "f1s": "SELECT run, task_label, method, round_even(f1, 3) AS f1 FROM f1b",
+        "model_preds": """SELECT doc_id, method, d.lang AS y_true, s.lang AS y_pred FROM documents d
+            JOIN (SELECT lang, dense_rank() OVER (ORDER BY lang) - 1 AS code, count(*) OVER () AS k FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)) t USING (lang),
+            (VALUES ('ALL', 11), ('ALL - POS', 7), ('BaseFeatures', 3), ('MODEL_MASKED', 13), ('MODEL_PLAIN', 5)) e(method, errs)
+            JOIN (SELECT lang, dense_rank() OVER (ORDER BY lang) - 1 AS code FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)) s
+              ON s.code = CASE WHEN doc_id % errs = 0 THEN (t.code + 1) % t.k ELSE t.code END""",
+        "model_scores": """SELECT method, round_even(avg(2.0 * tp / (truth + said)), 3) AS macro_f1, round_even(2.0 * sum(tp) / sum(truth + said), 3) AS micro_f1 FROM (
+            SELECT method, label, sum(t) AS truth, sum(p) AS said, sum(h) AS tp FROM (
+              SELECT method, y_true AS label, 1 AS t, 0 AS p, CAST(y_true = y_pred AS INTEGER) AS h FROM model_preds
+              UNION ALL SELECT method, y_pred, 0, 1, 0 FROM model_preds) GROUP BY ALL) GROUP BY method""",
         "f1b": """SELECT run, task_label, method, f1 FROM scores WHERE label = '1'
               UNION ALL SELECT DISTINCT run, task_label, method, 0.0 FROM preds p WHERE NOT EXISTS (
                 SELECT 1 FROM scores s WHERE label = '1' AND s.task_label = p.task_label AND s.method = p.method)""",
@@ -493,7 +503,7 @@ def _bodies() -> dict[str, str]:
         "f1_binary": f"SELECT run, task_label, method, {_R('f1', 'f1')} FROM f1b",
         "f1_macro_micro": f"""SELECT run, task_label, method, {_R('avg(f1)', 'macro_f1')},
             {_R('2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))', 'micro_f1')} FROM scores GROUP BY ALL""",
-        "best_method": f"SELECT run, task_label, method, {_R('f1', 'f1')} FROM f1b a WHERE f1 = (SELECT max(f1) FROM f1b b WHERE b.task_label = a.task_label)",
+        "best_method": "SELECT run, task_label, method, f1 FROM f1s a WHERE f1 = (SELECT max(f1) FROM f1s b WHERE b.task_label = a.task_label)",
         "f1_pooled_cv": f"""SELECT grid_idx, {_R('2.0 * tp / (2 * tp + wrong)', 'score')} FROM (
             SELECT grid_idx, count(*) FILTER (WHERE truth = 1 AND guess = 1) AS tp, count(*) FILTER (WHERE truth <> guess) AS wrong FROM (
               SELECT g.grid_idx, quality AS truth, CAST(n_chars > 500 * g.grid_idx AS INTEGER) AS guess FROM labels JOIN documents USING (doc_id),
@@ -510,9 +520,20 @@ def _bodies() -> dict[str, str]:
         "compare_methods": f"""SELECT x.run, x.task_label, x.method, x.baseline, {_R('a.f1', 'score')}, {_R('b.f1', 'baseline_score')},
             {_R('(a.f1 - b.f1) * 100 / nullif(b.f1, 0)', 'delta_pct')}, yn, ny, {_R(p_exact, 'p')}
             FROM ({cells.format(where="WHERE a.method = 'RULE' AND b.method <> 'RULE'")}) x
-            JOIN f1b a ON a.task_label = x.task_label AND a.method = x.method
-            JOIN f1b b ON b.task_label = x.task_label AND b.method = x.baseline
-            WHERE a.f1 = (SELECT max(f1) FROM f1b c WHERE c.task_label = x.task_label AND c.method <> 'RULE')""",
+            JOIN f1s a ON a.task_label = x.task_label AND a.method = x.method
+            JOIN f1s b ON b.task_label = x.task_label AND b.method = x.baseline
+            WHERE a.f1 = (SELECT max(f1) FROM f1s c WHERE c.task_label = x.task_label AND c.method <> 'RULE')""",
+        "outside_model_scores": """SELECT 'MC_lang' AS run, method, 'all' AS label, metric, value FROM model_scores
+            UNPIVOT (value FOR metric IN (macro_f1, micro_f1)) WHERE method LIKE 'MODEL%'""",
+        "compare_multiclass": f"""SELECT 'MC_lang' AS run, a.method, b.method AS baseline, a.macro_f1, a.micro_f1, b.macro_f1 AS baseline_macro_f1,
+            b.micro_f1 AS baseline_micro_f1, {_R('(a.macro_f1 - b.macro_f1) * 100 / nullif(b.macro_f1, 0)', 'delta_macro')},
+            {_R('(a.micro_f1 - b.micro_f1) * 100 / nullif(b.micro_f1, 0)', 'delta_micro')}, yy, yn, ny, nn, {_R(p_exact, 'p')}
+            FROM (SELECT * FROM model_scores WHERE method NOT LIKE 'MODEL%' QUALIFY macro_f1 = max(macro_f1) OVER ()) a,
+              (SELECT * FROM model_scores WHERE method LIKE 'MODEL%' QUALIFY macro_f1 = max(macro_f1) OVER ()) b
+            JOIN (SELECT x.method, y.method AS other, count(*) FILTER (WHERE y.ok AND x.ok) AS yy, count(*) FILTER (WHERE y.ok AND NOT x.ok) AS yn,
+                count(*) FILTER (WHERE NOT y.ok AND x.ok) AS ny, count(*) FILTER (WHERE NOT y.ok AND NOT x.ok) AS nn
+              FROM (SELECT *, y_true = y_pred AS ok FROM model_preds) x JOIN (SELECT *, y_true = y_pred AS ok FROM model_preds) y USING (doc_id)
+              GROUP BY ALL) c ON c.method = a.method AND c.other = b.method""",
         "style_indices": f"SELECT speaker, CAST(n_words AS BIGINT) AS n_words, {style_cols} FROM style",
         "style_by_text": f"SELECT speech_id, CAST(n_words AS BIGINT) AS n_words, {style_cols} FROM style_texts",
         "cni_texts_top": f"""SELECT speech_id, {_R('cni', 'cni')}, kind FROM (

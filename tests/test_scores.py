@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from penmark.operators import corpus as c
 from penmark.operators import metrics as m
 from penmark.operators import stats as st
 
@@ -134,3 +135,29 @@ def test_best_fit(spark):
     rows = [("M", float(i), 2.0 * i + 1) for i in range(5)]
     row = st.best_fit(spark.createDataFrame(rows, "method string, x double, y double"), ["method"], "x", "y").first()
     assert (row["slope"], row["intercept"], row["r2"]) == (pytest.approx(2), pytest.approx(1), pytest.approx(1))
+
+
+def test_label_codes_come_back(spark):
+    train = spark.createDataFrame([("b",), ("a",), ("c",), ("a",), (None,)], "y string")
+    table = c.label_table(train)
+    assert {(r["label"], r["code"]) for r in table.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    rows = spark.createDataFrame([(1, "c"), (2, "unseen"), (3, None), (4, "a")], "id int, y string")
+    coded = c.encode_labels(rows, table)
+    assert {r["id"]: r["code"] for r in coded.collect()} == {1: 2, 2: None, 3: None, 4: 0}
+    assert {r["id"]: r["y_pred"] for r in c.decode_labels(coded, table).collect()} == {1: "c", 2: None, 3: None, 4: "a"}
+
+
+def test_multiclass_comparison_pairs_all_tied_methods(spark):
+    truth = "aabbccab"
+    said = {"m1": "aabbccaa", "m2": "aabbccbb", "m3": "cccccccc", "base": "aabbaaab"}
+    rows = [("r", "all", k, str(i), t, p) for k, v in said.items() for i, (t, p) in enumerate(zip(truth, v))]
+    preds = spark.createDataFrame(rows, "run string, task_label string, method string, speech_id string, y_true string, y_pred string")
+    scores = m.stored_scores(m.f1_macro_micro(preds, ["run", "method"]), ["macro_f1", "micro_f1"])
+    got = {r["method"]: r for r in m.compare_multiclass(scores.where("method <> 'base'"), scores.where("method = 'base'"), preds).collect()}
+    kept = {r["method"]: r for r in scores.collect()}
+    top = max(kept[k]["macro_f1"] for k in ("m1", "m2", "m3"))
+    assert set(got) == {k for k in ("m1", "m2", "m3") if kept[k]["macro_f1"] == top} and "m1" in got
+    row = got["m1"]
+    assert (row["baseline"], row["yy"], row["yn"], row["ny"], row["nn"]) == ("base", 5, 1, 2, 0)
+    assert row["micro_f1"] == 0.875 and row["baseline_micro_f1"] == 0.75 and abs(row["delta_micro"] - 100 / 6) < 1e-9
+    assert abs(row["delta_macro"] - (row["macro_f1"] - row["baseline_macro_f1"]) / row["baseline_macro_f1"] * 100) < 1e-9
