@@ -88,12 +88,12 @@ def extreme_texts(text_indices: DataFrame, index: str = "cni", n: int = 10) -> D
     return high.unionByName(low)
 
 
-def by_wing(values: DataFrame, speeches: DataFrame, value: str) -> DataFrame:
-    """``value`` per speaker with first name and English modal wing, highest first."""
+def by_wing(values: DataFrame, speeches: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``value`` per speaker (and ``keys``) with first name and English modal wing, highest first within the keys."""
     wings = modal_labels(speeches, ["wing"]).select("speaker", F.col("label").alias("wing"))
     return (
-        values.select("speaker", value)
+        values.select("speaker", *keys, value)
         .join(wings, "speaker", "left")
-        .select("speaker", tx.first_name("speaker").alias("first_name"), wing_english("wing").alias("wing"), value)
-        .orderBy(F.desc(value), F.desc("speaker"), F.desc("wing"))
+        .select("speaker", *keys, tx.first_name("speaker").alias("first_name"), wing_english("wing").alias("wing"), value)
+        .orderBy(*keys, F.desc(value), F.desc("speaker"), F.desc("wing"))
     )

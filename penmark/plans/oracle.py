@@ -504,10 +504,14 @@ def _bodies() -> dict[str, str]:
         "f1_macro_micro": f"""SELECT run, task_label, method, {_R('avg(f1)', 'macro_f1')},
             {_R('2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))', 'micro_f1')} FROM scores GROUP BY ALL""",
         "best_method": "SELECT run, task_label, method, f1 FROM f1s a WHERE f1 = (SELECT max(f1) FROM f1s b WHERE b.task_label = a.task_label)",
-        "f1_pooled_cv": f"""SELECT grid_idx, {_R('2.0 * tp / (2 * tp + wrong)', 'score')} FROM (
-            SELECT grid_idx, count(*) FILTER (WHERE truth = 1 AND guess = 1) AS tp, count(*) FILTER (WHERE truth <> guess) AS wrong FROM (
-              SELECT g.grid_idx, quality AS truth, CAST(n_chars > 500 * g.grid_idx AS INTEGER) AS guess FROM labels JOIN documents USING (doc_id),
-                (SELECT unnest(range(1, 5)) AS grid_idx) g) GROUP BY grid_idx)""",
+        "f1_pooled_cv": f"""SELECT task_label, grid_idx, {_R('2.0 * tp / (2 * tp + wrong)', 'score')} FROM (
+            SELECT task_label, grid_idx, count(*) FILTER (WHERE truth = 1 AND guess = 1) AS tp, count(*) FILTER (WHERE truth <> guess) AS wrong FROM (
+              SELECT f.task_label, g.grid_idx, truth, CAST(n_chars > mean * g.grid_idx / 4 AS INTEGER) AS guess
+              FROM (SELECT *, CAST(sum(n_chars) OVER (PARTITION BY task_label) - sum(n_chars) OVER (PARTITION BY task_label, fold) AS DOUBLE)
+                  / (count(n_chars) OVER (PARTITION BY task_label) - count(n_chars) OVER (PARTITION BY task_label, fold)) AS mean FROM (
+                SELECT *, (row_number() OVER (PARTITION BY task_label, truth ORDER BY md5('42:' || doc_id), doc_id) - 1) % 5 AS fold
+                FROM (SELECT doc_id, 'quality' AS task_label, quality AS truth FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels)
+                JOIN documents USING (doc_id))) f, (SELECT unnest(range(1, 5)) AS grid_idx) g) GROUP BY ALL)""",
         "best_grid": f"""SELECT task_label, grid_idx, {_R('score', 'score')} FROM (
             SELECT *, row_number() OVER (PARTITION BY task_label ORDER BY score DESC, grid_idx) AS r FROM (
               SELECT task_label, grid_idx, 2.0 * tp / (2 * tp + wrong) AS score FROM (
@@ -539,8 +543,9 @@ def _bodies() -> dict[str, str]:
         "cni_texts_top": f"""SELECT speech_id, {_R('cni', 'cni')}, kind FROM (
             (SELECT speech_id, cni, 'max' AS kind FROM style_texts WHERE cni IS NOT NULL ORDER BY cni DESC, speech_id LIMIT 10)
             UNION ALL (SELECT speech_id, cni, 'min' FROM style_texts WHERE cni IS NOT NULL ORDER BY cni, speech_id LIMIT 10))""",
-        "index_by_wing": f"""SELECT s.speaker, split_part(s.speaker, ' ', 1) AS first_name, {_ENGLISH.format(w='m.label')} AS wing, {_R('s.cni', 'cni')}
-            FROM style s LEFT JOIN (SELECT * FROM modal WHERE kind = 'wing') m USING (speaker)""",
+        "index_by_wing": f"""SELECT s.speaker, s.style, split_part(s.speaker, ' ', 1) AS first_name, {_ENGLISH.format(w='m.label')} AS wing, {_R('s.idx', 'idx')}
+            FROM (SELECT speaker, style, idx FROM (FROM style UNPIVOT INCLUDE NULLS (idx FOR style IN (ati, cni, asi, pos_minus_neg, pos_plus_neg)))) s
+            LEFT JOIN (SELECT * FROM modal WHERE kind = 'wing') m USING (speaker)""",
         "words_by_wing": rf"""SELECT s.speaker, split_part(s.speaker, ' ', 1) AS first_name, {_ENGLISH.format(w='m.label')} AS wing,
             CAST(n_words AS BIGINT) AS n_words FROM (SELECT speaker, sum(len(regexp_extract_all(text, '\S+'))) AS n_words FROM speeches GROUP BY speaker) s
             LEFT JOIN (SELECT * FROM modal WHERE kind = 'wing') m USING (speaker)""",

@@ -399,8 +399,24 @@ def _grid_predictions(spark, sf, tasks: list[str]) -> DataFrame:
 
 
 def f1_pooled_cv(spark, sf):
-    scores = m.f1_binary(_grid_predictions(spark, sf, ["quality"]), ["grid_idx"])
-    return scores.select("grid_idx", _r("f1", "score"))
+    """F1 of pooled out-of-fold predictions: a length rule whose mean length is fitted on the other folds of each task."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("speech_id"), F.col("n_chars").cast("long").alias("n_chars"))
+    parts = []
+    for task in ("quality", "toxic"):
+        rows = labels.select(F.col("doc_id").alias("speech_id"), F.col(task).cast("string").alias("y")).join(docs, "speech_id")
+        parts.append(sp.folds(rows).withColumn("task_label", F.lit(task)))
+    folded = staged(parts[0].unionByName(parts[1]))
+    sums = folded.groupBy("task_label", "fold").agg(F.sum("n_chars").alias("s"), F.count("n_chars").alias("n"))
+    whole = sums.groupBy("task_label").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    fitted = sums.join(whole, "task_label").select(
+        "task_label", "fold", F.try_divide((F.col("all_s") - F.col("s")).cast("double"), F.col("all_n") - F.col("n")).alias("mean")
+    )
+    points = F.explode(F.lit([1, 2, 3, 4]).cast("array<bigint>")).alias("grid_idx")
+    held = folded.join(fitted, ["task_label", "fold"]).select("*", points)
+    said = (F.col("n_chars") > F.col("mean") * F.col("grid_idx") / 4).cast("int").cast("string")
+    scores = m.f1_binary(held.select("task_label", "grid_idx", F.col("y").alias("y_true"), said.alias("y_pred")), ["task_label", "grid_idx"])
+    return scores.select("task_label", "grid_idx", _r("f1", "score"))
 
 
 def best_grid(spark, sf):
@@ -483,8 +499,9 @@ def cni_texts_top(spark, sf):
 
 
 def index_by_wing(spark, sf):
-    rows = style.by_wing(_style(spark, sf, "speaker"), _winged(spark, sf), style.index_column("CNI"))
-    return rows.withColumn("cni", F.round("cni", 6))
+    """Every style index of every speaker, beside the wing."""
+    values = _style(spark, sf, "speaker").unpivot(["speaker"], INDICES, "style", "idx")
+    return style.by_wing(values, _winged(spark, sf), "idx", ("style",)).withColumn("idx", F.round("idx", 6))
 
 
 def words_by_wing(spark, sf):
