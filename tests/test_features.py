@@ -171,3 +171,30 @@ def test_norms_need_no_window(spark):
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
     norms = got.groupBy("speech_id").agg(F.sum(F.col("value") * F.col("value")).alias("n")).collect()
     assert len(norms) == 2 and all(abs(r.n - 1) < 1e-12 for r in norms)
+
+
+@pytest.mark.parametrize("piece", [7, 1 << 19])
+def test_ngrams_of_repeated_and_missing_speeches(spark, monkeypatch, piece):
+    """Rows of one id are one speech, whatever piece they fall into; n-grams never cross rows."""
+    rng = random.Random(9)
+    units = ["Prepos", "w", "Éo", "articulo", "xx", "é", None]
+    rows = [(rng.choice([None, 1, 2, 3, 4]), rng.choices(units, k=rng.randint(0, 12))) for _ in range(60)] + [(9, None), (9, []), (None, None)]
+    df = spark.createDataFrame(rows, "speech_id long, gram array<string>").repartition(3)
+    want = Counter()
+    for one, words in rows:
+        known = [u.lower() for u in words or [] if u and len(u) > 1]
+        want.update({(one, g): n for g, n in grams(known, 1, 3, " ").items()})
+    monkeypatch.setattr(x, "PIECE", piece)
+    got = x.block_counts(df, "liwc_gram").collect()
+    assert {(r.speech_id, r.gram): r.tf for r in got} == want and len(got) == len(want)
+
+
+def test_ngrams_of_many_units_are_renumbered(spark):
+    """Numbers of seven digits over 3,000 characters do not fit in 64 bits."""
+    rng = random.Random(4)
+    rows = [(i, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(2000)) + "abab\U0001f600") for i in range(3)]
+    df = spark.createDataFrame(rows, "speech_id long, stress string")
+    got = {(r.speech_id, r.gram): r.tf for r in x.block_counts(df, "stress").collect()}
+    assert got == {(i, g): n for i, text in rows for g, n in grams(list(text), 1, 7, "").items()}
+    plan = x.block_counts(df, "stress")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no row a position

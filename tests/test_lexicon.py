@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from penmark.functions import text as tx
 from penmark.operators import lexicon as lx
 from penmark.operators import style
 from penmark.plans import recipes
@@ -95,3 +98,22 @@ def test_sample_lexicon_matches_its_dic_form(spark, tmp_path):
     path.write_text(sample.dic_text(), encoding="utf8")
     from_file = lx.build_lexicon(*read_dic(spark, str(path)))
     assert sorted(from_file.collect()) == sorted(lx.build_lexicon(*sample.lexicon_tables(spark)).collect())
+
+
+def test_words_are_encoded_once_each_as_by_column(spark, lexicon):
+    """The encoded table equals the column expressions, and no expression runs for every token."""
+    rng = random.Random(5)
+    letters = "aeiouáéíóúünspthrlbg1ªß"
+    known = ["pensar", "pensamos", "pens", "yo", "el", "la", "de", "qui", "is", "no", "y", "ing", "x9", "día", "vous", "o", "leer", "lly"]
+    rows = [(i, [rng.choice(known) if rng.random() < 0.4 else "".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(rng.randint(0, 40))]) for i in range(80)]
+    rows += [(90, []), (91, None), (92, ["yo", None])]
+    df = spark.createDataFrame(rows, "speech_id long, tokens array<string>").repartition(3)
+    want = recipes.encoded(sample.with_tags(df.where("speech_id < 92")), lexicon)
+    plain = lx.encode(df.withColumn("stress", tx.stress_text("tokens", recipes.unstressed_words())), lexicon)
+    got = recipes.encoded(df, lexicon, sample.upos_of)
+    columns = ["speech_id", "stress", *lx.MACROS]
+    assert sorted(got.select(columns).collect()) == sorted(plain.select(columns).collect(), key=lambda r: r.speech_id)
+    tagged = sample.with_tags(df.where("speech_id < 92")).select("speech_id", "pos_tags")
+    assert sorted(got.where("speech_id < 91").select("speech_id", "pos_tags").collect()) == sorted(tagged.where("speech_id < 91").collect())
+    assert sorted(want.columns) == sorted(got.columns)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
