@@ -167,3 +167,29 @@ def test_fold_features_see_only_their_training_part(encoded):
 def test_components_for_every_speech(encoded):
     got = ex.lsa_by_wing(encoded).toPandas()
     assert len(got) == 120 and set(got["wing"]) == {"Left", "Right"} and got["c1"].abs().max() > 0
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_block_svd_reads_the_rows_once_a_round(spark, monkeypatch, wide):
+    """The array form meets numpy and the joined form, for dense and sparse pieces; no round joins the cells."""
+    rng = np.random.default_rng(6)
+    n = 4000 if wide else 25
+    rows = [(i, int(j), float(rng.random() + (j < 3))) for i in range(150) for j in rng.choice(n, 9, replace=False)]
+    rows += [(i, i % 4, 2.0 + i % 4) for i in range(150)]  # cells that come twice add up
+    cells = spark.createDataFrame(rows, "row long, idx int, value double").repartition(3)
+    monkeypatch.setattr(learn, "CELLS", 200)
+    joins = []
+    whole = type(cells).join
+    monkeypatch.setattr(type(cells), "join", lambda self, *a, **b: (joins.append(1), whole(self, *a, **b))[1])
+    got, found = learn.block_svd(cells, 2)
+    assert not joins
+    dense = np.zeros((150, n))
+    for i, j, v in rows:
+        dense[i, j] += v
+    assert found == pytest.approx(np.linalg.svd(dense, compute_uv=False)[:2], rel=1e-8)
+    monkeypatch.setattr(learn, "DRIVER_FEATURES", 1)
+    joined, _ = learn.block_svd(cells, 2)
+    one, two = [x.orderBy("idx").toPandas() for x in (got, joined)]
+    assert joins and one["idx"].tolist() == two["idx"].tolist()
+    for c in ("v1", "v2"):
+        assert one[c].to_numpy() == pytest.approx(two[c].to_numpy(), abs=1e-6)
