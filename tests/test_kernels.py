@@ -113,3 +113,25 @@ def test_a_map_does_not_depend_on_the_partitions(spark):
         made.append({(r.space, r.speech_id): r["values"] for r in out.collect()})
     assert made[0].keys() == made[1].keys() and len(made[0]) == 2 * 40 * 4
     assert all(np.allclose(v, made[1][k]) for k, v in made[0].items())
+
+
+def test_held_rows_are_mapped_where_they_are_read(spark, monkeypatch):
+    """Nothing but the fit rows is written under a kernel: 4 KB a row would be 12 GB for three million."""
+    from penmark.operators import trainer
+
+    written, whole = [], trainer.staged
+    monkeypatch.setattr(learn, "staged", lambda df: pytest.fail("mapped rows written"))
+    monkeypatch.setattr(trainer, "staged", lambda df: (written.append(df.count()), whole(df))[1])
+    rows = _rings(spark, spaces=1).cache()
+    fit, held = rows.where("cast(speech_id as int) < 40"), rows.where("cast(speech_id as int) >= 40")
+    said = learn.fit_predict_many("svm", [{"C": 10.0, "balanced": False, "kernel": "rbf"}], fit, held, {0: 3}, {0: {"far": 20, "near": 20}})
+    assert said.count() == 120 and written == [40]
+
+
+@pytest.mark.parametrize("size, n", [(30, 5), (100_000, 300)])
+def test_products_of_close_and_far_columns(size, n):
+    rng = np.random.default_rng(8)
+    rows = [(np.sort(rng.choice(size, k, replace=False)), rng.normal(size=k)) for k in rng.integers(0, 9, n)]
+    turn = rng.normal(size=(size, 3))
+    want = [v @ turn[i] for i, v in rows]
+    assert np.allclose(kernels.Cells.of(rows).times(turn), want)

@@ -193,3 +193,12 @@ def test_block_svd_reads_the_rows_once_a_round(spark, monkeypatch, wide):
     assert joins and one["idx"].tolist() == two["idx"].tolist()
     for c in ("v1", "v2"):
         assert one[c].to_numpy() == pytest.approx(two[c].to_numpy(), abs=1e-6)
+
+
+def test_folds_read_the_training_counts_alone(encoded, monkeypatch):
+    """Folds see counts of the training side only, so their work does not grow with the test side."""
+    seen, whole = [], ex._spaces
+    monkeypatch.setattr(ex, "_spaces", lambda counts, *a: (seen.append(counts), whole(counts, *a))[1])
+    out = ex.run_experiment(encoded, "MC", "name", "svm", ["pos_tags", "base_features"], train_rows=20, grid=[{**GRID[0], "kernel": "rbf"}, {**GRID[1], "kernel": "rbf"}])
+    assert [c.select("speech_id").distinct().count() for c in seen[0].values()] == [60] * 4
+    assert out.predictions.count() == 60
