@@ -102,14 +102,25 @@ def phrase_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     theirs = F.slice("terms", skipped + 1, F.size("here"))
     same = F.zip_with("here", theirs, lambda x, y: x == y)
     marked = cut.select("doc_id", "_th", "item_id", F.greatest("at", F.lit(0)).alias("from"), "w", same.alias("same"))
-    # Runs of equal words: a run of at least w words is a chain of windows.
-    marked = marked.where(F.size("same") >= F.col("w"))
+    # Runs of equal words: a run of at least w words is a chain of windows. Most alignments have none, and go
+    # after one pass over their words; a condition on the runs themselves would be worked out anew for each run.
+    marked = marked.where(longest_run(F.col("same")) >= F.col("w"))
     broken = F.filter(F.transform("same", lambda x, i: F.when(x, -1).otherwise(i)), lambda i: i >= 0)
     marked = marked.withColumn("cuts", F.concat(F.array(F.lit(-1)), broken, F.array(F.size("same"))))
     lengths = F.transform("cuts", lambda c, i: F.struct((c + 1).alias("a"), F.get("cuts", i + 1).alias("b")))
     runs = F.filter(lengths, lambda r: r["b"] - r["a"] >= F.col("w"))
     spans = F.transform(runs, lambda r: F.struct((r["a"] + F.col("from")).alias("a"), (r["b"] + F.col("from")).alias("b")))
-    return marked.select("doc_id", "_th", "item_id", spans.alias("spans")).where(F.size("spans") > 0)
+    return marked.select("doc_id", "_th", "item_id", spans.alias("spans"))
+
+
+def longest_run(same: Column) -> Column:
+    """The length of the longest run of true values."""
+
+    def step(acc: Column, x: Column) -> Column:
+        n = F.when(x, acc["n"] + 1).otherwise(0)
+        return F.struct(n.alias("n"), F.greatest(acc["m"], n).alias("m"))
+
+    return F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(0).alias("m")), step, lambda acc: acc["m"])
 
 
 def covered(spans: Column) -> Column:

@@ -63,3 +63,19 @@ def test_proximity(spark):
     assert {(r.doc_id, r.n_terms) for r in got} == {(1, 3)}
     loose = decontaminate.proximity_matches(docs, phrase, slop=2).collect()
     assert {r.doc_id for r in loose} == {1, 3}
+
+
+def test_runs_are_found_in_one_pass_before_they_are_cut(spark):
+    """Runs are cut for alignments that have a long one only: no join condition works them out."""
+    from pyspark.sql import functions as F
+
+    same = [[], [True], [False, True, True, None, True], [True] * 4 + [False], [None, False]]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(same)], "i int, same array<boolean>")
+    got = rows.select("i", decontaminate.longest_run(F.col("same")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == [0, 1, 2, 4, 0]
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o")], "doc_id long, text string")
+    items = decontaminate.benchmark_items(spark.createDataFrame([(1, "b c d e f g h i j k l m n")], "item_id long, text string"))
+    found = decontaminate.phrase_matches(docs, items)
+    assert [(s.a, s.b) for r in found.collect() for s in r.spans] == [(1, 14)]
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert joins and not any("filter(" in line for line in joins)
