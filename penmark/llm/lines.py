@@ -7,8 +7,10 @@ that is equal or at most ``max_edits`` single-character edits away. Only lines o
 Two lines within t edits of each other share one of t + 1 segments of the shorter (or
 equally long) one, at a place that its number and the two lengths bound. Each line stores
 its own segments and looks for those of lines up to t characters shorter; a key is the
-length, the segment's number and its text. Keys that two different lines share give
-candidates, and a banded bit-parallel automaton confirms them. Where a key has too many
+length, the segment's number and its text. They are made for candidates alone: lines that
+share a rough key, of a class of lengths, with a different line. Keys that two different lines
+share give pairs; marks of their characters part most that are too far apart, and a banded
+bit-parallel automaton confirms the rest. Where a key has too many
 lines to be compared pair by pair, the rest of each line is cut into segments again and
 the key grows, until groups are small or hold only lines that are all within reach; such a
 group is compared with its earliest lines alone, which is all the rule asks.
@@ -29,15 +31,52 @@ from penmark.llm.common import small_side
 from penmark.session import staged
 
 MAX_EDITS, MIN_CHARS = 2, 20
-GROUP_PAIRS = 64  # lines of a key are compared pair by pair up to this product, else the key grows
+GROUP_PAIRS = 1 << 14  # lines of a key are compared pair by pair up to this product, else the key grows
 
 
-def _instances(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Every line that takes part: its text, a 128-bit id and its place."""
+def _taking_part(lines: DataFrame, min_chars: int) -> DataFrame:
+    return lines.where(F.length(F.trim("line")) >= min_chars)
+
+
+def _instances(docs: DataFrame, min_chars: int, edits: int) -> DataFrame:
+    """Every line that takes part, without its text: its place, a 128-bit id and its rough keys."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.where(F.length(F.trim("line")) >= min_chars)
+    rows = _taking_part(rows, min_chars).withColumn("size", F.length("line"))
     place = F.struct("doc_id", "th", "pos").alias("at")
-    return rows.select(place, "line", F.length("line").alias("size"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    return rows.select(place, F.xxhash64("line").alias("h"), _second_id("line").alias("g"), _rough_keys(edits).alias("rough"))
+
+
+def _second_id(line: str) -> Column:
+    return F.xxhash64(F.lit(1), line)
+
+
+def _rough_keys(edits: int) -> Column:
+    """Keys of a line of which two lines within ``edits`` edits share one, by classes of lengths.
+
+    The segments are those of the shortest length of a class, so lines of near lengths cut alike; a line just
+    above a border has the keys of the class below too. The first segment is counted from the beginning, the
+    last from the end. One between them, if it is the first without an edit, moved by at most the edits
+    before it; it is short by that many characters and kept at each place up to there, so that whichever
+    line has the longer beginning finds the other.
+    """
+
+    def keys(base: Column) -> list[Column]:
+        out = []
+        for i in range(1, edits + 2):
+            start, stop = _cut(base, i, edits)
+            if i == edits + 1:
+                places = [(F.col("size") - (base - start) + 1, base - start)]
+            else:
+                moves = i - 1
+                places = [(start + move + 1, stop - start - moves) for move in range(moves + 1)]
+            out += [F.xxhash64(base, F.lit(i), F.substring("line", at, n)) for at, n in places]
+        return out
+
+    def base(n: Column) -> Column:
+        return n - n % F.when(n < 64, 4).otherwise(16)
+
+    own, below = base(F.col("size")), base(F.col("size") - edits)
+    return F.when(own == below, F.array(*keys(own))).otherwise(F.array(*keys(own), *keys(below)))
 
 
 def _part(a: Column, b: Column, n: Column, t: Column | int) -> Column:
@@ -208,22 +247,31 @@ def _automaton(a: Column, b: Column, edits: int, whole: bool) -> Column:
     return F.aggregate(beside, begin, step, last)
 
 
-def _alive(rows: DataFrame) -> DataFrame:
-    """Keys that a stored segment and another line share."""
-    keys = rows.groupBy("key").agg(F.max("own").alias("own"), F.min("h").alias("x"), F.max("h").alias("y"))
-    return keys.where("own AND x <> y").select("key")
+def _shared(rows: DataFrame) -> DataFrame:
+    """``rows`` of keys that a stored segment and another line share, with the number of pairs of the key."""
+    keys = rows.groupBy("key").agg(
+        (F.sum(F.col("own").cast("long")) * F.count(F.lit(1))).alias("pairs"), F.min("h").alias("x"), F.max("h").alias("y")
+    )
+    return rows.join(keys.where("pairs > 0 AND x <> y").select("key", "pairs"), "key")
+
 
+def _marks(line: str) -> Column:
+    """64 bits, each whether the characters of a class occur an odd number of times: an edit turns two at most."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
 
-_SIDE = ["h", "g", "line", "at"]
 
+_SIDE = ["h", "g", "line", "at", "marks"]
 
-def _pairs(own: DataFrame, probing: DataFrame) -> DataFrame:
+
+def _pairs(own: DataFrame, probing: DataFrame, edits: int) -> DataFrame:
     left = own.select("key", *[F.col(c).alias(f"x_{c}") for c in _SIDE])
     right = probing.select("key", *[F.col(c).alias(f"y_{c}") for c in _SIDE])
     # Lines of one length meet in both directions; one of them is enough.
     once = (F.length("x_line") < F.length("y_line")) | (F.col("x_h") < F.col("y_h"))
     other = (F.col("x_h") != F.col("y_h")) & once
-    return left.join(right, "key").where(other).drop("key")
+    may = F.bit_count(F.col("x_marks").bitwiseXOR(F.col("y_marks"))) <= 2 * edits
+    return left.join(right, "key").where(other & may).drop("key")
 
 
 def _with_leaders(rows: DataFrame) -> DataFrame:
@@ -238,7 +286,7 @@ def _with_leaders(rows: DataFrame) -> DataFrame:
     return pairs[0].union(pairs[1])
 
 
-def _slot_pairs(own: DataFrame, stuck: DataFrame) -> DataFrame:
+def _slot_pairs(own: DataFrame, stuck: DataFrame, edits: int) -> DataFrame:
     """Lines with a part that cannot be cut but is open, and the stored lines of their key that share a character with it.
 
     Such a part has more than ``t`` characters, so within ``t`` edits at least one of them is kept.
@@ -251,35 +299,52 @@ def _slot_pairs(own: DataFrame, stuck: DataFrame) -> DataFrame:
         rows.select(*_SIDE, "key", F.explode(chars).alias("s")).select(*_SIDE, F.xxhash64("key", "s.j", "s.c").alias("key"))
         for rows, chars in ((own, F.flatten(slots)), (stuck, asked))
     ]
-    return _pairs(left, right)
+    return _pairs(left, right, edits)
+
 
+def _candidates(docs: DataFrame, instances: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """The different lines that share a rough key with another one: ``h, g, line, at, size, marks``."""
+    rough = instances.select("h", F.explode("rough").alias("key"))
+    shared = rough.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("key")
+    wanted = rough.join(small_side(staged(shared), 16), "key", "left_semi").select("h").distinct()
+    wanted = small_side(staged(wanted), 16)
+    lines = _taking_part(docs.select(F.explode(F.split("text", "\n")).alias("line")), min_chars)
+    lines = lines.select("line", F.xxhash64("line").alias("h")).join(wanted, "h", "left_semi")
+    lines = lines.groupBy("h", _second_id("line").alias("g")).agg(F.any_value("line").alias("line"))
+    places = instances.join(wanted, "h", "left_semi").groupBy("h", "g").agg(F.min("at").alias("at"))
+    return lines.join(places, ["h", "g"]).select("*", F.length("line").alias("size"), _marks("line").alias("marks"))
 
-def near_lines(instances: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
+
+def near_lines(candidates: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """``h, g, near``: for lines with an edited twin, the place of its earliest one."""
-    alive = small_side(staged(_alive(_segment_keys(instances, ["h"], edits))), 16)
-    # Keys meet with hashes alone; texts and places come after, once for each line that is left.
-    keys = staged(_segment_keys(instances, ["h", "g"], edits).join(alive, "key").distinct())
-    wanted = small_side(staged(keys.select("h", "g").distinct()), 24)
-    texts = instances.join(wanted, ["h", "g"], "left_semi").groupBy("h", "g").agg(
-        F.any_value("line").alias("line"), F.min("at").alias("at"), F.any_value("size").alias("size")
-    )
-    rows = keys.join(texts, ["h", "g"]).withColumn("parts", _segment_parts(edits))
-    rows, pairs = staged(rows), []
-    while not rows.isEmpty():
-        sizes = rows.groupBy("key").agg((F.sum(F.col("own").cast("long")) * F.count(F.lit(1))).alias("pairs"))
-        rows = rows.join(sizes, "key")
-        # All lines of a key can be cut, or none: then stored lines are closed, and others closed or stuck with an open part.
-        can_grow, is_open = F.exists("parts", lambda p: p["n"] > p["t"]), F.exists("parts", _is_open)
-        small = F.col("pairs") <= GROUP_PAIRS
-        few, closed, stuck = rows.where(small), rows.where(~small & ~is_open), rows.where(~small & is_open & ~can_grow)
-        found = [_pairs(few.where("own"), few), _with_leaders(closed), _slot_pairs(closed.where("own"), stuck)]
-        pairs.append(staged(reduce(lambda x, y: x.union(y), found).distinct()))
-        grown = rows.where(~small & can_grow).select(*_SIDE, "key", "own", "parts")
+    candidates = staged(candidates)
+    # Keys meet with hashes alone; texts and places come after, for the lines that are left.
+    keys = _shared(staged(_segment_keys(candidates, ["h", "g"], edits).distinct()))
+    columns = [*_SIDE, "key", "own", "pairs", "parts"]
+    rows, levels = staged(keys.join(candidates, ["h", "g"]).withColumn("parts", _segment_parts(edits)).select(*columns)), []
+    # All lines of a key can be cut, or none: then stored lines are closed, and others closed or stuck with an open part.
+    can_grow, is_open = F.exists("parts", lambda p: p["n"] > p["t"]), F.exists("parts", _is_open)
+    small = F.col("pairs") <= GROUP_PAIRS
+    kinds = {"grows": ~small & can_grow, "few": small, "closed": ~small & ~is_open, "stuck": ~small & is_open & ~can_grow}
+    there = set()
+    while True:
+        levels.append(rows)
+        new = rows.agg(*[F.max(v).alias(k) for k, v in kinds.items()]).first().asDict()
+        there |= {k for k, v in new.items() if v}
+        if not new["grows"]:
+            break
+        grown = rows.where(kinds["grows"]).select(*_SIDE, "key", "own", "parts")
         grown = staged(grown.select(*_SIDE, F.explode(_grown_keys(edits)).alias("k")).select(*_SIDE, "k.*"))
-        rows = staged(grown.join(_alive(grown), "key", "left_semi")) if not grown.isEmpty() else grown
-    if not pairs:
-        return instances.select("h", "g", F.col("at").alias("near")).where(F.lit(False))
-    links = reduce(lambda x, y: x.union(y), pairs).where(within(F.col("x_line"), F.col("y_line"), edits))
+        rows = staged(_shared(grown).select(*columns))
+    # Keys of all levels meet at once.
+    rows = reduce(lambda x, y: x.union(y), levels)
+    few, closed, stuck = [rows.where(kinds[k]) for k in ("few", "closed", "stuck")]
+    found = [_pairs(few.where("own"), few, edits)] if "few" in there else []
+    found += [_with_leaders(closed)] if "closed" in there else []
+    found += [_slot_pairs(closed.where("own"), stuck, edits)] if "stuck" in there else []
+    if not found:
+        return candidates.select("h", "g", F.col("at").alias("near")).where(F.lit(False))
+    links = staged(reduce(lambda x, y: x.union(y), found).distinct()).where(within(F.col("x_line"), F.col("y_line"), edits))
     both = F.array(*[F.struct(F.col(f"{s}_h").alias("h"), F.col(f"{s}_g").alias("g"), F.col(f"{o}_at").alias("at")) for s, o in ("xy", "yx")])
     sides = links.select(F.explode(both).alias("s")).select("s.*")
     return sides.groupBy("h", "g").agg(F.min("at").alias("near"))
@@ -293,9 +358,9 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MI
     """
     if min_chars < 2 * max_edits + 2:
         raise ValueError("min_chars must be at least 2 * max_edits + 2")
-    instances = _instances(docs, min_chars)
+    instances = staged(_instances(docs, min_chars, max_edits))
     exact = instances.groupBy("h", "g").agg(F.min("at").alias("exact"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    near = near_lines(instances, max_edits)
+    near = near_lines(_candidates(docs, instances, max_edits, min_chars), max_edits)
     none = F.lit(None).cast(exact.schema["exact"].dataType)
     firsts = exact.select("h", "g", "exact", none.alias("near")).union(near.select("h", "g", none, "near"))
     firsts = staged(firsts.groupBy("h", "g").agg(F.min("exact").alias("exact"), F.min("near").alias("near")))

@@ -106,3 +106,40 @@ def test_slots_of_two_edits(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = lines.dedup_lines(frame, 2, 20).collect()
     assert {(r.doc_id, 0) for r in got if r.n_near} == near and {(r.doc_id, 0) for r in got if r.n_exact} == exact
+
+
+def test_lines_within_reach_share_a_rough_key(spark):
+    """Around the borders of the length classes too, with edits anywhere."""
+    rng = random.Random(7)
+    pairs = []
+    for size in [*range(20, 36), *range(60, 84), 200]:
+        for edits in (1, 2, 2, 2):
+            text = "".join(rng.choice("abc é") for _ in range(size))
+            pairs.append((edits, text, _edited(rng, text, edits)))
+    frame = spark.createDataFrame(pairs, "edits int, x string, y string")
+    for edits in (1, 2, 3):
+        sides = []
+        for c in "xy":
+            cut = frame.where(F.col("edits") <= edits).select("x", "y", F.col(c).alias("line"), F.length(c).alias("size"))
+            sides.append(cut.select("x", "y", lines._rough_keys(edits).alias(f"k{c}")))
+        assert sides[0].join(sides[1], ["x", "y"]).where(~F.arrays_overlap("kx", "ky")).count() == 0
+    marks = frame.select("edits", F.bit_count(lines._marks("x").bitwiseXOR(lines._marks("y"))).alias("n"))
+    assert marks.where("n > 2 * edits").count() == 0
+
+
+def test_crowd_of_near_copies_makes_few_rows(spark, monkeypatch):
+    """Lines that differ from one by a word each stay apart, and their keys do not grow with the square of the crowd."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base, texts = [word() for _ in range(60)], []
+    codes = [x * 3 + y * 3 + z * 3 for x in "abcdefghi" for y in "jklmnopq" for z in "rstuvwx"]  # three edits apart
+    for code in rng.sample(codes, 500):
+        at = rng.randrange(60)
+        texts.append(" ".join([*base[:at], code, *base[at + 1 :]]))
+    texts.append(texts[0][:30] + "#" + texts[0][31:])
+    frame, made, write = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [], lines.staged
+    monkeypatch.setattr(lines, "staged", lambda df: made.append(write(df)) or made[-1])
+    got = lines.dedup_lines(frame, 2, 20).where("n_near > 0").collect()
+    assert [r.doc_id for r in got] == [500]
+    keys = [m.count() for m in made if "key" in m.columns]
+    assert max(keys) <= 25 * len(texts)
