@@ -198,3 +198,42 @@ def test_ngrams_of_many_units_are_renumbered(spark):
     assert got == {(i, g): n for i, text in rows for g, n in grams(list(text), 1, 7, "").items()}
     plan = x.block_counts(df, "stress")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan  # no row a position
+
+
+def long_features(df, train, switches):
+    """What ``build_features`` gives by the long counts of each block."""
+    rows = []
+    for block in x.blocks_of(switches):
+        counts = x.block_counts(df, block)
+        fit = x.fit_block(block, counts.join(train.select("speech_id"), "speech_id", "left_semi"), train)
+        rows += [tuple(r) for r in x.apply_block(fit, counts).collect()]
+    return rows
+
+
+@pytest.mark.parametrize("piece, sums, small", [(7, 3, 200_000), (1 << 19, 1 << 21, 200_000), (1 << 19, 1 << 21, 1)])
+def test_features_of_repeated_and_missing_speeches_and_labels(spark, monkeypatch, piece, sums, small):
+    """Packed rows meet the long form, also for ids that repeat or are null and speeches with several labels or a null one."""
+    rng = random.Random(12)
+    units = ["Prepos", "w", "Éo", "articulo", "xx", "é", None, "Humanos"]
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5, 6]), rng.choices(units, k=rng.randint(0, 12)), "".join(rng.choices("+-", k=rng.randint(0, 9)))) for _ in range(60)]
+    rows += [(9, None, None), (9, [], ""), (None, None, "+"), (10, ["Prepos"], None)]
+    df = spark.createDataFrame(rows, "speech_id long, gram array<string>, stress string").repartition(3)
+    labels = [(1, "a"), (1, "b"), (1, "b"), (2, "a"), (3, "b"), (4, None), (9, "a"), (10, "b"), (77, "a"), (None, "a")]
+    train = spark.createDataFrame(labels, "speech_id long, y string")
+    monkeypatch.setattr(x, "PIECE", piece)
+    monkeypatch.setattr(x, "SUMS", sums)
+    want = long_features(df, train, ["liwc_gram", "stress"])
+    monkeypatch.setattr(x, "PACKED_GRAMS", small)
+    features, fitted = x.build_features(df, train, ["liwc_gram", "stress"])
+    got = [tuple(r) for r in features.collect()]
+    assert {r[:3]: r[3] for r in got} == pytest.approx({r[:3]: r[3] for r in want}, abs=1e-12)
+    assert len(got) == len(want) > 100 and [f.block for f in fitted] == ["stress", "liwc_gram"]
+
+
+def test_ngram_features_move_no_counts(corpus):
+    """Weights, norms and choice need no exchange: only masked texts move, and codes that make no n-gram stay behind."""
+    df, _ = corpus
+    features, _ = x.build_features(df, df.select("speech_id", "y"), ["pos_tags", "liwc_gram"])
+    assert "Exchange" not in features._jdf.queryExecution().executedPlan().toString()
+    moved = x._masked(df, x.NGRAM_BLOCKS["liwc_gram"])
+    assert {len(u) for r in moved.collect() for u in r["gram"]} == {3, 4}
