@@ -237,3 +237,32 @@ def test_ngram_features_move_no_counts(corpus):
     assert "Exchange" not in features._jdf.queryExecution().executedPlan().toString()
     moved = x._masked(df, x.NGRAM_BLOCKS["liwc_gram"])
     assert {len(u) for r in moved.collect() for u in r["gram"]} == {3, 4}
+
+
+def test_words_are_counted_in_one_reading(corpus):
+    """Listed words and word lengths come from the same counts, equal to those of each block."""
+    df, _ = corpus
+    df = df.unionByName(df.limit(4).withColumn("speech_id", F.lit(None).cast("long")).withColumn("text", F.lit("El de de xyz")))
+    train = df.where("speech_id < 14").select("speech_id", "y")
+    made = x.fitted_counts(df, train, ["base_features", "stress"])
+    assert [fit.block for fit, _ in made] == [*x.BASE_BLOCKS, "stress"]
+    got = [tuple(r) for fit, counts in made[:3] for r in x.apply_block(fit, counts).collect()]
+    want = long_features(df, train, ["base_features"])
+    assert {r[:3]: r[3] for r in got} == pytest.approx({r[:3]: r[3] for r in want}, abs=1e-12) and len(got) == len(want)
+
+
+@pytest.mark.parametrize("small", [200_000, 1])
+def test_arrays_hold_the_long_features(spark, corpus, monkeypatch, small):
+    """One row a speech, also for a null id, with the cells and columns that the long features and their index have."""
+    df, _ = corpus
+    df = df.unionByName(df.limit(3).withColumn("speech_id", F.lit(None).cast("long")))
+    train = df.select("speech_id", "y")
+    switches = ["base_features", "stress", "liwc_gram"]
+    want = {r[:3]: r[3] for r in map(tuple, x.build_features(df, train, switches)[0].collect())}
+    monkeypatch.setattr(x, "PACKED_GRAMS", small)
+    arrays, index, size = x.feature_arrays(df, train, switches)
+    column = {r["idx"]: (r["block"], r["feature"]) for r in index.collect()}
+    rows = arrays.collect()
+    got = {(r["speech_id"], *column[i]): v for r in rows for i, v in zip(r["indices"], r["values"])}
+    assert got == pytest.approx(want, abs=1e-12) and len(column) == size
+    assert sum(len(r["indices"]) for r in rows) == len(want) and len({r["speech_id"] for r in rows}) == len(rows)

@@ -1,3 +1,4 @@
+import math
 import json
 import random
 
@@ -202,3 +203,37 @@ def test_folds_read_the_training_counts_alone(encoded, monkeypatch):
     out = ex.run_experiment(encoded, "MC", "name", "svm", ["pos_tags", "base_features"], train_rows=20, grid=[{**GRID[0], "kernel": "rbf"}, {**GRID[1], "kernel": "rbf"}])
     assert [c.select("speech_id").distinct().count() for c in seen[0].values()] == [60] * 4
     assert out.predictions.count() == 60
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_stored_rows_give_components_and_points(spark, monkeypatch, wide):
+    """Rows written once serve the decomposition and the projection, by arrays (also for a null id) and by joins."""
+    rng = np.random.default_rng(7)
+    rows = [(i or (0 if wide else None), [i % 2, 2 + i % 7], [8.0 - 4 * (i % 2), float(rng.random())]) for i in range(50)]
+    dense = np.zeros((50, 9))
+    for n, (_, idx, values) in enumerate(rows):
+        dense[n, idx] = values
+    monkeypatch.setattr(learn, "CELLS", 40)
+    if wide:
+        monkeypatch.setattr(learn, "DRIVER_FEATURES", 1)
+    stored = learn.stored_rows(spark.createDataFrame(rows, "row long, indices array<int>, values array<double>").repartition(3))
+    components, found = learn.block_svd(stored, 2)
+    assert found == pytest.approx(np.linalg.svd(dense, compute_uv=False)[:2], rel=1e-8)
+    basis = np.zeros((9, 2))
+    for r in components.collect():
+        basis[r["idx"]] = r["v1"], r["v2"]
+    points = learn.project(stored, components)
+    assert wide or "Exchange" not in points._jdf.queryExecution().executedPlan().toString()
+    got = {r["row"]: (r["c1"], r["c2"]) for r in points.collect()}
+    assert np.linalg.norm(dense @ basis, axis=0) == pytest.approx(found, rel=1e-6)
+    assert len(got) == 50 and all(got[rows[i][0]] == pytest.approx(dense[i] @ basis, abs=1e-9) for i in range(50))
+
+
+def test_lsa_moves_a_speech_once(spark, encoded, monkeypatch):
+    """Cells are not joined with their columns one by one, neither for the matrix nor for the points."""
+    joins, whole = [], type(encoded).join
+    monkeypatch.setattr(type(encoded), "join", lambda self, *a, **b: (joins.append(self.columns), whole(self, *a, **b))[1])
+    out = ex.lsa_by_wing(encoded.unionByName(encoded.limit(2))).collect()
+    assert len(out) == 122 and all(math.isfinite(r["c1"]) and math.isfinite(r["c2"]) for r in out)
+    grams = [c for c in joins if "feature" in c and "block" in c]
+    assert len(grams) == 1  # function words and length curves alone
