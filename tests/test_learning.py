@@ -235,5 +235,5 @@ def test_lsa_moves_a_speech_once(spark, encoded, monkeypatch):
     monkeypatch.setattr(type(encoded), "join", lambda self, *a, **b: (joins.append(self.columns), whole(self, *a, **b))[1])
     out = ex.lsa_by_wing(encoded.unionByName(encoded.limit(2))).collect()
     assert len(out) == 122 and all(math.isfinite(r["c1"]) and math.isfinite(r["c2"]) for r in out)
-    grams = [c for c in joins if "feature" in c and "block" in c]
-    assert len(grams) == 1  # function words and length curves alone
+    cells = [c for c in joins if "feature" in c and "value" in c]
+    assert len(cells) == 1  # function words and length curves alone
